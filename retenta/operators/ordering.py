@@ -128,19 +128,32 @@ def quantile_map(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
     return table.agg(F.map_from_entries(F.collect_list(F.struct("column", "q"))).alias("m")).scalar()
 
 
-def kth_smallest(df: DataFrame, column: str, k: int, rows_per_bucket: int = ROWS_PER_BUCKET):
-    """Exact k-th smallest value (1-based) of ``column``, or None when there is none."""
+def values_at_ranks(df: DataFrame, column: str, ranks: Sequence[int],
+                    rows_per_bucket: int = ROWS_PER_BUCKET) -> dict[int, object]:
+    """Exact values of ``column`` at 1-based ranks in ascending order. Only buckets holding a rank are sorted."""
     data = df.select(column).filter(F.col(column).isNotNull())
     bucketed = with_bucket(data, column, bucket_edges(data, column, rows_per_bucket))
-    seen = 0
+    seen, before, home = 0, {}, {}
     for b, n in sorted(tuple(r) for r in bucketed.groupBy(_BUCKET).count().collect()):
-        if k <= seen + n:
-            inside = bucketed.filter(F.col(_BUCKET) == b).groupBy(column).agg(F.count("*").alias("n"))
-            w = Window.partitionBy(F.lit(b)).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-            placed = inside.withColumn("upto", F.sum("n").over(w))
-            return placed.filter(F.col("upto") >= k - seen).agg(F.min(column)).first()[0]
+        for k in ranks:
+            if seen < k <= seen + n:
+                home[k] = b
+                before[b] = seen
         seen += n
-    return None
+    if not home:
+        return {}
+    offset = F.create_map(*[F.lit(x) for b, s in before.items() for x in (b, s)])
+    inside = (bucketed.filter(F.col(_BUCKET).isin(*before)).groupBy(_BUCKET, column)
+              .agg(F.count("*").alias("n")))
+    w = Window.partitionBy(_BUCKET).orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = inside.withColumn("upto", F.sum("n").over(w) + offset[F.col(_BUCKET)])
+    found = placed.agg(*[F.min(F.when(F.col("upto") >= k, F.col(column))).alias(f"k{k}") for k in home]).first()
+    return {k: found[f"k{k}"] for k in home}
+
+
+def kth_smallest(df: DataFrame, column: str, k: int, rows_per_bucket: int = ROWS_PER_BUCKET):
+    """Exact k-th smallest value (1-based) of ``column``, or None when there is none."""
+    return values_at_ranks(df, column, [k], rows_per_bucket).get(k)
 
 
 def ordered_split(df: DataFrame, order_col: str, fraction: float = 0.80, name: str = "is_train") -> DataFrame:
