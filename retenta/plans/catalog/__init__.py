@@ -12,7 +12,7 @@ from retenta.plans.subjects import SUBJECTS_SQL
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("ingest", "profile", "features", "reports", "statistics")
+MODULES = ("ingest", "profile", "features", "reports", "statistics", "models", "survival", "text", "sources")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -235,10 +235,10 @@ def _(spark, d):
 
 
 @query("P19_rounding", _sql("""
-SELECT employee_id, round_even(ev / 1000.0, 1) AS ev_thousands, printf('%.3f', p_attrition) AS p_text,
+SELECT employee_id, round_even(ev / 1000.0, 1) AS ev_thousands, printf('%.4f', p_attrition) AS p_text,
   format('{:,}', CAST(ev AS BIGINT)) AS ev_text FROM scored"""))
 def _(spark, d):
     from retenta.operators.explain import whole_units
     return rule_scored(spark, d).select(
         "employee_id", F.bround(F.col("ev") / 1000, 1).alias("ev_thousands"),
-        F.format_string("%.3f", "p_attrition").alias("p_text"), whole_units(F.col("ev")).alias("ev_text"))
+        F.format_string("%.4f", "p_attrition").alias("p_text"), whole_units(F.col("ev")).alias("ev_text"))

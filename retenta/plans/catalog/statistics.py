@@ -101,37 +101,47 @@ def _(spark, d):
 
 
 # --------------------------------------------------------------- collinearity
-_COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+# Price columns of the lines: strongly related, with one unrelated column.
+_LINES = """lines AS (SELECT l_extendedprice AS price, l_extendedprice * (1 - l_discount) AS net,
+  l_extendedprice * (1 - l_discount) * (1 + l_tax) AS gross, l_discount AS discount, l_tax AS tax FROM lineitem)"""
+_COLS = ("price", "net", "gross", "discount")
+_THREE = ("price", "net", "discount")
 _PAIRS = [(i, j, a, b) for i, a in enumerate(_COLS) for j, b in enumerate(_COLS) if i < j]
-_CORR = "corr AS (" + " UNION ALL ".join(
-    f"SELECT {i} AS position_1, {j} AS position_2, '{a}' AS feature_1, '{b}' AS feature_2, corr({a}, {b}) AS r FROM lineitem"
+_CORR = _LINES + ", corr AS (" + " UNION ALL ".join(
+    f"SELECT {i} AS position_1, {j} AS position_2, '{a}' AS feature_1, '{b}' AS feature_2, corr({a}, {b}) AS r FROM lines"
     for i, j, a, b in _PAIRS) + ")"
-# For two or three columns, inflation has a closed form in the pairwise correlations.
-_VIF3 = """vif AS (SELECT 'l_quantity' AS feature, round_even((1 - bc * bc) / det, 2) AS vif FROM k
-UNION ALL SELECT 'l_extendedprice', round_even((1 - ac * ac) / det, 2) FROM k
-UNION ALL SELECT 'l_discount', round_even((1 - ab * ab) / det, 2) FROM k)"""
+# For three columns, inflation has a closed form in the pairwise correlations.
+_VIF3 = """vif AS (SELECT 'price' AS feature, round_even((1 - bc * bc) / det, 2) AS vif FROM k
+UNION ALL SELECT 'net', round_even((1 - ac * ac) / det, 2) FROM k
+UNION ALL SELECT 'discount', round_even((1 - ab * ab) / det, 2) FROM k)"""
 _K3 = """k AS (SELECT *, 1 + 2 * ab * ac * bc - ab * ab - ac * ac - bc * bc AS det FROM (
-  SELECT corr(l_quantity, l_extendedprice) AS ab, corr(l_quantity, l_discount) AS ac, corr(l_extendedprice, l_discount) AS bc FROM lineitem))"""
-_THREE = ("l_quantity", "l_extendedprice", "l_discount")
+  SELECT corr(price, net) AS ab, corr(price, discount) AS ac, corr(net, discount) AS bc FROM lines))"""
 
 
-@query("M18_variance_inflation", f"WITH {_K3}, {_VIF3} SELECT * FROM vif")
+def _lines(spark, d):
+    price, off, tax = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
+    return table(spark, d, "lineitem").select(
+        price.alias("price"), (price * (1 - off)).alias("net"), (price * (1 - off) * (1 + tax)).alias("gross"),
+        off.alias("discount"), tax.alias("tax"))
+
+
+@query("M18_variance_inflation", f"WITH {_LINES}, {_K3}, {_VIF3} SELECT * FROM vif")
 def _(spark, d):
-    return collinearity.variance_inflation(table(spark, d, "lineitem"), _THREE)
+    return collinearity.variance_inflation(_lines(spark, d), _THREE)
 
 
 _BAND = "CASE WHEN vif > 10 THEN 'critical' WHEN vif > 5 THEN 'high' WHEN vif > 2 THEN 'moderate' ELSE 'clean' END"
 
 
-@query("M19_inflation_bands", f"WITH {_K3}, {_VIF3} SELECT {_BAND} AS band, count(*) AS n FROM vif GROUP BY 1")
+@query("M19_inflation_bands", f"WITH {_LINES}, {_K3}, {_VIF3} SELECT {_BAND} AS band, count(*) AS n FROM vif GROUP BY 1")
 def _(spark, d):
-    vif = collinearity.variance_inflation(table(spark, d, "lineitem"), _THREE)
+    vif = collinearity.variance_inflation(_lines(spark, d), _THREE)
     return collinearity.inflation_bands(vif).groupBy("band").agg(F.count("*").alias("n"))
 
 
 @query("M20_correlations", f"WITH {_CORR} SELECT * REPLACE (round(r, 6) AS r) FROM corr")
 def _(spark, d):
-    return rounded(collinearity.correlation_table(table(spark, d, "lineitem"), _COLS))
+    return rounded(collinearity.correlation_table(_lines(spark, d), _COLS))
 
 
 _HIGH = "high AS (SELECT feature_1, feature_2, round_even(r, 3) AS r, round_even(abs(r), 3) AS abs_r FROM corr WHERE abs(r) > 0.7)"
@@ -139,7 +149,7 @@ _HIGH = "high AS (SELECT feature_1, feature_2, round_even(r, 3) AS r, round_even
 
 @query("M21_high_pairs", f"WITH {_CORR}, {_HIGH} SELECT * FROM high")
 def _(spark, d):
-    return collinearity.high_pairs(collinearity.correlation_table(table(spark, d, "lineitem"), _COLS))
+    return collinearity.high_pairs(collinearity.correlation_table(_lines(spark, d), _COLS))
 
 
 _PICK = """pick AS (SELECT DISTINCT CASE WHEN coalesce(a.vif, 0) > coalesce(b.vif, 0) THEN feature_1 ELSE feature_2 END AS feature
@@ -147,7 +157,7 @@ _PICK = """pick AS (SELECT DISTINCT CASE WHEN coalesce(a.vif, 0) > coalesce(b.vi
 
 
 def _pairs_and_vif(spark, d):
-    lines = table(spark, d, "lineitem")
+    lines = _lines(spark, d)
     return (collinearity.high_pairs(collinearity.correlation_table(lines, _COLS)),
             collinearity.variance_inflation(lines, _THREE))
 
@@ -161,7 +171,7 @@ def _(spark, d):
   coalesce(a.vif, 0) AS vif_1, coalesce(b.vif, 0) AS vif_2 FROM corr LEFT JOIN vif a ON a.feature = feature_1
   LEFT JOIN vif b ON b.feature = feature_2""")
 def _(spark, d):
-    lines = table(spark, d, "lineitem")
+    lines = _lines(spark, d)
     pairs, vif = collinearity.correlation_table(lines, _COLS), collinearity.variance_inflation(lines, _THREE)
     one = vif.select(F.col("feature").alias("feature_1"), F.col("vif").alias("vif_1"))
     two = vif.select(F.col("feature").alias("feature_2"), F.col("vif").alias("vif_2"))
@@ -169,18 +179,18 @@ def _(spark, d):
         "feature_1", "feature_2", F.coalesce("vif_1", F.lit(0.0)).alias("vif_1"), F.coalesce("vif_2", F.lit(0.0)).alias("vif_2"))
 
 
-_FLAGGED = f"""flags AS (SELECT feature, vif > 1.5 AS by_vif, abs(corr_y) < 0.01 AS by_l1,
+_FLAGGED = """flags AS (SELECT feature, vif > 10 AS by_vif, abs(corr_y) < 0.02 AS by_l1,
   feature IN (SELECT feature FROM pick) AS by_corr FROM vif JOIN (
-  SELECT 'l_quantity' AS feature, corr(l_quantity, l_tax) AS corr_y FROM lineitem UNION ALL
-  SELECT 'l_extendedprice', corr(l_extendedprice, l_tax) FROM lineitem UNION ALL SELECT 'l_discount', corr(l_discount, l_tax) FROM lineitem) USING (feature))"""
+  SELECT 'price' AS feature, corr(price, tax) AS corr_y FROM lines UNION ALL
+  SELECT 'net', corr(net, tax) FROM lines UNION ALL SELECT 'discount', corr(discount, tax) FROM lines) USING (feature))"""
 
 
 def _flags(spark, d):
     pairs, vif = _pairs_and_vif(spark, d)
-    weak = collinearity.correlation_table(table(spark, d, "lineitem"), (*_THREE, "l_tax")).filter("feature_2 = 'l_tax'").select(
-        F.col("feature_1").alias("feature"), (F.abs("r") < 0.01).alias("by_l1"))
+    weak = collinearity.correlation_table(_lines(spark, d), (*_THREE, "tax")).filter("feature_2 = 'tax'").select(
+        F.col("feature_1").alias("feature"), (F.abs("r") < 0.02).alias("by_l1"))
     picked = collinearity.correlated_drops(pairs, vif).withColumn("by_corr", F.lit(True))
-    return (vif.select("feature", (F.col("vif") > 1.5).alias("by_vif")).join(weak, "feature")
+    return (vif.select("feature", (F.col("vif") > 10).alias("by_vif")).join(weak, "feature")
             .join(picked, "feature", "left").na.fill(False, ["by_corr"]))
 
 
