@@ -38,5 +38,4 @@ def clamp(value: Column, low: Column, high: Column) -> Column:
 
 def signed(value: Column, digits: int) -> Column:
     """Fixed-point text with an explicit sign."""
-    return F.concat(F.when(value >= 0, F.lit("+")).otherwise(F.lit("-")),
-                    F.format_string(f"%.{digits}f", F.abs(value)))
+    return F.format_string(f"%+.{digits}f", value)

@@ -143,8 +143,9 @@ def top_fraction_label(df: DataFrame, score: str, rate: float, name: str = "labe
 def min_max(df: DataFrame, column: str, name: str, digits: int = 4) -> DataFrame:
     """Rescale to [0, 1]; null on a constant column."""
     ends = df.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"))).scalar()
-    scaled = F.try_divide(F.col(column) - ends["lo"], ends["hi"] - ends["lo"])
-    return df.withColumn(name, F.bround(scaled, digits))
+    lo, hi = F.col("__ends.lo"), F.col("__ends.hi")
+    scaled = F.try_divide(F.col(column) - lo, hi - lo)
+    return df.withColumn("__ends", ends).withColumn(name, F.bround(scaled, digits)).drop("__ends")
 
 
 def bound_violations(df: DataFrame, columns: Sequence[str], upper: str = "tenure_months") -> DataFrame:

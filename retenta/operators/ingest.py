@@ -124,7 +124,8 @@ def coercion_losses(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 def rescale_percent(df: DataFrame, column: str = "compa_ratio", above: float = 5.0) -> DataFrame:
     """Divide the whole column by 100 when its median shows that it was stored as a percentage."""
     median = quantile_map(df, [column], [0.5])[column][0]
-    return df.withColumn(column, F.when(median > above, F.col(column) / 100).otherwise(F.col(column)))
+    return (df.withColumn("__m", median)
+            .withColumn(column, F.when(F.col("__m") > above, F.col(column) / 100).otherwise(F.col(column))).drop("__m"))
 
 
 def parse_date(value: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
@@ -172,15 +173,16 @@ def impute_median(df: DataFrame, columns: Sequence[str] = schema.FILL_MEDIAN) ->
     columns = [c for c in columns if c in df.columns]
     if not columns:
         return df
-    medians = quantile_map(df, columns, [0.5])
-    return df.withColumns({c: F.coalesce(F.col(c), medians[c][0]) for c in columns})
+    medians = F.col("__medians")
+    return (df.withColumn("__medians", quantile_map(df, columns, [0.5]))
+            .withColumns({c: F.coalesce(F.col(c), medians[c][0]) for c in columns}).drop("__medians"))
 
 
 def impute_mode(df: DataFrame, columns: Sequence[str] = schema.FILL_MODE) -> DataFrame:
     columns = [c for c in columns if c in df.columns]
     if not columns:
         return df
-    modes = mode_map(df, columns)
+    modes = F.col("__modes")
     types = dict(df.dtypes)
 
     def fill(c: str) -> Column:
@@ -188,7 +190,8 @@ def impute_mode(df: DataFrame, columns: Sequence[str] = schema.FILL_MODE) -> Dat
         last = [F.lit("Unknown")] if types[c] == "string" else []
         return F.coalesce(F.col(c), value, *last)
 
-    return df.withColumns({c: fill(c) for c in columns})
+    return (df.withColumn("__modes", mode_map(df, columns)).withColumns({c: fill(c) for c in columns})
+            .drop("__modes"))
 
 
 # --------------------------------------------------------------- outliers, small groups
@@ -196,8 +199,8 @@ def winsor_bounds(df: DataFrame, columns: Sequence[str] = schema.CAP_COLUMNS, lo
                   high: float = 0.99) -> DataFrame:
     """Per column: bounds and the number of values strictly outside them."""
     columns = [c for c in columns if c in df.columns]
-    bounds = quantile_map(df, columns, [low, high])
-    return stat_rows(df, columns, lambda c: {
+    bounds = F.col("__bounds")
+    return stat_rows(df.withColumn("__bounds", quantile_map(df, columns, [low, high])), columns, lambda c: {
         "low": F.first(bounds[c][0]), "high": F.first(bounds[c][1]),
         "n_low": F.count_if(F.col(c) < bounds[c][0]), "n_high": F.count_if(F.col(c) > bounds[c][1]),
     })
@@ -213,7 +216,9 @@ def winsorise(df: DataFrame, columns: Sequence[str] = schema.CAP_COLUMNS, low: f
         m = bound.scalar()
     else:
         m = quantile_map(df, columns, [low, high])
-    return df.withColumns({c: clamp(F.col(c), m[c][0], m[c][1]) for c in columns})
+    bounds = F.col("__bounds")
+    return (df.withColumn("__bounds", m)
+            .withColumns({c: clamp(F.col(c), bounds[c][0], bounds[c][1]) for c in columns}).drop("__bounds"))
 
 
 def zero_small_groups(df: DataFrame, measure: str = "peer_attrition_count_90d",

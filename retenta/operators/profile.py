@@ -98,7 +98,8 @@ def histogram(df: DataFrame, columns: Sequence[str] = schema.NUMERIC, bins: int
     ends = data.agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in cols]).select(
         F.create_map(*[x for c in cols for x in (F.lit(c), F.col(c))])).scalar()
     long = data.unpivot([], cols, "column", "value").filter(F.col("value").isNotNull())
-    lo, hi = ends[F.col("column")]["lo"], ends[F.col("column")]["hi"]
+    long = long.withColumn("__e", ends)
+    lo, hi = F.col("__e")[F.col("column")]["lo"], F.col("__e")[F.col("column")]["hi"]
     place = F.floor(F.coalesce(F.try_divide((F.col("value") - lo) * bins, hi - lo), F.lit(0.0)))
     return (long.groupBy("column", F.least(place, F.lit(bins - 1)).cast("bigint").alias("bin"))
             .agg(F.count("*").alias("n")))
@@ -112,10 +113,10 @@ def _overall(df: DataFrame, label: str) -> Column:
 def risk_segments(df: DataFrame, keys: Sequence[str] = ("band", "department"), times: float = 2.0,
                   min_rows: int = 10, id_column: str = "employee_id", label: str = LABEL) -> DataFrame:
     """Segments whose rate, rounded to 3 decimals, exceeds ``times`` the overall rate."""
-    overall = _overall(df, label)
+    overall = F.col("__overall")
     grouped = df.dropna(subset=list(keys)).groupBy(*keys).agg(
         F.bround(F.avg(label), 3).alias("attrition_rate"), F.count(id_column).alias("n"))
-    return grouped.filter((F.col("attrition_rate") > overall * times) & (F.col("n") >= min_rows)).select(
+    return grouped.withColumn("__overall", _overall(df, label)).filter((F.col("attrition_rate") > overall * times) & (F.col("n") >= min_rows)).select(
         F.concat(F.lit("Band "), F.col(keys[0]).cast("string"), F.lit(" - "), F.col(keys[1])).alias("segment"),
         "attrition_rate", "n",
         F.format_string("%.1f×", F.col("attrition_rate") / overall).alias("vs_overall"))
@@ -166,7 +167,7 @@ def new_joiner_rate(df: DataFrame, months: float = 12, high: float = 0.30, label
 def iqr_outliers(df: DataFrame, columns: Sequence[str] = schema.NUMERIC, times: float = 3.0) -> DataFrame:
     """Columns with values outside the extreme fences: counts, fences and maximum (3 decimals)."""
     cols = present(df, columns)
-    q = quantile_map(df, cols, [0.25, 0.75])
+    q = F.col("__q")
 
     def stats(c: str) -> dict[str, Column]:
         spread = (q[c][1] - q[c][0]) * times
@@ -175,7 +176,8 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] = schema.NUMERIC, times:
                 "lower_fence": F.bround(F.first(low), 3), "upper_fence": F.bround(F.first(high), 3),
                 "max_value": F.bround(F.max(F.col(c).cast("double")), 3)}
 
-    return stat_rows(df, cols, stats).filter("extreme_low + extreme_high > 0")
+    fenced = df.withColumn("__q", quantile_map(df, cols, [0.25, 0.75]))
+    return stat_rows(fenced, cols, stats).filter("extreme_low + extreme_high > 0")
 
 
 # --------------------------------------------------------------- readiness

@@ -42,4 +42,5 @@ def class_weights(df: DataFrame, label: str = "attrition_flag") -> DataFrame:
 
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     w = class_weights(df, label).select(F.struct("weight_0", "weight_1")).scalar()
-    return df.withColumn(name, F.when(F.col(label) == 1, w["weight_1"]).otherwise(w["weight_0"]))
+    return df.withColumn("__w", w).withColumn(
+        name, F.when(F.col(label) == 1, F.col("__w.weight_1")).otherwise(F.col("__w.weight_0"))).drop("__w")

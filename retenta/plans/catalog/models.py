@@ -86,8 +86,8 @@ _RANKED = """ranked AS (SELECT *, row_number() OVER (PARTITION BY order_col ORDE
 def _attributed(spark, d):
     df = subjects(spark, d, ["order_col", *_COLS])
     means = df.agg(F.struct(*[F.avg(c).alias(c) for c in _COLS])).scalar()
-    phi = models.linear_attributions(_COLS, _BETA, [means[c] for c in _COLS])
-    return df.dropna(subset=["compa_ratio", "manager_attrition_rate_6m"]), phi
+    phi = models.linear_attributions(_COLS, _BETA, [F.col("__means")[c] for c in _COLS])
+    return df.withColumn("__means", means).dropna(subset=["compa_ratio", "manager_attrition_rate_6m"]), phi
 
 
 @query("M10_linear_attributions", on_subjects("SELECT order_col, " + ", ".join(

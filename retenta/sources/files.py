@@ -46,8 +46,10 @@ def read_delimited(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     rows = (spark.read.schema(schema).options(
         header=True, sep=sep, encoding=charset, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT,
         ignoreLeadingWhiteSpace=True, enforceSchema=True, multiLine=False).csv(path))
-    good = rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    return good, rows.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    # The CSV source refuses scans of the corrupt-row column alone, so both sides also touch a data column.
+    read = F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0
+    good = rows.filter(F.col(CORRUPT).isNull() & read).drop(CORRUPT)
+    return good, rows.filter(F.col(CORRUPT).isNotNull() & read).select(CORRUPT)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "parquet") -> DataFrame:
