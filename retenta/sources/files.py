@@ -6,46 +6,44 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-ENCODINGS = ("utf-8", "utf-8-sig", "latin-1", "cp1252", "iso-8859-1")
 SEPARATORS = (",", ";", "\t", "|")
 CORRUPT = "_corrupt_row"
 
 
 class UnreadableFile(ValueError):
-    """No combination of encoding and separator gives more than one column."""
+    """No separator gives more than one column."""
 
 
-def probe_dialect(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS,
-                  separators: Sequence[str] = SEPARATORS) -> tuple[str, str, list[str]]:
-    """First encoding and separator whose header row has more than one column: ``(encoding, separator, header)``.
+def probe_dialect(spark: SparkSession, path: str, separators: Sequence[str] = SEPARATORS) -> tuple[str, str, list[str]]:
+    """Encoding, separator and header of a delimited extract.
 
-    Only the first line is read. An encoding that leaves replacement characters in it is passed over.
+    The text is UTF-8 when every line is valid UTF-8 (one pass over the lines), and otherwise Latin-1, which reads any
+    bytes. The separator is the first one whose header row has more than one column.
     """
-    for encoding in encodings:
-        charset = "utf-8" if encoding == "utf-8-sig" else encoding
-        reader = spark.read.options(header=False, encoding=charset, ignoreLeadingWhiteSpace=True)
-        for sep in separators:
-            row = reader.option("sep", sep).csv(path).limit(1).collect()
-            header = [("" if v is None else str(v)) for v in row[0]] if row else []
-            if len(header) > 1 and not any("�" in v for v in header):
-                return encoding, sep, header
-    raise UnreadableFile(f"no dialect fits {path}")
+    valid = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value"))).first()[0]
+    encoding = "ISO-8859-1" if valid is False else "UTF-8"
+    reader = spark.read.options(header=False, encoding=encoding, ignoreLeadingWhiteSpace=True)
+    for sep in separators:
+        rows = reader.option("sep", sep).csv(path).head(1)
+        header = ["" if v is None else str(v) for v in rows[0]] if rows else []
+        if len(header) > 1:
+            return encoding, sep, header
+    raise UnreadableFile(f"no separator fits {path}")
 
 
 def read_delimited(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Raw extract as text columns, and the rows that do not fit the header, kept apart instead of lost."""
     encoding, sep, header = probe_dialect(spark, path)
-    charset = "utf-8" if encoding == "utf-8-sig" else encoding
     seen: dict[str, int] = {}
     names = []
     for raw in header:
-        name = raw.lstrip("﻿")
+        name = raw.lstrip("\ufeff")
         seen[name] = seen.get(name, 0) + 1
         names.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(CORRUPT, T.StringType())])
     rows = (spark.read.schema(schema).options(
-        header=True, sep=sep, encoding=charset, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT,
-        ignoreLeadingWhiteSpace=True, enforceSchema=True, multiLine=False).csv(path))
+        header=True, sep=sep, encoding=encoding, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT,
+        ignoreLeadingWhiteSpace=True, enforceSchema=True, columnPruning=False).csv(path))
     # The CSV source refuses scans of the corrupt-row column alone, so both sides also touch a data column.
     read = F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0
     good = rows.filter(F.col(CORRUPT).isNull() & read).drop(CORRUPT)
@@ -76,7 +74,7 @@ def read_texts(spark: SparkSession, folder: str, pattern: str = "*.txt") -> Data
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
     name = F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B")))
-    body = F.replace(F.decode("content", "UTF-8"), F.lit("\ufffd"), F.lit(""))
+    body = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     return raw.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("source"), body.alias("text"))
 
 

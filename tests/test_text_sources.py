@@ -92,6 +92,12 @@ def test_delimited_files(spark, tmp_path, sep, encoding):
     assert bad.count() == 1
 
 
+def test_encoding_is_decided_by_the_whole_file(spark, tmp_path):
+    (tmp_path / "in.csv").write_bytes(b"id,name\n1,a\n2,bl\xe5\n")
+    good, _ = files.read_delimited(spark, str(tmp_path / "in.csv"))
+    assert [r["name"] for r in good.orderBy("id").collect()] == ["a", "blå"]
+
+
 def test_unreadable_file(spark, tmp_path):
     (tmp_path / "one.csv").write_text("only\none\n")
     with pytest.raises(files.UnreadableFile):
