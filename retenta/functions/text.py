@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from itertools import chain
 
@@ -9,13 +10,15 @@ from pyspark.sql import Column, functions as F
 
 from retenta import schema
 
-_SPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
+# Every character that counts as whitespace.
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+              "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def strip(value: Column) -> Column:
-    """Remove every kind of whitespace from both ends (``trim`` handles blanks only)."""
-    return F.regexp_replace(F.regexp_replace(value, "^" + _SPACE, ""), _SPACE + "$", "")
+    """Remove every kind of whitespace from both ends (plain ``trim`` handles blanks only)."""
+    return F.btrim(value, F.lit(WHITESPACE))
 
 
 def folded(value: Column) -> Column:
@@ -46,7 +49,8 @@ def parse_number(value: Column) -> Column:
 
     The shape test keeps out texts that a plain cast would take, such as a type suffix, NaN or infinity.
     """
-    bare = F.regexp_replace(F.regexp_replace(value, r"[₹$,%]|" + _SPACE, ""), "−", "-")
+    # One pass: the minus is replaced, every other listed character is dropped.
+    bare = F.translate(value, "−₹$,%" + WHITESPACE, "-")
     return F.when(bare.rlike(_NUMBER), bare.try_cast("double"))
 
 
@@ -78,8 +82,17 @@ def chunks(value: Column, size: int = 300, overlap: int = 50, longer_than: int =
     if overlap >= size:
         raise ValueError("overlap must be smaller than the chunk size")
     body = strip(F.replace(value, F.lit("\x00"), F.lit("")))
-    starts = F.when(F.length(body) > 0,
-                    F.sequence(F.lit(1), F.length(body), F.lit(size - overlap)))
-    windows = F.transform(starts, lambda s: strip(F.substring(body, s, F.lit(size))))
-    return F.coalesce(F.filter(windows, lambda w: F.length(w) > longer_than),
-                      F.array().cast("array<string>"))
+    step = size - overlap
+    unit = math.gcd(size, step)
+    # The text is cut once into pieces of the greatest common length; a window is a run of pieces. Cutting every window
+    # out of the whole text would walk it from the start each time.
+    pieces = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{unit}}}"), F.lit(0))
+
+    def windows(p: Column) -> Column:
+        last = F.ceil(F.size(p) / F.lit(step // unit)).cast("int") - 1
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+                           lambda k: strip(F.array_join(F.slice(p, k * (step // unit) + 1, size // unit), "")))
+        return F.filter(runs, lambda w: F.length(w) > longer_than)
+
+    # Binding the pieces to a lambda variable evaluates them once per text.
+    return F.coalesce(F.transform(F.array(pieces), windows)[0], F.array().cast("array<string>"))

@@ -17,10 +17,13 @@ ROWS_PER_BUCKET = 1_000_000
 _BUCKET = "__bucket"
 
 
-def bucket_edges(df: DataFrame, column: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
-    """Inner edges cutting ``column`` into buckets of about ``rows_per_bucket`` rows; empty for small input."""
-    n = df.count()
-    k = min(math.ceil(n / rows_per_bucket), 10_000)
+def bucket_edges(df: DataFrame, column: str, rows_per_bucket: int = ROWS_PER_BUCKET,
+                 n: int | None = None) -> list[float]:
+    """Inner edges cutting ``column`` into buckets of about ``rows_per_bucket`` rows; empty for small input.
+
+    ``n`` is the number of rows, or an upper bound, when the caller knows it.
+    """
+    k = min(math.ceil((df.count() if n is None else n) / rows_per_bucket), 10_000)
     if k <= 1:
         return []
     probs = [i / k for i in range(1, k)]
@@ -39,17 +42,21 @@ def with_bucket(df: DataFrame, column: str, edges: Sequence[float]) -> DataFrame
 
 
 def running_totals(df: DataFrame, order_col: str, sums: Sequence[str], groups: Sequence[str] = (),
-                   descending: bool = False, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                   descending: bool = False, rows_per_bucket: int = ROWS_PER_BUCKET,
+                   edges: Sequence[float] | None = None) -> DataFrame:
     """Add ``cum_<c>``: the sum of ``c`` over the rows of the group up to and including this one.
 
     ``order_col`` must be unique inside a group. Each bucket is summed by its own task; the totals of earlier
-    buckets (one row per group and bucket) are then added.
+    buckets (one row per group and bucket) are then added. ``edges`` may come from an earlier call.
     """
-    bucketed = with_bucket(df, order_col, bucket_edges(df, order_col, rows_per_bucket))
+    edges = bucket_edges(df, order_col, rows_per_bucket) if edges is None else edges
+    bucketed = with_bucket(df, order_col, edges)
     turn = F.desc if descending else F.asc
     inside = (Window.partitionBy(*groups, _BUCKET).orderBy(turn(order_col))
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     summed = bucketed.select("*", *[F.sum(c).over(inside).alias(f"cum_{c}") for c in sums])
+    if not edges:
+        return summed.drop(_BUCKET)
 
     earlier = (Window.partitionBy(*groups).orderBy(turn(_BUCKET))
                .rowsBetween(Window.unboundedPreceding, -1))
@@ -76,8 +83,15 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     long = (values.unpivot([], columns, "column", "value")
             .filter(F.col("value").isNotNull() & ~F.isnan("value")))
-    edges = bucket_edges(long, "value", rows_per_bucket)
+    edges = bucket_edges(long, "value", rows_per_bucket, df.count() * len(columns))
     bucketed = with_bucket(long, "value", edges)
+    inside = (Window.partitionBy("column", _BUCKET).orderBy("value")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    if not edges:
+        counted = bucketed.groupBy("column", _BUCKET, "value").agg(F.count("*").alias("n"))
+        placed = counted.withColumn("upto", F.sum("n").over(inside)).withColumn(
+            "size", F.sum("n").over(Window.partitionBy("column", _BUCKET)))
+        return _interpolated(placed, probs)
 
     # Rows per column and bucket: at most len(columns) x len(edges) numbers.
     per_bucket = bucketed.groupBy("column", _BUCKET).agg(F.count("*").alias("n")).collect()
@@ -86,40 +100,38 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         total[r["column"]] = total.get(r["column"], 0) + r["n"]
     ranks = {c: sorted({f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)})
              for c, n in total.items()}
-    wanted, before = [], {}
+    before = {}
     for c in total:
         seen = 0
         for b, n in sorted((r[_BUCKET], r["n"]) for r in per_bucket if r["column"] == c):
             if any(seen <= rank < seen + n for rank in ranks[c]):
-                wanted.append((c, b))
-                before[(c, b)] = seen
+                before[f"{c}/{b}"] = seen
             seen += n
-    if not wanted:
+    if not before:
         return df.sparkSession.createDataFrame([], "column string, n bigint, q array<double>")
-
     where = F.concat_ws("/", "column", F.col(_BUCKET))
-    offset = F.create_map(*[F.lit(x) for (c, b), s in before.items() for x in (f"{c}/{b}", s)])
-    picked = (bucketed.filter(where.isin(*[f"{c}/{b}" for c, b in wanted]))
-              .groupBy("column", _BUCKET, "value").agg(F.count("*").alias("n")))
-    inside = (Window.partitionBy("column", _BUCKET).orderBy("value")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = picked.withColumn("upto", F.sum("n").over(inside) + offset[where])
-    size = F.create_map(*[F.lit(x) for c, n in total.items() for x in (c, n)])[F.col("column")]
+    offset = F.create_map(*[F.lit(x) for cell in before.items() for x in cell])
+    size = F.create_map(*[F.lit(x) for c, n in total.items() for x in (c, n)])
+    picked = (bucketed.filter(where.isin(*before)).groupBy("column", _BUCKET, "value").agg(F.count("*").alias("n")))
+    placed = picked.withColumn("upto", F.sum("n").over(inside) + offset[where]).withColumn("size", size[F.col("column")])
+    return _interpolated(placed, probs)
 
+
+def _interpolated(placed: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Quantiles from distinct values with their count ``n``, the count ``upto`` and including them, and the ``size``."""
     def at(rank: Column) -> Column:
         holds = (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
         return F.max(F.when(holds, F.col("value")))
 
-    aggs = []
-    for i, p in enumerate(probs):
-        position = (size - 1) * F.lit(float(p))
-        aggs += [at(F.floor(position)).alias(f"lo{i}"), at(F.ceil(position)).alias(f"hi{i}")]
-    found = placed.groupBy("column").agg(*aggs)
-    quantiles = []
-    for i, p in enumerate(probs):
-        position = (size - 1) * F.lit(float(p))
-        quantiles.append(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (position - F.floor(position)))
-    return found.select("column", size.cast("bigint").alias("n"), F.array(*quantiles).alias("q"))
+    def position(p: float) -> Column:
+        return (F.col("size") - 1) * F.lit(float(p))
+
+    found = placed.groupBy("column").agg(F.max("size").alias("size"), *[
+        x for i, p in enumerate(probs)
+        for x in (at(F.floor(position(p))).alias(f"lo{i}"), at(F.ceil(position(p))).alias(f"hi{i}"))])
+    quantiles = [F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (position(p) - F.floor(position(p)))
+                 for i, p in enumerate(probs)]
+    return found.select("column", F.col("size").cast("bigint").alias("n"), F.array(*quantiles).alias("q"))
 
 
 def quantile_map(df: DataFrame, columns: Sequence[str], probs: Sequence[float], **kw) -> Column:
@@ -132,14 +144,17 @@ def values_at_ranks(df: DataFrame, column: str, ranks: Sequence[int],
                     rows_per_bucket: int = ROWS_PER_BUCKET) -> dict[int, object]:
     """Exact values of ``column`` at 1-based ranks in ascending order. Only buckets holding a rank are sorted."""
     data = df.select(column).filter(F.col(column).isNotNull())
-    bucketed = with_bucket(data, column, bucket_edges(data, column, rows_per_bucket))
+    n = data.count()
+    edges = bucket_edges(data, column, rows_per_bucket, n)
+    bucketed = with_bucket(data, column, edges)
+    sizes = sorted(tuple(r) for r in bucketed.groupBy(_BUCKET).count().collect()) if edges else [(0, n)]
     seen, before, home = 0, {}, {}
-    for b, n in sorted(tuple(r) for r in bucketed.groupBy(_BUCKET).count().collect()):
+    for b, size in sizes:
         for k in ranks:
-            if seen < k <= seen + n:
+            if seen < k <= seen + size:
                 home[k] = b
                 before[b] = seen
-        seen += n
+        seen += size
     if not home:
         return {}
     offset = F.create_map(*[F.lit(x) for b, s in before.items() for x in (b, s)])

@@ -34,14 +34,15 @@ def kaplan_meier(df: DataFrame, duration: str, event: str, group: str | None = N
     per_t = stage(df.filter(F.col(duration).isNotNull() & F.col(event).isNotNull())
                   .groupBy(key.alias("group"), F.col(duration).cast("double").alias("t"))
                   .agg(F.sum(F.col(event).cast("bigint")).alias("d"), F.count("*").alias("c")), "per-duration")
-    risk = running_totals(per_t, "t", ["c"], ["group"], descending=True, rows_per_bucket=rows_per_bucket)
+    edges = bucket_edges(per_t, "t", rows_per_bucket)
+    risk = running_totals(per_t, "t", ["c"], ["group"], descending=True, edges=edges)
     n, d = F.col("cum_c"), F.col("d")
     steps = risk.select(
         "group", "t", "d", n.alias("n"),
         F.when(d < n, F.log(1 - d / n)).otherwise(0.0).alias("log_step"),
         (d >= n).cast("bigint").alias("emptied"),
         F.coalesce(F.try_divide(d.cast("double"), n * (n - d)), F.lit(0.0)).alias("green"))
-    s = running_totals(steps, "t", ["log_step", "emptied", "green"], ["group"], rows_per_bucket=rows_per_bucket)
+    s = running_totals(steps, "t", ["log_step", "emptied", "green"], ["group"], edges=edges)
     survival = F.when(F.col("cum_emptied") > 0, 0.0).otherwise(F.exp("cum_log_step"))
     inner = (survival > 0) & (survival < 1)
     width = z * F.sqrt("cum_green") / F.abs(F.col("cum_log_step"))
@@ -122,6 +123,8 @@ def cox_fit(df: DataFrame, covariates: Sequence[str], duration: str, event: str,
     sds = [moments[f"s_{x}"] or 1.0 for x in xs]
     data = base.select("__t", "__e", *[((F.col(x) - m) / s).alias(x) for x, m, s in zip(xs, means, sds)]).persist()
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    # Durations do not change between steps, so neither do the buckets of their running totals.
+    edges = bucket_edges(data.select("__t").distinct(), "__t", rows_per_bucket)
 
     def step(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         eta = sum((F.col(x) * F.lit(float(b)) for x, b in zip(xs, beta)), F.lit(0.0))
@@ -139,9 +142,8 @@ def cox_fit(df: DataFrame, covariates: Sequence[str], duration: str, event: str,
             *[of_dead(F.col(x)).alias(f"ex_{i}") for i, x in enumerate(xs)],
             *[F.sum(F.col("w") * F.col(xs[i]) * F.col(xs[j])).alias(f"s2_{i}_{j}") for i, j in pairs],
             *[of_dead(F.col("w") * F.col(xs[i]) * F.col(xs[j])).alias(f"e2_{i}_{j}") for i, j in pairs])
-        per_t = stage(per_t, "cox-step")
         risk = running_totals(per_t, "__t", ["s0", *[f"s1_{i}" for i in range(p)]], descending=True,
-                              rows_per_bucket=rows_per_bucket)
+                              edges=edges)
         # Efron: the k-th of d tied events sees the risk set less k/d of the tied weight.
         d = F.col("d")
         shares = F.when(d > 0, F.transform(F.sequence(F.lit(0), (d - 1).cast("int")), lambda k: k / d)).otherwise(
@@ -156,7 +158,7 @@ def cox_fit(df: DataFrame, covariates: Sequence[str], duration: str, event: str,
                            over_ties(lambda q, r: q / (r * r)).alias("c1"),
                            over_ties(lambda q, r: q * q / (r * r)).alias("c2"),
                            over_ties(lambda q, r: F.log(r)).alias("logs"))
-        acc = running_totals(stage(ties, "cox-ties"), "__t", ["a"], rows_per_bucket=rows_per_bucket)
+        acc = running_totals(ties, "__t", ["a"], edges=edges)
 
         def s(i):
             return F.col(f"cum_s1_{i}")
@@ -195,11 +197,10 @@ def cox_fit(df: DataFrame, covariates: Sequence[str], duration: str, event: str,
         eta = sum((F.col(x) * F.lit(float(b)) for x, b in zip(xs, beta)), F.lit(0.0))
         per_t = data.groupBy(F.col("__t").alias("t")).agg(
             F.count_if(F.col("__e") == 1).alias("d"), F.sum(F.exp(eta)).alias("w"))
-        risk = running_totals(stage(per_t, "cox-baseline"), "t", ["w"], descending=True,
-                              rows_per_bucket=rows_per_bucket)
-        hazard = stage(risk.filter("d > 0").select("t", (F.col("d") / F.col("cum_w")).alias("h")), "cox-hazard")
-        baseline = stage(running_totals(hazard, "t", ["h"], rows_per_bucket=rows_per_bucket)
-                         .select("t", F.col("cum_h").alias("h0")), "cox-baseline")
+        risk = running_totals(per_t, "t", ["w"], descending=True, edges=edges)
+        hazard = risk.filter("d > 0").select("t", (F.col("d") / F.col("cum_w")).alias("h"))
+        baseline = stage(running_totals(hazard, "t", ["h"], edges=edges).select("t", F.col("cum_h").alias("h0")),
+                         "cox-baseline")
     finally:
         data.unpersist()
     return CoxModel(names, [float(b / s) for b, s in zip(beta, sds)], means, float(np.abs(grad).max() / n),
