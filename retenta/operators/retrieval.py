@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from retenta import schema
 from retenta.functions import text
@@ -67,29 +68,36 @@ def nearest(queries: DataFrame, corpus: DataFrame, query_key: str, corpus_key: s
     out_schema = T.StructType([
         T.StructField(query_key, queries.schema[query_key].dataType),
         T.StructField(corpus_key, corpus.schema[corpus_key].dataType), T.StructField("similarity", T.DoubleType())])
+    arrow_types = [to_arrow_type(f.dataType) for f in out_schema]
     spark = corpus.sparkSession
     rows = queries.select(query_key, F.col(vector).cast("array<double>").alias("v")).orderBy(query_key)
     partial = None
     for keys, matrix in _blocks(rows, query_key, block):
         shared = spark.sparkContext.broadcast((keys, matrix))
 
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
             kept: list[list[tuple]] = [[] for _ in names]
-            for pdf in batches:
-                e = np.array(pdf["v"].tolist(), dtype=float)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
+                e = flat.reshape(batch.num_rows, -1).astype(float)
                 norm = np.linalg.norm(e, axis=1, keepdims=True)
                 unit = np.divide(e, norm, out=np.zeros_like(e), where=norm > 0)
                 # Rounding keeps equal vectors equal, whatever their place in a batch.
                 sims = np.round(unit @ q.T, 12)
+                ids = np.array(batch.column("k").to_pylist())
                 for j, held in enumerate(kept):
-                    held.extend(_best(sims[:, j], pdf[corpus_key].to_numpy(), k))
+                    held.extend(_best(sims[:, j], ids, k))
                     kept[j] = sorted(held, key=lambda x: (-x[1], x[0]))[:k]
             rows = [(names[j], i, s) for j, held in enumerate(kept) for i, s in held]
-            yield pd.DataFrame(rows, columns=[query_key, corpus_key, "similarity"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[c] for r in rows], type=t) for c, t in enumerate(arrow_types)],
+                names=[query_key, corpus_key, "similarity"])
 
-        found = corpus.select(corpus_key, F.col(vector).cast("array<double>").alias("v")).filter(
-            F.col("v").isNotNull()).mapInPandas(best, out_schema)
+        found = corpus.select(F.col(corpus_key).alias("k"), F.col(vector).alias("v")).filter(
+            F.col("v").isNotNull()).mapInArrow(best, out_schema)
         partial = found if partial is None else partial.unionByName(found)
     if partial is None:
         return spark.createDataFrame([], out_schema.add("rank", "int"))
@@ -102,7 +110,7 @@ def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> list[tuple]:
         top = np.flatnonzero(sims >= np.partition(sims, len(sims) - k)[len(sims) - k])
         sims, ids = sims[top], ids[top]
     order = np.lexsort((ids, -sims))[:k]
-    return [(ids[i], float(sims[i])) for i in order]
+    return [(ids[i].item(), float(sims[i])) for i in order]
 
 
 def _blocks(rows: DataFrame, key: str, block: int) -> Iterator[tuple[list, np.ndarray]]:

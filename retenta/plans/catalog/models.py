@@ -24,7 +24,7 @@ LIGHT = dataclasses.replace(DEFAULTS, trees=20, tree_depth=4, learning_rate=0.1)
 def _features(spark, d):
     df, contract = imputed_features(spark, d)
     columns = [c for c in contract if c not in pipeline.LEAKING and c != "tenure_months"]
-    split = stage(ordered_split(stage(df.select("order_col", "employee_id", "attrition_flag", *columns)), "order_col"))
+    split = ordered_split(stage(df.select("order_col", "employee_id", "attrition_flag", *columns)), "order_col")
     return split.filter("is_train"), split.filter("NOT is_train"), columns
 
 

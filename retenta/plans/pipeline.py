@@ -67,7 +67,7 @@ def training_job(table: DataFrame, contract: list[str], order_col: str = "order_
                  covariates: tuple[str, ...] = ("comp_compa_ratio", "org_manager_attrition", "trend_performance", "band"),
                  duration: str = "tenure_months", settings: Settings = DEFAULTS) -> Trained:
     """Ordered split, both classifiers, the choice between them, and the hazard model on the training part."""
-    split = stage(ordered_split(table, order_col, settings.train_fraction), "split")
+    split = ordered_split(table, order_col, settings.train_fraction)
     train, test = split.filter("is_train"), split.filter("NOT is_train")
     columns = [c for c in contract if c not in LEAKING and c != duration]
     model, meta, metrics = models.compare_models(train, test, columns, settings=settings)
