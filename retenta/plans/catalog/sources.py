@@ -6,11 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from retenta import schema
 from retenta.operators.explain import with_route
-from retenta.plans.catalog import on_subjects, query, rounded
-from retenta.plans.features import contract_of, subject_features
+from retenta.operators.grouping import stat_rows
+from retenta.plans.catalog import on_subjects, query
+from retenta.plans.features import FEATURE_SQL, PEERS_SQL, contract_of, subject_features
 from retenta.plans.scored import SCORED_SQL, rule_scored
-from retenta.plans.subjects import subjects, table
+from retenta.plans.subjects import ALL_COLUMNS, table
 from retenta.session import shared_dir
 from retenta.sources import files, logs
 
@@ -30,12 +32,22 @@ def _(spark, d):
     return clean_column_names(good).withColumn("customer_key", F.col("customer_key").cast("bigint"))
 
 
-@query("S3_feature_contract")
+_CONTRACT = [n for n in schema.BASE_FEATURES if n in FEATURE_SQL or n in ALL_COLUMNS]
+_CONTRACT = [n for n in _CONTRACT if not n.startswith(("overload_", "onboard_", "interact_overload", "interact_onboard"))] + [
+    n for n in FEATURE_SQL if n.startswith(("dept_", "circle_"))]
+
+
+@query("S3_feature_contract", on_subjects("\nUNION ALL\n".join(
+    f"SELECT {i} AS position, '{n}' AS feature, count({FEATURE_SQL.get(n, n)}) AS n_present FROM based"
+    for i, n in enumerate(_CONTRACT)), PEERS_SQL))
 def _(spark, d):
     path = _path(spark, "contract")
-    files.write_contract(spark, contract_of(subject_features(spark, d)), path)
+    table_ = subject_features(spark, d)
+    files.write_contract(spark, contract_of(table_), path)
     names = files.read_contract(spark, path)
-    return spark.createDataFrame(list(enumerate(names)), "position int, feature string")
+    place = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
+    return stat_rows(table_, names, lambda c: {"n_present": F.count(F.col(f"`{c}`"))}).select(
+        place[F.col("column")].alias("position"), F.col("column").alias("feature"), "n_present")
 
 
 @query("S4_text_folder", "SELECT CAST(sum(length(html)) + count(*) AS BIGINT) AS n_chars FROM pages")
