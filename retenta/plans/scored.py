@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from retenta import schema
 from retenta.operators import features, scoring
 from retenta.plans.subjects import subjects
+from retenta.session import stage
 
 _SCORE_INPUTS = ("manager_attrition_rate_6m", "login_freq_slope_30d", "perf_rating_current",
                  "months_since_promotion", "compa_ratio", "hike_vs_band_median", "months_since_hike",
@@ -19,7 +20,8 @@ _SCORE_INPUTS = ("manager_attrition_rate_6m", "login_freq_slope_30d", "perf_rati
 
 def rule_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = dict.fromkeys(["order_col", "employee_id", *schema.PROFILE_COLUMNS, *_SCORE_INPUTS])
-    base = subjects(spark, sf_dir, list(columns)).withColumn("rule_score", features.rule_score())
+    # The rescaling looks at the scores twice; staged, the joins behind them run once.
+    base = stage(subjects(spark, sf_dir, list(columns)).withColumn("rule_score", features.rule_score()), "ruled")
     scored = features.min_max(base, "rule_score", "p_attrition").withColumn(
         "median_survival_months",
         F.when(F.col("p_attrition") < 0.05, F.lit(float("inf")))

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from retenta.session import stage
+
 DEPARTMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 CIRCLES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 DEPARTMENT_REFERENCE, CIRCLE_REFERENCE = "BUILDING", "AFRICA"
@@ -116,8 +118,12 @@ def subjects(spark: SparkSession, sf_dir: str, columns: Sequence[str] = ALL_COLU
                .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
                .select("n_nationkey", "r_name"))
         out = out.join(geo, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    facts = _order_facts(orders)
+    if "compa_ratio" in want:
+        # Two passes need the facts: the department means and the table itself. Written once, the orders are too.
+        facts = stage(facts, "order-facts")
     if want & _ORDERS:
-        out = out.join(_order_facts(orders), F.col("c_custkey") == F.col("__ok"), "left")
+        out = out.join(facts, F.col("c_custkey") == F.col("__ok"), "left")
     if want & _EVENTS:
         out = out.join(_event_facts(table(spark, sf_dir, "events")), F.col("c_custkey") == F.col("__ek"), "left")
     if want & _LINES:
@@ -126,7 +132,9 @@ def subjects(spark: SparkSession, sf_dir: str, columns: Sequence[str] = ALL_COLU
 
     # A scalar is added once as a column: naming it in every expression would plan it once per mention.
     if want & _ORDERS:
-        out = out.withColumn("__as_of", as_of_date(spark, sf_dir))
+        latest = (facts.agg(F.max(F.to_date("last_order"))).scalar() if "compa_ratio" in want
+                  else as_of_date(spark, sf_dir))
+        out = out.withColumn("__as_of", latest)
     as_of = F.col("__as_of")
 
     def months(day: str) -> Column:
@@ -155,7 +163,7 @@ def subjects(spark: SparkSession, sf_dir: str, columns: Sequence[str] = ALL_COLU
         # Departments come from a closed list, so the means are a handful of numbers, kept as one scalar map.
         means = (
             table(spark, sf_dir, "customer").filter(F.col("c_mktsegment").isin(*DEPARTMENTS))
-            .join(_order_facts(orders).select("__ok", "avg_price"), F.col("c_custkey") == F.col("__ok"))
+            .join(facts.select("__ok", "avg_price"), F.col("c_custkey") == F.col("__ok"))
             .groupBy("c_mktsegment").agg(F.avg("avg_price").alias("m"))
             .agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "m")))).scalar()
         )
