@@ -9,7 +9,6 @@ from retenta.operators import scoring
 from retenta.plans.catalog import on_subjects, query, rounded
 from retenta.plans.scored import SCORED_SQL, rule_scored
 from retenta.plans.subjects import subjects, table
-from retenta.session import stage
 
 
 def _sql(body, *more):

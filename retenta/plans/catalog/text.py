@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from retenta import schema
 from retenta.functions.arrays import cosine, top_drivers
-from retenta.operators import explain, models, retrieval
+from retenta.operators import explain, retrieval
 from retenta.operators.ordering import top_k
 from retenta.plans.catalog import on_subjects, query, rounded
 from retenta.plans.features import FEATURE_SQL, PEERS_SQL, subject_base

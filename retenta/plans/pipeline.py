@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from retenta import schema
 from retenta.config import DEFAULTS, Settings
 from retenta.functions.arrays import top_drivers
-from retenta.operators import explain, features, ingest, models, retrieval, scoring, survival
+from retenta.operators import explain, ingest, models, retrieval, scoring, survival
 from retenta.operators.ordering import ordered_split
 from retenta.session import stage
 

@@ -3,7 +3,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from retenta.operators import survival
 from retenta.sources.models import load_cox, save_cox
