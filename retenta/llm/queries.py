@@ -36,3 +36,25 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op3_pii")
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    from retenta.llm.pii import KINDS, find
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    base = F.filter("spans", lambda x: x["base"])
+    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
+    return find(table(spark, folder, "documents")).select(
+        "doc_id", *counts, F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from retenta.llm.quality import judge, labelled_sample, learn
+    docs = table(spark, folder, "documents")
+    rules = learn(labelled_sample(docs, table(spark, folder, "labels")))
+    return judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                                     "base_failed", "kept")
