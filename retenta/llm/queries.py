@@ -46,7 +46,8 @@ def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
     base = F.filter("spans", lambda x: x["base"])
-    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
+    kinds = F.transform(base, lambda x: x["kind"])
+    counts = [F.size(F.filter(kinds, lambda x: x == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
     return find(table(spark, folder, "documents")).select(
         "doc_id", *counts, F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
