@@ -59,3 +59,12 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     rules = learn(labelled_sample(docs, table(spark, folder, "labels")))
     return judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                                      "base_failed", "kept")
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from retenta.llm.toxicity import fit, held_out, score, training_rows
+    docs = table(spark, folder, "documents")
+    machine = fit(training_rows(docs, table(spark, folder, "labels")))
+    return score(docs, machine).select("doc_id", held_out().alias("held_out"), "score",
+                                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
