@@ -68,3 +68,9 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     machine = fit(training_rows(docs, table(spark, folder, "labels")))
     return score(docs, machine).select("doc_id", held_out().alias("held_out"), "score",
                                        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op1_simhash")
+def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    from retenta.llm.simhash import near_copies
+    return near_copies(table(spark, folder, "documents"))
