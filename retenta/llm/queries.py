@@ -74,3 +74,9 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     from retenta.llm.simhash import near_copies
     return near_copies(table(spark, folder, "documents"))
+
+
+@query("op2_decontaminate")
+def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    from retenta.llm.decontaminate import leaks
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
