@@ -80,3 +80,17 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     from retenta.llm.decontaminate import leaks
     return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op7_licenses")
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    from retenta.llm.licenses import scan
+    at = F.transform("places", lambda x: x["at"].cast("bigint"))
+    base = F.array_distinct(F.transform("places", lambda x: x["label"]))
+    more = F.transform("stretches", lambda x: x["label"])
+    best = F.coalesce(F.array_max(F.transform("stretches", lambda x: x["cover"])), F.lit(0.0))
+    score = F.when(F.size("places") > 0, 1.0).otherwise(F.least(F.lit(1.0), best))
+    return scan(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"), F.array_min(at).alias("first_word"),
+        F.array_max(at).alias("last_word"), F.array_join(F.array_sort(base), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat(base, more))), ",").alias("labels"), score.alias("score"))
