@@ -94,3 +94,11 @@ def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"), F.array_min(at).alias("first_word"),
         F.array_max(at).alias("last_word"), F.array_join(F.array_sort(base), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(base, more))), ",").alias("labels"), score.alias("score"))
+
+
+@query("op10_urls")
+def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
+    from retenta.llm.url_filter import Rule, judge
+    rules = (Rule("allow", "com"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"),
+             Rule("block", "net", "/es/"), Rule("block", "net", "/fr/"))
+    return judge(table(spark, folder, "pages"), rules).drop("ratio")
