@@ -102,3 +102,9 @@ def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
     rules = (Rule("allow", "com"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"),
              Rule("block", "net", "/es/"), Rule("block", "net", "/fr/"))
     return judge(table(spark, folder, "pages"), rules).drop("ratio")
+
+
+@query("op6_secrets")
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    from retenta.llm.secret_scan import labelled_findings, scan, train
+    return scan(table(spark, folder, "documents"), train(labelled_findings(spark)))
