@@ -108,3 +108,10 @@ def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     from retenta.llm.secret_scan import labelled_findings, scan, train
     return scan(table(spark, folder, "documents"), train(labelled_findings(spark)))
+
+
+@query("op9_substrings")
+def op9_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    from retenta.llm.substrings import without_repeats
+    return without_repeats(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
