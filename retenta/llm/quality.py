@@ -62,24 +62,25 @@ def _with_repeated_words(texts: DataFrame) -> DataFrame:
     return at.withColumn("n_repeat_words", F.coalesce(total, F.lit(0)).cast("bigint")).drop("at")
 
 
-def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, the counts of a text and the ratios made of them.
+def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *keep: Column) -> DataFrame:
+    """Kept columns, ``doc_id``, the counts of a text and the ratios made of them.
 
     Null texts count as empty and have no words; ratios of texts without words are 0. Repeated rows and null ids stay,
     other columns are not read, an empty table gives an empty result. Whole texts are counted, however long.
     """
-    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
+    texts = docs.select(*keep, F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
                         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    kept = texts.columns[:len(keep)]
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
-    parts = texts.select("doc_id", "text", words.alias("words"), lines.alias("lines"))
+    parts = texts.select(*kept, "doc_id", "text", words.alias("words"), lines.alias("lines"))
     parts = _with_repeated_words(parts)
 
     def without(signs: str) -> Column:
         return F.length("text") - F.length(F.translate("text", signs, ""))
 
     counted = parts.select(
-        "doc_id", F.size("words").cast("bigint").alias("n_words"),
+        *kept, "doc_id", F.size("words").cast("bigint").alias("n_words"),
         F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("bigint").alias("word_chars"),
         without("#*$%&|<>").cast("bigint").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"), "n_repeat_words",
@@ -91,7 +92,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return F.when(F.col(b) > 0, F.col(a).cast("double") / F.col(b)).otherwise(F.lit(0.0))
 
     return counted.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *kept, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ratio("n_symbols", "n_words").alias("symbol_ratio"), ratio("n_dup_lines", "n_lines").alias("dup_line_ratio"),
         ratio("n_repeat_words", "n_words").alias("repeat_ratio"), ratio("word_chars", "n_words").alias("mean_word"),
         ratio("n_upper", "word_chars").alias("upper_ratio"), ratio("n_digits", "word_chars").alias("digit_ratio"),
@@ -186,8 +187,18 @@ def rejected_by(rules: list[Rule]) -> Column:
     return number
 
 
-def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Statistics with ``base_failed``, ``rule`` (number of the learned rule, else null) and ``kept``."""
-    rows = with_statistics(docs, id_col, text_col).withColumn("base_failed", base_failed())
+def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text", *keep: Column) -> DataFrame:
+    """Kept columns and statistics with ``base_failed``, ``rule`` (number of the learned rule, else null) and ``kept``."""
+    rows = with_statistics(docs, id_col, text_col, *keep).withColumn("base_failed", base_failed())
     rows = rows.withColumn("rule", rejected_by(rules))
     return rows.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def accepted(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns as they are.
+
+    A kept row is handed on by a generator, not selected by a filter: a filter would be pushed below the statistics, whose
+    expressions would then be written into each other and run many times.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return judge(docs, rules, id_col, text_col, row).select(F.inline(F.when(F.col("kept"), F.array("row"))))
