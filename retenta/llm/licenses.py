@@ -17,7 +17,7 @@ RUN = 4
 #: Diagonals at most this far apart are one alignment.
 GAP = 8
 #: Least share of a template's words that an alignment covers.
-COVER = 0.6
+COVER = 0.8
 
 # Public licence notices and texts.
 TEMPLATES = {
