@@ -38,6 +38,21 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
                        for c, t in df.dtypes])
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """Doubles to six decimals, with ties and what lies within float noise of a tie rounded up.
+
+    Both engines do this the same way (``steady_sql``); their own roundings treat ties apart, and a mean summed in another
+    order may lie just above or below one.
+    """
+    def value(c: str):
+        return F.floor(F.col(f"`{c}`") * F.lit(1e6) + F.lit(0.500001)).cast("double") / F.lit(1e6)
+    return df.select(*[value(c).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def steady_sql(expression: str) -> str:
+    return f"floor(CAST({expression} AS DOUBLE) * 1e6 + 0.500001) / 1e6"
+
+
 def load() -> None:
     for m in MODULES:
         importlib.import_module(f"{__name__}.{m}")

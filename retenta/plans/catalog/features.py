@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from retenta import schema
 from retenta.operators import features, profile, validation
 from retenta.operators.ordering import ordered_split
-from retenta.plans.catalog import on_subjects, query, rounded
+from retenta.plans.catalog import on_subjects, query, rounded, steady, steady_sql
 from retenta.plans.features import FEATURE_SQL, PEERS_SQL, contract_of, subject_base, subject_features
 from retenta.plans.scored import SCORED_SQL, rule_scored
 from retenta.plans.subjects import CIRCLES, DEPARTMENTS, subjects
@@ -43,13 +43,13 @@ def _feature_query(names, inputs):
     def run(spark, d):
         base = subject_base(spark, d, True) if inputs is None else subjects(spark, d, ["order_col", *inputs])
         exprs = features.feature_columns(base.columns)
-        return rounded(base.select("order_col", *[exprs[n].alias(n) for n in names]))
+        return steady(base.select("order_col", *[exprs[n].alias(n) for n in names]))
     return run
 
 
 def _feature_sql(names):
     cols = ", ".join(f"{FEATURE_SQL[n]} AS \"{n}\"" if FEATURE_SQL[n].startswith("CAST(CASE")
-                     else f"round({FEATURE_SQL[n]}, 6) AS \"{n}\"" for n in names)
+                     else f"{steady_sql(FEATURE_SQL[n])} AS \"{n}\"" for n in names)
     return on_subjects(f"SELECT order_col, {cols} FROM based", PEERS_SQL)
 
 
@@ -72,11 +72,11 @@ _RAW = [n for n in schema.BASE_FEATURES if n not in FEATURE_SQL]
 
 
 @query("F21_feature_table", on_subjects("SELECT order_col, employee_id, attrition_flag, band, " + ", ".join(
-    f"round({c}, 6) AS {c}" for c in _RAW if c != "band") + ", " + ", ".join(
-    f"{FEATURE_SQL[n]} AS \"{n}\"" if FEATURE_SQL[n].startswith("CAST(CASE") else f"round({FEATURE_SQL[n]}, 6) AS \"{n}\""
+    f"{steady_sql(c)} AS {c}" for c in _RAW if c != "band") + ", " + ", ".join(
+    f"{FEATURE_SQL[n]} AS \"{n}\"" if FEATURE_SQL[n].startswith("CAST(CASE") else f"{steady_sql(FEATURE_SQL[n])} AS \"{n}\""
     for n in _FINAL) + " FROM based", PEERS_SQL))
 def _(spark, d):
-    return rounded(subject_features(spark, d, True))
+    return steady(subject_features(spark, d, True))
 
 
 _PEER = on_subjects("SELECT order_col, peer_attrition_count_90d FROM based", PEERS_SQL)
