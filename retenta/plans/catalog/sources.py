@@ -21,15 +21,25 @@ def _path(spark, label):
     return f"{shared_dir(spark).rstrip('/')}/retenta/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-@query("S1_delimited_read", "SELECT c_custkey AS customer_key, c_name AS customer_name, c_mktsegment AS segment FROM customer")
+@query("S1_delimited_read", """
+SELECT c_custkey AS customer_key, CASE WHEN c_custkey % 7 = 1 THEN c_name || chr(10) || 'of; ' || c_name ELSE c_name END AS customer_name,
+  CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS segment, (SELECT count(*) FROM customer WHERE c_custkey % 7 = 2) AS n_rejected
+FROM customer WHERE c_custkey % 7 <> 2""")
 def _(spark, d):
-    path = _path(spark, "extract")
-    out = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("customer key"),
-                                             F.col("c_name").alias("Customer Name"), F.col("c_mktsegment").alias("segment"))
-    out.write.options(header=True, sep=";").csv(path)
-    good, _ = files.read_delimited(spark, path)
+    """All customers as an extract in which some rows lack a field, some have a quoted line break and some a field too many."""
+    path, kind = _path(spark, "extract"), F.col("c_custkey") % 7
+    name = F.when(kind == 1, F.concat(F.lit('"'), "c_name", F.lit("\nof; "), "c_name", F.lit('"'))).otherwise(F.col("c_name"))
+    line = F.concat_ws(";", F.col("c_custkey").cast("string"), name, F.when(kind != 0, F.col("c_mktsegment")),
+                       F.when(kind == 2, F.lit("surplus")))
+    first = F.monotonically_increasing_id() % (1 << 33) == 0        # every file begins with the header
+    lines = table(spark, d, "customer").select(F.when(first, F.array(F.lit("customer key;Customer Name;segment"), line))
+                                               .otherwise(F.array(line)).alias("lines"))
+    lines.select(F.explode("lines").alias("value")).write.text(path)
+    good, bad = files.read_delimited(spark, path)
     from retenta.operators.ingest import clean_column_names
-    return clean_column_names(good).withColumn("customer_key", F.col("customer_key").cast("bigint"))
+    rejected = bad.count()
+    return clean_column_names(good).select(F.col("customer_key").cast("bigint").alias("customer_key"), "customer_name", "segment",
+                                           F.lit(rejected).cast("bigint").alias("n_rejected"))
 
 
 _CONTRACT = [n for n in schema.BASE_FEATURES if n in FEATURE_SQL or n in ALL_COLUMNS]

@@ -25,12 +25,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by the session; a temporary one only where none is set."""
+    """Folder every executor can reach, as named by the session; a temporary one only for a local session without any."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="retenta-"))
     return context.getCheckpointDir()
 

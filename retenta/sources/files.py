@@ -14,40 +14,50 @@ class UnreadableFile(ValueError):
     """No separator gives more than one column."""
 
 
-def probe_dialect(spark: SparkSession, path: str, separators: Sequence[str] = SEPARATORS) -> tuple[str, str, list[str]]:
-    """Encoding, separator and header of a delimited extract.
+def probe_dialect(spark: SparkSession, path: str, separators: Sequence[str] = SEPARATORS) -> tuple[str, str, bool, list[str]]:
+    """Encoding, separator, whether fields hold line breaks, and header of a delimited extract.
 
-    The text is UTF-8 when every line is valid UTF-8 (one pass over the lines), and otherwise Latin-1, which reads any
-    bytes. The separator is the first one whose header row has more than one column.
+    The text is UTF-8 when every line is valid UTF-8, and otherwise Latin-1, which reads any bytes. A line with an odd number
+    of quotation marks shows a quoted field that goes on in the next line. Both come from one pass over all lines. The
+    separator is the first one whose header row has more than one column.
     """
-    valid = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value"))).first()[0]
+    lines = spark.read.text(path)
+    marks = F.length("value") - F.length(F.translate("value", '"', ""))
+    valid, broken = lines.agg(F.bool_and(F.is_valid_utf8("value")), F.bool_or(marks % 2 == 1)).first()
     encoding = "ISO-8859-1" if valid is False else "UTF-8"
     reader = spark.read.options(header=False, encoding=encoding, ignoreLeadingWhiteSpace=True)
     for sep in separators:
         rows = reader.option("sep", sep).csv(path).head(1)
         header = ["" if v is None else str(v) for v in rows[0]] if rows else []
         if len(header) > 1:
-            return encoding, sep, header
+            return encoding, sep, bool(broken), header
     raise UnreadableFile(f"no separator fits {path}")
 
 
 def read_delimited(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Raw extract as text columns, and the rows that do not fit the header, kept apart instead of lost."""
-    encoding, sep, header = probe_dialect(spark, path)
+    """Raw extract as text columns, and the rows with more fields than the header, kept apart instead of lost.
+
+    Missing fields at the end of a row are null, and line breaks in quoted fields stay. Where a field has such breaks, Spark
+    must read whole files, each in one task; other extracts are split as usual.
+    """
+    encoding, sep, broken, header = probe_dialect(spark, path)
     seen: dict[str, int] = {}
     names = []
     for raw in header:
         name = raw.lstrip("\ufeff")
         seen[name] = seen.get(name, 0) + 1
         names.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(CORRUPT, T.StringType())])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
     rows = (spark.read.schema(schema).options(
-        header=True, sep=sep, encoding=encoding, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT,
-        ignoreLeadingWhiteSpace=True, enforceSchema=True, columnPruning=False).csv(path))
-    # The CSV source refuses scans of the corrupt-row column alone, so both sides also touch a data column.
+        header=True, sep=sep, encoding=encoding, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, multiLine=broken,
+        escape='"', ignoreLeadingWhiteSpace=True, enforceSchema=True, columnPruning=False).csv(path))
+    # Rows of another length than the header are marked. Those with as many separators as the header has names, or more,
+    # have a field too many; the others were filled up with nulls.
+    outside = F.regexp_replace(CORRUPT, r'"(?:[^"]|"")*"', "")
+    long_ = F.coalesce(F.length(outside) - F.length(F.replace(outside, F.lit(sep), F.lit(""))) >= len(names), F.lit(False))
+    # The CSV source refuses scans of the marked column alone, so both sides also touch a data column.
     read = F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0
-    good = rows.filter(F.col(CORRUPT).isNull() & read).drop(CORRUPT)
-    return good, rows.filter(F.col(CORRUPT).isNotNull() & read).select(CORRUPT)
+    return rows.filter(~long_ & read).drop(CORRUPT), rows.filter(long_ & read).select(CORRUPT)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "parquet") -> DataFrame:

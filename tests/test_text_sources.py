@@ -92,6 +92,17 @@ def test_delimited_files(spark, tmp_path, sep, encoding):
     assert bad.count() == 1
 
 
+@pytest.mark.parametrize("sep", [",", ";", "|"])
+def test_short_rows_and_quoted_line_breaks_are_kept(spark, tmp_path, sep):
+    rows = [["id", "name", "city"], ["1", "a"], ["2", '"two\nlines"', "x"], ["3", "b", "y", "more"], ["4", "", "z"], ["5", "c", "w", ""], ["6"],
+            ["7", '"with ""marks"" and ' + sep + '"', "v"], ["8", "d", "u", "p", "q"]]
+    (tmp_path / "in.csv").write_text("\n".join(sep.join(r) for r in rows) + "\n")
+    good, bad = files.read_delimited(spark, str(tmp_path / "in.csv"))
+    assert sorted(tuple(r) for r in good.collect()) == [
+        ("1", "a", None), ("2", "two\nlines", "x"), ("4", None, "z"), ("6", None, None), ("7", f'with "marks" and {sep}', "v")]
+    assert bad.count() == 3 and {r[0][0] for r in bad.collect()} == {"3", "5", "8"}
+
+
 def test_encoding_is_decided_by_the_whole_file(spark, tmp_path):
     (tmp_path / "in.csv").write_bytes(b"id,name\n1,a\n2,bl\xe5\n")
     good, _ = files.read_delimited(spark, str(tmp_path / "in.csv"))
