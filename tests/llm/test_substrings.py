@@ -51,7 +51,7 @@ def test_ranks_and_backward_search():
                 assert found == same
 
 
-@pytest.mark.parametrize("tuning", [{}, {"shard": 7, "common": 2}])
+@pytest.mark.parametrize("tuning", [{}, {"shard": 7, "common": 2}, {"shard": 100, "common": 9}])
 def test_passages_against_plain_windows(spark, tuning):
     rng = random.Random(6)
     passages = [[f"p{rng.randrange(300)}" for _ in range(rng.randint(10, 70))] for _ in range(12)]
