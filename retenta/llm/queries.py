@@ -76,7 +76,33 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(table(spark, folder, "documents"))
 
 
-@query("op2_decontaminate")
+def _leaks_sql() -> str:
+    """The same masks, windows and choice of the best place, over words instead of hashes."""
+    from retenta.llm.decontaminate import MASKS, SAME, WINDOW
+
+    def words(table_: str, key: str) -> str:
+        upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        low = f"translate(coalesce(text, ''), '{upper}', '{upper.lower()}')"
+        return (f"SELECT {key}, regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM {table_} "
+                f"WHERE {key} IS NOT NULL")
+
+    def seeds(table_: str, key: str) -> str:
+        return " UNION ALL ".join(
+            f"SELECT {key}, words, spot, {m[-1] + 1} AS span, '{k}' || " + " || ' ' || ".join(f"words[spot + {o + 1}]" for o in m)
+            + f" AS seed FROM {table_}, unnest(range(0, len(words) - {m[-1]})) AS t(spot)" for k, m in enumerate(MASKS))
+
+    return f"""
+WITH docs AS ({words("documents", "doc_id")}), items AS ({words("benchmark", "item_id")}),
+ds AS ({seeds("docs", "doc_id")}), its AS ({seeds("items", "item_id")}),
+hits AS (SELECT doc_id, item_id, d.words AS dw, i.words AS iw, d.spot AS spot, d.span AS span, d.spot - i.spot AS start,
+                least({WINDOW}, len(i.words)) AS n FROM ds d JOIN its i USING (seed)),
+places AS (SELECT doc_id, item_id, start, n, list_sum([CASE WHEN dw[p + k + 1] = iw[p - start + k + 1] THEN 1 ELSE 0 END for k in range(0, n)]) AS same
+           FROM hits, unnest(range(greatest(0, start, spot - {WINDOW - 1}), least(len(dw), start + len(iw), spot + span + {WINDOW - 1}) - n + 1)) AS t(p)),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY same DESC, start) AS r FROM places WHERE same >= {SAME} * n)
+SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, CAST(same AS INTEGER) AS n_same, CAST(n AS INTEGER) AS n_words FROM best WHERE r = 1"""
+
+
+@query("op2_decontaminate", _leaks_sql())
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     from retenta.llm.decontaminate import leaks
     return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -110,7 +136,16 @@ def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return scan(table(spark, folder, "documents"), train(labelled_findings(spark)))
 
 
-@query("op9_substrings")
+@query("op9_substrings", r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS w FROM texts, unnest(range(1, len(words) - 11)) AS t(i)),
+firsts AS (SELECT w, min(doc_id) AS first_doc FROM windows GROUP BY w),
+gone AS (SELECT DISTINCT doc_id, p FROM windows JOIN firsts USING (w), unnest(range(i, i + 13)) AS t(p) WHERE first_doc < doc_id),
+placed AS (SELECT doc_id, p, words[p] AS word FROM texts, unnest(range(1, len(words) + 1)) AS t(p)),
+kept AS (SELECT doc_id, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY placed.p) FILTER (gone.p IS NULL) AS kept
+         FROM placed LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)""")
 def op9_substrings(spark: SparkSession, folder: str) -> DataFrame:
     from retenta.llm.substrings import without_repeats
     return without_repeats(table(spark, folder, "documents")).select(
