@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from retenta.operators.ordering import ROWS_PER_BUCKET, running_totals
+from retenta.session import stage
 
 
 def score_table(df: DataFrame, score: str, label: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Positives and negatives per distinct score, with running totals from the highest score down."""
-    counts = df.groupBy(F.col(score).alias("score")).agg(
-        F.sum(F.col(label).cast("bigint")).alias("pos"), F.sum(1 - F.col(label).cast("bigint")).alias("neg"))
+    """Positives and negatives per distinct score, with running totals from the highest score down.
+
+    The counts are read several times, so they are written once.
+    """
+    counts = stage(df.groupBy(F.col(score).alias("score")).agg(
+        F.sum(F.col(label).cast("bigint")).alias("pos"), F.sum(1 - F.col(label).cast("bigint")).alias("neg")), "scores")
     return running_totals(counts, "score", ["pos", "neg"], descending=True, rows_per_bucket=rows_per_bucket)
 
 

@@ -90,11 +90,6 @@ def dummies(column: str, prefix: str, categories: Sequence[str], reference: str)
     return {dummy_name(prefix, v): flag(F.col(column) == v) for v in sorted(categories) if v != reference}
 
 
-def category_list(df: DataFrame, column: str) -> list[str]:
-    """Sorted categories found in the data, for tables whose list is not known in advance."""
-    return sorted(r[0] for r in df.select(column).dropna().distinct().collect())
-
-
 # --------------------------------------------------------------- tables
 def peer_attrition(df: DataFrame, keys: Sequence[str] = ("department", "circle"),
                    label: str = "attrition_flag", name: str = "peer_attrition_count_90d") -> DataFrame:

@@ -54,7 +54,7 @@ def fit_trees(train: DataFrame, columns: Sequence[str], label: str = LABEL, sett
         VectorAssembler(inputCols=list(columns), outputCol="features"),
         GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", maxIter=settings.trees,
                       maxDepth=settings.tree_depth, stepSize=settings.learning_rate, seed=seed,
-                      checkpointInterval=-1 if settings.trees <= 50 else 10),
+                      checkpointInterval=10),
     ]).fit(weighted)
 
 

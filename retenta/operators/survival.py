@@ -12,7 +12,6 @@ from dataclasses import dataclass, field
 import math
 
 import numpy as np
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from retenta.operators.ordering import (ROWS_PER_BUCKET, bucket_edges, running_totals, with_bucket, _BUCKET)
@@ -209,25 +208,13 @@ def cox_fit(df: DataFrame, covariates: Sequence[str], duration: str, event: str,
 
 # --------------------------------------------------------------- prediction
 def first_at_least(df: DataFrame, target: Column, baseline: DataFrame, name: str,
-                   rows_per_bucket: int = ROWS_PER_BUCKET, small: int = 20_000) -> DataFrame:
+                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add the smallest ``t`` of ``baseline(t, h0)`` with ``h0 >= target``; null when the target is never reached.
 
-    A baseline of at most ``small`` points is searched in place by bisection. A longer one is merged with the distinct
-    targets in value order, one task per bucket of values; the first point of a later bucket fills the gaps.
+    The points are merged with the distinct targets in value order, one task per bucket of values; the first point of a later
+    bucket fills the gaps.
     """
-    points = baseline.groupBy("h0").agg(F.min("t").alias("t"))
-    if points.count() <= small:
-        found = points.orderBy(F.desc("h0")).collect()
-        if not found:
-            return df.withColumn(name, F.lit(None).cast("double"))
-        # Negated values turn the left-closed intervals of the bucketizer into the right-closed ones wanted here.
-        cutter = Bucketizer(splits=[-math.inf, *[-float(r["h0"]) for r in found], math.inf], inputCol="__y",
-                            outputCol="__at", handleInvalid="keep")
-        times = F.lit([float(r["t"]) for r in found])
-        at = F.col("__at").cast("int")
-        return (cutter.transform(df.withColumn("__y", -target))
-                .withColumn(name, F.when(at.between(1, len(found)), F.element_at(times, F.greatest(at, F.lit(1)))))
-                .drop("__y", "__at"))
+    points = stage(baseline.groupBy("h0").agg(F.min("t").alias("t")), "points")
     rows = df.withColumn("__y", target)
     edges = bucket_edges(points, "h0", rows_per_bucket)
     marked = with_bucket(points.select(F.col("h0").alias("__y"), F.col("t").alias("__t")), "__y", edges)
@@ -239,7 +226,9 @@ def first_at_least(df: DataFrame, target: Column, baseline: DataFrame, name: str
     ahead = (Window.partitionBy(_BUCKET).orderBy(F.col("__y"), F.col("__t").isNull().desc())
              .rowsBetween(Window.currentRow, Window.unboundedFollowing))
     filled = merged.withColumn("__f", F.first("__t", ignorenulls=True).over(ahead)).filter(F.col("__t").isNull())
-    answers = filled.join(nexts, _BUCKET, "left").select("__y", F.coalesce("__f", "__next").alias(name))
+    if edges:
+        filled = filled.join(nexts, _BUCKET, "left").withColumn("__f", F.coalesce("__f", "__next"))
+    answers = filled.select("__y", F.col("__f").alias(name))        # one bucket has none after it
     return rows.join(answers, "__y", "left").select(*df.columns, name)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -71,12 +72,13 @@ class Checks:
                    .otherwise(F.format_string("binary, rate=%.1f%%", F.avg(value) * 100)))
         return [_row("label_valid", self.label, "n_invalid", bad + nulls, (bad == 0) & (nulls == 0), message)]
 
-    def key_unique(self) -> list[Column]:
+    def key_unique(self) -> list[Column | DataFrame]:
         if self.key not in self.df.columns:
             return [_row("key_unique", self.key, "missing", F.lit(1), F.lit(False), F.lit("key column missing"))]
-        dup = (F.count("*") - F.count_distinct(self.key)
-               - F.coalesce(F.max(F.col(self.key).isNull().cast("bigint")), F.lit(0)))
-        return [_row("key_unique", self.key, "n_duplicates", dup, dup == 0, F.format_string("%d duplicate keys", dup))]
+        # Counted by itself: a distinct count next to the other checks would carry all their buffers through a shuffle by key.
+        dup = F.coalesce(F.sum(F.col("count") - 1), F.lit(0))
+        row = _row("key_unique", self.key, "n_duplicates", dup, dup == 0, F.format_string("%d duplicate keys", dup))
+        return [self.df.groupBy(self.key).count().agg(F.array(row).alias("rows")).select(F.inline("rows"))]
 
     def class_balance(self, low: float = 0.05, high: float = 0.60) -> list[Column]:
         rate = F.avg(self.label)
@@ -116,13 +118,17 @@ class Checks:
                                 F.when(full, "reference category not dropped").otherwise("reference dropped")))
         return out
 
-    def all(self) -> list[Column]:
+    def all(self) -> list[Column | DataFrame]:
         return [*self.inputs(), *self.row_count(), *self.features_present(), *self.no_nulls(), *self.label_valid(),
                 *self.key_unique(), *self.class_balance(), *self.ranges(), *self.variance(), *self.interactions(),
                 *self.dummies()]
 
-    def run(self, rows: Sequence[Column]) -> DataFrame:
-        return self.df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    def run(self, rows: Sequence[Column | DataFrame]) -> DataFrame:
+        """One pass for all checks that are columns; checks that bring their own frame are added."""
+        columns, frames = [r for r in rows if isinstance(r, Column)], [r for r in rows if isinstance(r, DataFrame)]
+        if columns:
+            frames.insert(0, self.df.agg(F.array(*columns).alias("rows")).select(F.inline("rows")))
+        return reduce(DataFrame.unionByName, frames)
 
 
 def split_check(df: DataFrame, order_col: str, label: str = "attrition_flag", fraction: float = 0.80,

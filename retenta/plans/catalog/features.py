@@ -214,7 +214,7 @@ SELECT is_train, count(*) AS n, min(l_partkey) AS lo, max(l_partkey) AS hi FROM
 def _(spark, d):
     from retenta.plans.subjects import table
     lines = table(spark, d, "lineitem").select("l_partkey")
-    parts = ordered_split(lines.distinct(), "l_partkey")
+    parts = ordered_split(stage(lines.distinct(), "parts"), "l_partkey")
     edge = parts.filter("is_train").agg(F.max("l_partkey")).scalar()
     return (lines.groupBy((F.col("l_partkey") <= edge).alias("is_train"))
             .agg(F.count("*").alias("n"), F.min("l_partkey").alias("lo"), F.max("l_partkey").alias("hi")))

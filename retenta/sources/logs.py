@@ -58,8 +58,8 @@ def append_digest(df: DataFrame, path: str) -> None:
 
 
 def read_digest(spark: SparkSession, path: str) -> DataFrame:
-    """Digest so far; unreadable or absent files count as an empty start."""
+    """Digest so far; an absent digest is an empty start. A damaged file is an error, for its rows would be lost."""
     try:
-        return spark.read.schema(DIGEST_SCHEMA).option("ignoreCorruptFiles", True).parquet(path)
+        return spark.read.schema(DIGEST_SCHEMA).parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], DIGEST_SCHEMA)
