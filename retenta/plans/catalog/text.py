@@ -106,11 +106,11 @@ def _(spark, d):
 
 
 @query("P17_alert_payload", on_subjects("""
-SELECT employee_id, '*' || employee_id || '* | Band ' || band || ' | ' || department || ' | ' || circle || chr(10)
-  || 'P(attrition): *' || printf('%.2f', round_even(p_attrition, 1)) || '* | EV: *Rs ' || format('{:,}', CAST(ev AS BIGINT)) || '*'
-  || chr(10) || chr(10) || '*Why at risk:*' || chr(10) || bullets || chr(10) || chr(10) || '*Recommendation:*' || chr(10)
-  || 'See full report' || chr(10) || chr(10) || '*Immediate actions:*' || chr(10) AS body
-FROM scored JOIN (SELECT employee_id AS id, string_agg('• ' || coalesce(label, replace(d.feature, '_', ' ')), chr(10) ORDER BY rank) AS bullets
+SELECT employee_id, department || ', ' || circle || ', band ' || band || ': *' || employee_id || '*' || chr(10)
+  || 'Likely to leave: *' || printf('%.2f', round_even(p_attrition, 1)) || '*, value of acting: *Rs ' || format('{:,}', CAST(ev AS BIGINT)) || '*'
+  || chr(10) || chr(10) || '*Main drivers*' || chr(10) || bullets || chr(10) || chr(10) || '*Advice*' || chr(10)
+  || 'No advice yet' || chr(10) || chr(10) || '*Next steps*' || chr(10) AS body
+FROM scored JOIN (SELECT employee_id AS id, string_agg('- ' || coalesce(label, replace(d.feature, '_', ' ')), chr(10) ORDER BY rank) AS bullets
   FROM drivers d LEFT JOIN labels_of l ON d.feature = l.feature GROUP BY 1) ON id = employee_id WHERE risk_tier = 'CRITICAL'""",
                                         PEERS_SQL, _DRIVERS_SQL, SCORED_SQL))
 def _(spark, d):
@@ -120,7 +120,7 @@ def _(spark, d):
 
 
 @query("P18_request_text", on_subjects("""
-SELECT employee_id, string_agg('- ' || coalesce(label, replace(d.feature, '_', ' ')) || ' (SHAP impact: '
+SELECT employee_id, string_agg('- ' || coalesce(label, replace(d.feature, '_', ' ')) || ' (weight '
   || CASE WHEN shap >= 0 THEN '+' ELSE '-' END || printf('%.3f', round_even(abs(shap), 1)) || ') — '
   || CASE WHEN shap > 0 THEN 'RISK FACTOR' ELSE 'PROTECTIVE' END, chr(10) ORDER BY rank) AS lines
 FROM drivers d LEFT JOIN labels_of l ON d.feature = l.feature GROUP BY 1""", PEERS_SQL, _DRIVERS_SQL))

@@ -103,11 +103,11 @@ def test_alert(spark):
     text = explain.alert_payload(df.withColumn("recommendation", rec)).first()["payload"]
     for part in ("E123", "0.82", "Rs 319,000", "• Salary below", "Because", "1. Give a raise"):
         assert part in text
-    assert "See full report" in explain.alert_payload(df).first()["payload"]
+    assert "No advice yet" in explain.alert_payload(df).first()["payload"]
 
 
 def test_signed_impacts(spark):
     df = spark.createDataFrame([(.1234,), (-.5,)], "s double")
     d = F.array(F.struct(F.lit("L").alias("label"), F.col("s").alias("shap"), F.lit("D").alias("direction")))
     assert [r[0] for r in df.select(explain.driver_lines(d)).collect()] == [
-        "- L (SHAP impact: +0.123) — D", "- L (SHAP impact: -0.500) — D"]
+        "- L (weight +0.123) — D", "- L (weight -0.500) — D"]
