@@ -101,7 +101,7 @@ def test_alert(spark):
     df = df.withColumn("shap_drivers", F.array(F.struct(F.lit("Salary below").alias("label"))))
     rec = F.struct(F.lit("Because").alias("narrative"), F.array(F.lit("Give a raise")).alias("immediate_actions"))
     text = explain.alert_payload(df.withColumn("recommendation", rec)).first()["payload"]
-    for part in ("E123", "0.82", "Rs 319,000", "• Salary below", "Because", "1. Give a raise"):
+    for part in ("E123", "0.82", "Rs 319,000", "- Salary below", "Because", "1) Give a raise"):
         assert part in text
     assert "No advice yet" in explain.alert_payload(df).first()["payload"]
 
