@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from retenta.llm.seeds import bloom_filter, plain_words, seed_column
-from retenta.llm.seeds import _passing as passing_seeds
+from retenta.llm.seeds import bloom_filter, passing, plain_words, seed_column
 from retenta.session import stage
 
 RUN = 4
@@ -132,7 +131,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wanted
     hashed = words.select("doc_id", F.size("words").cast("bigint").alias("n_words"), _phrase_places("words").alias("places"),
                           F.transform("words", lambda w: F.xxhash64(w)).alias("hs"))
     seeded = hashed.withColumn("seeds", seed_column(offsets, 0))
-    found = F.transform(passing_seeds("seeds", RUN, table, bits, 0), lambda x: F.struct(x["at"], x["seed"]))
+    found = F.transform(passing("seeds", RUN, table, bits, 0), lambda x: F.struct(x["at"], x["seed"]))
     rows = stage(seeded.select("doc_id", "n_words", F.array_sort("places").alias("places"), found.alias("found"),
                                F.monotonically_increasing_id().alias("doc")), "rows")
     hits = rows.select("doc", F.inline("found")).join(runs, "seed").select("doc", "template", "at", "template_at")

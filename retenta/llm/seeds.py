@@ -89,10 +89,10 @@ def found_seeds(rows: DataFrame, masks: tuple[tuple[int, ...], ...], table: Colu
     """
     for k, m in enumerate(masks):
         rows = rows.withColumn(f"seeds{k}", seed_column(m, k))
-    return rows.select(*keep, F.inline(F.concat(*[_passing(f"seeds{k}", m[-1] + 1, table, bits, reach) for k, m in enumerate(masks)])))
+    return rows.select(*keep, F.inline(F.concat(*[passing(f"seeds{k}", m[-1] + 1, table, bits, reach) for k, m in enumerate(masks)])))
 
 
-def _passing(seeds: str, span: int, table: Column, bits: int, reach: int) -> Column:
+def passing(seeds: str, span: int, table: Column, bits: int, reach: int) -> Column:
     places = F.when(F.size(seeds) > 0, F.sequence(F.lit(0), F.size(seeds) - 1)).otherwise(F.array().cast("array<int>"))
-    passing = F.filter(places, lambda i: in_filter(F.get(seeds, i), table, bits))
-    return F.transform(passing, lambda i: F.struct(i.alias("at"), F.get(seeds, i).alias("seed"), *_around(i, span, reach)))
+    hits = F.filter(places, lambda i: in_filter(F.get(seeds, i), table, bits))
+    return F.transform(hits, lambda i: F.struct(i.alias("at"), F.get(seeds, i).alias("seed"), *_around(i, span, reach)))
