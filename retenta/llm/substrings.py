@@ -3,7 +3,7 @@
 1. Every window of words has an anchor: the smallest hash of the short runs of words in it. Equal windows have equal anchors.
    Anchors are counted over the corpus; those of one document only are set aside.
 2. Neighbouring windows with one anchor form a segment. Segments whose anchor occurs in several documents are kept, with the
-   smallest document of each different segment, and sent to the shard of their anchor, so that equal windows meet there.
+   smallest and largest document of each different segment, and sent to the shard of their anchor: equal windows meet there.
 3. Each shard indexes its segments and searches every window of them backward. The rows found name all segments with that
    window, and so the first document that has it.
 4. Windows that start in an earlier document are taken out of the later ones.
@@ -25,12 +25,15 @@ from retenta.session import stage
 WINDOW, RUN = 13, 6
 #: Bound of the filter of repeated anchors. Past it more segments pass, which costs work and changes nothing.
 FILTER_BITS = 1 << 27
-#: Segments per shard, and segments of one anchor beyond which its windows are sent out one by one.
-SHARD, COMMON = 50_000, 20_000
+#: Repeated anchors per shard, and places of one anchor beyond which its windows are sent out one by one.
+SHARD, COMMON = 30_000, 200_000
+#: Anchors are counted by so many of their bits; two that agree in them only let more segments pass.
+COUNTED = (1 << 48) - 1
 
 
 def _segments(batch: pa.RecordBatch, window: int, run: int):
-    """Words of a batch and its segments: anchor, text, first window (place among all words) and number of windows."""
+    """Words of a batch and its segments: anchor (its counted bits), text, first window (place among all words) and number of
+    windows."""
     words = split_words(batch.column("text"))
     starts, codes = words.starts, words.codes
     none = np.zeros(0, dtype=np.int64)
@@ -51,14 +54,41 @@ def _segments(batch: pa.RecordBatch, window: int, run: int):
     at = np.flatnonzero(text[:len(low)] == text[window - 1:])
     new = np.r_[True, (np.diff(at) > 1) | (low[at[1:]] != low[at[:-1]]) | (text[at[1:]] != text[at[:-1]])] if len(at) else none.astype(bool)
     begin = np.flatnonzero(new)
-    return words, low[at[begin]], text[at[begin]], at[begin], np.diff(np.r_[begin, len(at)])
+    return words, low[at[begin]] & np.uint64(COUNTED), text[at[begin]], at[begin], np.diff(np.r_[begin, len(at)])
 
 
-def _filter_of(anchors: DataFrame) -> np.ndarray:
-    """Two bits per anchor in a bit table whose size follows their number up to a bound."""
-    n = anchors.count()
+def _repeated(batch: pa.RecordBatch, window: int, run: int, table: np.ndarray, busy: np.ndarray) -> pa.Table:
+    """Segments of a batch whose anchor passes the filter: ``doc``, ``copy``, ``start``, ``anchor`` and ``segment`` (its words).
+
+    Segments of a busy anchor are given as their single windows, each with a hash of its own words for an anchor.
+    """
+    words, anchors, text, at, n = _segments(batch, window, run)
+    keep = _in_filter(anchors, table)
+    anchors, text, at, n = anchors[keep], text[keep], at[keep], n[keep]
+    many = np.isin(anchors, busy)
+    if many.any():
+        single = np.repeat(at[many], n[many]) + np.arange(n[many].sum()) - np.repeat(np.cumsum(n[many]) - n[many], n[many])
+        one = hashed(words.vocabulary, 43)
+        with np.errstate(over="ignore"):
+            own = np.zeros(len(single), dtype=np.uint64)
+            for k in range(window):
+                own = (own ^ one[words.codes[single + k]]) * np.uint64(0x9E3779B97F4A7C15)
+                own ^= own >> np.uint64(31)
+        text = np.r_[text[~many], np.repeat(text[many], n[many])]
+        anchors, at, n = np.r_[anchors[~many], own], np.r_[at[~many], single], np.r_[n[~many], np.ones(len(single), dtype=np.int64)]
+    sizes = n + window - 1
+    ends = np.cumsum(sizes)
+    places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - (ends - sizes), sizes)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), words.vocabulary.take(pa.array(words.codes[places])))
+    return pa.table({"doc": batch.column("doc").take(pa.array(text)), "copy": batch.column("copy").take(pa.array(text)),
+                     "start": pa.array(at - words.starts[text], pa.int32()), "anchor": pa.array(anchors.view(np.int64)),
+                     "segment": pc.binary_join(lists, " ")})
+
+
+def _filter_of(anchors: DataFrame, n: int) -> np.ndarray:
+    """Two bits for each of ``n`` anchors in a bit table whose size follows their number up to a bound."""
     bits = min(FILTER_BITS, max(1 << 12, 1 << (16 * max(1, n) - 1).bit_length()))
-    number = F.explode(F.array(*[F.shiftrightunsigned("anchor", s).bitwiseAND(F.lit(bits - 1)) for s in (0, 32)]))
+    number = F.explode(F.array(*[F.shiftrightunsigned("anchor", s).bitwiseAND(F.lit(bits - 1)) for s in (0, 20)]))
     found = anchors.select(number.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
     table = np.zeros(bits // 64, dtype=np.uint64)
@@ -68,7 +98,7 @@ def _filter_of(anchors: DataFrame) -> np.ndarray:
 
 def _in_filter(anchors: np.ndarray, table: np.ndarray) -> np.ndarray:
     hit = np.ones(len(anchors), dtype=bool)
-    for shift in (0, 32):
+    for shift in (0, 20):
         bit = (anchors >> np.uint64(shift)) & np.uint64(64 * len(table) - 1)
         hit &= (table[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
     return hit
@@ -76,10 +106,12 @@ def _in_filter(anchors: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def _first_documents(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """For each segment of a shard the first document of each of its windows, through the shard's index."""
-    table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-    if table is None:
+    full = [b for b in batches if b.num_rows]
+    if not full:
         return
-    words = split_words(pc.cast(table.column("segment").combine_chunks(), pa.string()))
+    table = pa.Table.from_batches(full).group_by("segment").aggregate([("doc", "min"), ("last", "max")]) \
+        .rename_columns({"doc_min": "doc", "last_max": "last"}).combine_chunks()
+    words = split_words(pa.concat_arrays(table.column("segment").chunks))
     n = len(words.starts) - 1
     sizes = np.diff(words.starts)
     text = np.zeros(len(words.codes) + n, dtype=np.int64)           # a 0 behind every segment
@@ -120,40 +152,28 @@ def repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, shard: int =
             ids = batch.column("doc").to_numpy(zero_copy_only=False)[text]
             yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(ids)], names=["anchor", "doc"])
 
-    anchors = stage(docs.select("doc", "text").mapInArrow(anchors_of, "anchor bigint, doc bigint").groupBy("anchor")
-                    .agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("anchor"), "anchors")
-    table = spark.sparkContext.broadcast(_filter_of(anchors))
+    counted = docs.select("doc", "copy", "text").mapInArrow(anchors_of, "anchor bigint, doc bigint").groupBy("anchor") \
+        .agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n")).filter("least < most")
+    anchors = stage(counted.select("anchor", "n"), "anchors")
+    n = anchors.count()
+    busy = anchors.filter(F.col("n") > common).select("anchor").toArrow().column(0).to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast((_filter_of(anchors, n), busy))
+
+    def places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield from _repeated(batch, window, run, *shared.value).to_batches()
 
-    def segments_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def different_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each segment once per slice of texts, so that a passage of very many documents is sent on few times."""
         for batch in slices(batches):
-            words, anchors, text, at, n = _segments(batch, window, run)
-            keep = _in_filter(anchors, table.value)
-            anchors, text, at, n = anchors[keep], text[keep], at[keep], n[keep]
-            sizes = n + window - 1
-            ends = np.cumsum(sizes)
-            places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - np.r_[0, ends][:-1], sizes)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), words.vocabulary.take(pa.array(words.codes[places])))
-            start = at - words.starts[text]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc").take(pa.array(text)), batch.column("copy").take(pa.array(text)), pa.array(start, pa.int32()),
-                 pa.array(anchors.view(np.int64)), pc.binary_join(lists, " ")], names=["doc", "copy", "start", "anchor", "segment"])
-
-    found = stage(docs.mapInArrow(segments_of, "doc bigint, copy bigint, start int, anchor bigint, segment string"), "segments")
-    different = found.groupBy("anchor", "segment").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"))
-    busy = stage(found.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > common).select("anchor"), "common")
-    if not busy.isEmpty():                      # windows of a very common anchor go out one by one, by their own hash
-        busy = busy.withColumn("busy", F.lit(True))
-        parts = found.join(busy, "anchor", "left")
-        words = F.split("segment", " ")
-        single = parts.filter("busy").withColumn("words", words).select(
-            "doc", "copy", "start", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - (window - 1)), lambda i:
-                                                            F.array_join(F.slice("words", i, window), " "))).alias("k", "segment")) \
-            .select("doc", "copy", (F.col("start") + F.col("k")).alias("start"), F.xxhash64("segment").alias("anchor"), "segment")
-        found = stage(parts.filter("busy is null").select("doc", "copy", "start", "anchor", "segment").unionByName(single), "segments")
-        different = found.groupBy("anchor", "segment").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"))
-    shards = max(1, -(-found.count() // shard))
-    first = different.repartition(shards, "anchor").select("segment", "doc", "last") \
+            found = _repeated(batch, window, run, *shared.value).group_by(["anchor", "segment"]) \
+                .aggregate([("doc", "min"), ("doc", "max")]).rename_columns({"doc_min": "doc", "doc_max": "last"})
+            yield from found.select(["anchor", "segment", "doc", "last"]).to_batches()
+
+    first = docs.mapInArrow(different_of, "anchor bigint, segment string, doc bigint, last bigint") \
+        .repartition(max(1, -(-n // shard)), "anchor").select("segment", "doc", "last") \
         .mapInArrow(lambda batches: _first_documents(batches, window), "segment string, first array<bigint>")
+    found = docs.mapInArrow(places_of, "doc bigint, copy bigint, start int, anchor bigint, segment string")
 
     def key(name: str) -> list:
         return [F.xxhash64(name).alias("k1"), F.xxhash64(F.lit(1), name).alias("k2")]
