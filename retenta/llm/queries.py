@@ -150,3 +150,14 @@ def op9_substrings(spark: SparkSession, folder: str) -> DataFrame:
     from retenta.llm.substrings import without_repeats
     return without_repeats(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op11_pieces")
+def op11_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from retenta.llm.pieces import encode
+    rows = encode(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
+    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "agrees")
