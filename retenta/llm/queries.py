@@ -170,3 +170,26 @@ def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
     from retenta.llm.alignment import align
     return align(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                  public_tokenizers.path("piece_bpe_32k.model"), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
+@query("op12_collocations", r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM split GROUP BY lang),
+known AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+          FROM split, unnest(range(1, 5)) AS s(k), unnest(range(1, len(w) - k + 2)) AS t(i) GROUP BY ALL HAVING count(*) >= 30),
+candidates AS (SELECT lang, k AS size, phrase, string_split(phrase, ' ') AS w, f AS a FROM known WHERE k > 1),
+cuts AS (SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (x.f + y.f) AS BIGINT) AS score
+         FROM (SELECT *, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:size], ' ') AS tail
+               FROM candidates, unnest(range(1, size)) AS t(k)) c
+         JOIN known x ON x.lang = c.lang AND x.phrase = c.head JOIN known y ON y.lang = c.lang AND y.phrase = c.tail),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_phrases AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS around
+                  FROM candidates, unnest(range(2, size)) AS s(m), unnest(range(1, size - m + 2)) AS t(i) GROUP BY ALL),
+kept AS (SELECT l.* FROM lowest l LEFT JOIN inner_phrases i USING (lang, phrase) WHERE i.around IS NULL OR 100 * CAST(i.around AS HUGEINT) < 80 * l.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM
+    (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang) WHERE rank <= 2000""")
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    from retenta.llm.collocations import collocations
+    return collocations(table(spark, folder, "documents"))
