@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain, groupby
+from itertools import chain, groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ from retenta.llm.bpe import _ship
 MARK = "▁"
 #: Stretches kept per worker; the table is emptied when full. Longer stretches are encoded anew each time.
 REMEMBERED, LONG = 400_000, 200
+#: Characters up to which stretches are merged many at a time; rank of pairs that make no piece.
+FEW, NONE = 40, 1 << 30
 
 
 class PieceEncoder:
@@ -45,9 +47,28 @@ class PieceEncoder:
         if any(p.type in (kinds.USER_DEFINED, kinds.UNUSED) for p in model.pieces):
             raise ValueError("user-defined and unused pieces are not handled")
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
+        self.pieces = list(self.ids.values())
+        #: Symbols by number: pieces, then single characters that only stand inside pieces.
+        self.symbols = [*self.ids, *sorted(set().union(*self.ids) - self.ids.keys())]
+        self.number = {x: k for k, x in enumerate(self.symbols)}
         scores = np.array([model.pieces[i].score for i in self.ids.values()], dtype=np.float64)
         order = np.unique(-scores, return_inverse=True)[1].tolist()          # equal scores get equal ranks
-        self.rank = dict(zip(self.ids, order, strict=True))
+        #: Rank and number of the piece that two symbols make.
+        self.rank, self.joint = {}, {}
+        for piece, rank in zip(self.ids, order, strict=True):
+            for cut in range(1, len(piece)):
+                left, right = self.number.get(piece[:cut]), self.number.get(piece[cut:])
+                if left is not None and right is not None:
+                    self.rank[left << 24 | right], self.joint[left << 24 | right] = rank, self.number[piece]
+        keys = sorted(self.rank)
+        none = np.iinfo(np.int64).max
+        self._keys = np.array([*keys, none], dtype=np.int64)
+        self._ranks = np.array([*map(self.rank.get, keys), NONE], dtype=np.int32)
+        self._joints = np.array([*map(self.joint.get, keys), -1], dtype=np.int32)
+        self._chars = np.full(0x110000, -1, dtype=np.int32)
+        for x, k in self.number.items():
+            if len(x) == 1:
+                self._chars[ord(x)] = k
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
         self.byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
         self.control = {i for i, p in enumerate(model.pieces) if p.type == kinds.CONTROL}
@@ -68,45 +89,95 @@ class PieceEncoder:
         self._known: dict[str, tuple[int, ...]] = {}
         self._wrong: set[str] = set()
 
-    def merged(self, marked: str) -> list[str]:
-        """The symbols that are left of a marked text when no pair of neighbours is a piece."""
-        symbols, rank, n = list(marked), self.rank.get, len(marked)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = []
-        for i in range(n - 1):
-            piece = symbols[i] + symbols[i + 1]
-            r = rank(piece)
-            if r is not None:
-                agenda.append((r, i, piece))
+    def merged(self, marked: str) -> list[int]:
+        """The symbols that are left of a marked text when no two neighbours make a piece; a character unknown to the model is
+        its negative code point less one."""
+        number = self.number.get
+        return self._many([number(c, -1 - ord(c)) for c in marked], self.rank.get, self.joint)
+
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Number of each pair in ``self._keys``, or that of the entry behind them."""
+        key = left.astype(np.int64) << 24 | right
+        at = np.searchsorted(self._keys, key)
+        return np.where(self._keys[at] == key, at, len(self._keys) - 1)
+
+    def _together(self, names: list[str]) -> list[list[int]]:
+        """The symbols left of many short texts, as ``merged``. Each text is a row of symbols with an agenda of ranks beside it;
+        in every round the first best pair of each row is merged."""
+        sizes = np.array(list(map(len, names)))
+        width, n = int(sizes.max()), len(names)
+        points = np.frombuffer("".join(names).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        inside = np.arange(width) < sizes[:, None]
+        row = np.full((n, width), NONE - (1 << 29), dtype=np.int32)       # no symbol has this number
+        found = self._chars[points]
+        row[inside] = np.where(found >= 0, found, -1 - points)
+        agenda = self._ranks[self._pair(row[:, :-1], row[:, 1:])] if width > 1 else np.zeros((n, 0), np.int32)
+        done, at, spots = [None] * n, np.arange(n), np.arange(width)
+        while True:
+            best = agenda.argmin(1) if agenda.shape[1] else np.zeros(len(at), np.int64)
+            open_ = agenda[np.arange(len(at)), best] < NONE if agenda.shape[1] else np.zeros(len(at), bool)
+            for k, found, size in zip(at[~open_].tolist(), row[~open_].tolist(), sizes[~open_].tolist()):
+                done[k] = found[:size]
+            if not open_.any():
+                return done
+            at, row, agenda, sizes, i = at[open_], row[open_], agenda[open_], sizes[open_] - 1, best[open_]
+            width = int(sizes.max())
+            every = np.arange(len(at))
+            piece = self._joints[self._pair(row[every, i], row[every, i + 1])]
+            before, behind = row[every, np.maximum(i - 1, 0)], row[every, np.minimum(i + 2, row.shape[1] - 1)]
+            last = i + 1 >= sizes                                       # nothing stands behind the merged pair
+            row = np.take_along_axis(row, spots[:width] + (spots[:width] > i[:, None]), 1)
+            row[every, i] = piece
+            if width == 1:
+                agenda = np.zeros((len(at), 0), np.int32)
+                continue
+            agenda = np.take_along_axis(agenda, np.minimum(spots[:width - 1] + (spots[:width - 1] >= i[:, None]), agenda.shape[1] - 1), 1)
+            agenda[np.arange(width - 1) >= sizes[:, None] - 1] = NONE
+            agenda[every[i > 0], i[i > 0] - 1] = self._ranks[self._pair(before[i > 0], piece[i > 0])]
+            agenda[every[~last], i[~last]] = self._ranks[self._pair(piece[~last], behind[~last])]
+
+    @staticmethod
+    def _many(row: list[int], rank, joint) -> list[int]:
+        """The agenda of a long row is a heap of rank and place; entries whose pair has changed since are skipped."""
+        n = len(row)
+        after, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), [False] * n
+        agenda = [r << 40 | i for i, (a, b) in enumerate(pairwise(row)) if (r := rank(a << 24 | b)) is not None]
         heapify(agenda)
         while agenda:
-            _, i, piece = heappop(agenda)
+            entry = heappop(agenda)
+            i = entry & (1 << 40) - 1
             j = after[i]
-            if not symbols[i] or j >= n or len(symbols[i]) + len(symbols[j]) != len(piece):
-                continue                    # one of the two has been merged since
-            symbols[i], symbols[j] = piece, ""
+            if gone[i] or j >= n or rank(row[i] << 24 | row[j]) != entry >> 40:
+                continue
+            piece = row[i] = joint[row[i] << 24 | row[j]]
+            gone[j] = True
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                right = piece + symbols[k]
-                r = rank(right)
+                r = rank(piece << 24 | row[k])
                 if r is not None:
-                    heappush(agenda, (r, i, right))
+                    heappush(agenda, r << 40 | i)
             h = before[i]
             if h >= 0:
-                left = symbols[h] + piece
-                r = rank(left)
+                r = rank(row[h] << 24 | piece)
                 if r is not None:
-                    heappush(agenda, (r, h, left))
-        return [s for s in symbols if s]
+                    heappush(agenda, r << 40 | h)
+        return [x for x, out in zip(row, gone) if not out]
 
     def stretch(self, marked: str) -> tuple[int, ...]:
-        """Ids of a marked text; characters without a piece become their bytes, or the unknown id."""
+        """Ids of a marked text."""
+        return self._named(self.merged(marked))
+
+    def _named(self, row: list[int]) -> tuple[int, ...]:
+        """Ids of symbols; characters without a piece become their bytes, or the unknown id."""
+        if row and min(row) >= 0 and max(row) < len(self.pieces):
+            return tuple(map(self.pieces.__getitem__, row))
+        ids, symbols = self.ids, self.symbols
         out: list[int] = []
-        for symbol in self.merged(marked):
-            found = self.ids.get(symbol)
-            if found is not None:
-                out.append(found)
+        for x in row:
+            symbol = symbols[x] if x >= 0 else chr(-1 - x)
+            if symbol in ids:
+                out.append(ids[symbol])
             elif self.byte_ids:
                 out += [self.byte_ids[b] for b in symbol.encode("utf-8")]
             else:
@@ -125,8 +196,16 @@ class PieceEncoder:
             known.clear()
             new = stretches
         names = list(new)
+        short: dict[int, list[str]] = {}    # of similar length, so that rows waste little
         for name in names:
-            known[name] = self.stretch(name)
+            if len(name) > FEW:
+                known[name] = self.stretch(name)
+            else:
+                short.setdefault(len(name) // 4, []).append(name)
+        for group in short.values():
+            for lo in range(0, len(group), 50_000):
+                for name, row in zip(group[lo:lo + 50_000], self._together(group[lo:lo + 50_000]), strict=True):
+                    known[name] = self._named(row)
         if check:                           # the library sets the first mark itself, and gives nothing for nothing
             asked = [x for x in names if len(x) > 1]
             for name, ids in zip(asked, self.library.encode([x[1:] for x in asked], num_threads=1), strict=True):
