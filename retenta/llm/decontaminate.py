@@ -53,5 +53,5 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents in which a test item is found; columns stay, and rows with a null id are kept."""
-    found = leaks(docs, items, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct()
+    found = stage(leaks(docs, items, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct(), "leaking")
     return docs.join(found, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
