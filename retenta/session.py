@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,13 +39,31 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
+_SCRATCH: list[list[str]] = []
+
+
+def stage(df: DataFrame, label: str = "stage", lasting: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where several passes read one derived table: the lineage ends at files that outlive an executor, later
-    scans prune columns and push filters down, and the planner sees the true size of small results.
+    scans prune columns and push filters down, and the planner sees the true size of small results. Inside ``scratch``
+    the files go when the block ends, unless they are ``lasting``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/retenta/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    if _SCRATCH and not lasting:
+        _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A block whose staged tables are removed at its end. What it hands on must be staged as ``lasting``."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for name in _SCRATCH.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
