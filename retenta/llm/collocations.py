@@ -4,8 +4,8 @@
    fixed odd base B, the sums S[i] = h[0] + h[1] B + ... + h[i-1] B^(i-1) give every n-gram as (S[i+n] - S[i]) / B^i, modulo 2^64.
    Each different n-gram of a slice becomes one row: fingerprint, number, and pointer (text, place) to its first occurrence; all
    occurrences in the slice are compared with that one word by word, and differing ones become rows of their own.
-2. A shuffle adds up the rows of a fingerprint. Words and pairs go first; of longer n-grams only those whose pairs are all
-   frequent are counted, which a bit table of bounded size tells (its errors only let more through).
+2. A shuffle adds up the rows of a fingerprint. Words go first, then pairs of frequent words, then longer n-grams whose pairs are
+   all frequent, which a bit table of bounded size tells (its errors only let more through).
 3. Rows of frequent fingerprints follow their pointers into the texts and become phrases, which are added up as text: two
    phrases that share a fingerprint part here. Rare phrases are never written out.
 4. Cuts, containment and ranks are joins and aggregates over frequent phrases.
@@ -105,22 +105,23 @@ class Slice:
         return tuple(np.concatenate(x) for x in zip((sorted_prints[begins], spots[begins], counts), more, strict=True))
 
 
-def _rows(part: Slice, numbers: np.ndarray, sizes: tuple[int, ...], table: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _rows(part: Slice, numbers: np.ndarray, sizes: tuple[int, ...], inner: int, table: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """The different n-grams of a slice. With a table, only those all of whose ``inner``-grams it holds."""
     allowed = None
+    if table is not None:
+        at, prints = part.prints(inner)
+        allowed = np.zeros(len(part.codes), dtype=bool)
+        allowed[at[_in_filter(prints, table)]] = True
     for n in sizes:
         at, prints = part.prints(n)
-        if table is not None:
-            if allowed is None:             # places at which a frequent pair may start
-                pairs, found = part.prints(2)
-                allowed = np.zeros(len(part.codes), dtype=bool)
-                allowed[pairs[_in_filter(found, table)]] = True
+        if allowed is not None:
             keep = np.ones(len(at), dtype=bool)
-            for k in range(n - 1):
+            for k in range(n - inner + 1):
                 keep &= allowed[at + k]
             at, prints = at[keep], prints[keep]
         prints, first, counts = part.different(at, prints, n)
         yield _batch(prints.view(np.int64), n, counts, numbers[part.text[first]], part.place[first])
-    if table is None and len(part.codes):   # all words of a language, as phrases of no words
+    if allowed is None and len(part.codes):     # all words of a language, as phrases of no words
         per_text = np.bincount(part.text, minlength=len(part.language))
         names, first, of = np.unique(part.language, return_index=True, return_inverse=True)
         yield _batch(names, 0, np.bincount(of, weights=per_text).astype(np.int64), numbers[first], np.zeros(len(names), np.int64))
@@ -132,11 +133,11 @@ def _batch(prints, n, counts, row, place) -> pa.RecordBatch:
          pa.array(place, pa.int32())], names=["print", "size", "times", "row", "place"])
 
 
-def _grams(texts: DataFrame, sizes: tuple[int, ...], table=None) -> DataFrame:
+def _grams(texts: DataFrame, sizes: tuple[int, ...], inner: int = 0, table=None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             part = Slice(batch.column("text"), batch.column("lang"))
-            yield from _rows(part, batch.column("row").to_numpy(), sizes, None if table is None else table.value)
+            yield from _rows(part, batch.column("row").to_numpy(), sizes, inner, None if table is None else table.value)
 
     return texts.select("row", "lang", "text").mapInArrow(work, "print bigint, size tinyint, times bigint, row bigint, place int")
 
@@ -179,11 +180,13 @@ def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, tex
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     texts = stage(docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(UNKNOWN)).alias("lang"),
                               text.alias("text")).filter("text <> ''"), "texts")
-    found = stage(_frequent(_grams(texts, tuple(range(min(2, longest) + 1))[1:]), least), "short_grams")
-    if longest > 2:
-        pairs = found.filter("size = 2").select(F.col("print").alias("anchor")).distinct()
-        table = docs.sparkSession.sparkContext.broadcast(_filter_of(pairs, pairs.count()))
-        found = found.union(stage(_frequent(_grams(texts, tuple(range(3, longest + 1)), table), least), "long_grams"))
+    found = last = stage(_frequent(_grams(texts, (1,)), least), "words")
+    for inner, sizes in ((1, (2,)), (2, tuple(range(3, longest + 1)))):
+        if sizes and longest > inner:
+            known = last.filter(F.col("size") == inner).select(F.col("print").alias("anchor")).distinct()
+            table = docs.sparkSession.sparkContext.broadcast(_filter_of(known, known.count()))
+            last = stage(_frequent(_grams(texts, sizes, inner, table), least), "grams")
+            found = found.union(last)
     return stage(_phrases(found, texts).filter((F.col("f") >= least) | (F.col("size") == 0) & (F.col("f") > 0)), "phrases")
 
 
