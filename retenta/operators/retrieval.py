@@ -6,8 +6,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -33,75 +31,105 @@ def chunk_documents(docs: DataFrame, source: str, body: str, size: int = 300, ov
     return rows.select(ident.alias("id"), "source", "chunk_idx", "total_chunks", "content")
 
 
-def fit_text_vectors(chunks: DataFrame, body: str = "content", features: int = 4096) -> PipelineModel:
-    """Term vectors for texts without an embedding: tokens, hashed counts, inverse document frequency, unit length."""
-    return Pipeline(stages=[
-        Tokenizer(inputCol=body, outputCol="__tokens"),
-        HashingTF(inputCol="__tokens", outputCol="__counts", numFeatures=features),
-        IDF(inputCol="__counts", outputCol="__idf"),
-        Normalizer(inputCol="__idf", outputCol="__unit"),
-    ]).fit(chunks)
+# --------------------------------------------------------------- passages by shared terms
+def terms(body: Column) -> Column:
+    """Lower-cased runs of letters and digits."""
+    return F.regexp_extract_all(F.lower(body), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def text_vectors(df: DataFrame, model: PipelineModel, name: str = "embedding") -> DataFrame:
-    out = model.transform(df)
-    return out.select(*df.columns, vector_to_array("__unit", "float32").alias(name))
+def _damped(times: Column) -> Column:
+    return 1 + F.log(times.cast("double"))
 
 
+def term_weights(df: DataFrame, key: str, body: str) -> DataFrame:
+    """The inverted form of texts: ``(key, term, weight)``, one row per text and different term.
+
+    A term found n times weighs ``1 + ln n``, divided by the length of the text's vector, which is found within the row.
+    """
+    split = df.select(key, terms(F.col(body)).alias("__terms"))
+    counted = split.select(key, F.transform(F.array_distinct("__terms"), lambda t: F.struct(
+        t.alias("term"), _damped(F.size(F.filter("__terms", lambda x: x == t))).alias("weight"))).alias("__counts"))
+    length = F.sqrt(F.aggregate("__counts", F.lit(0.0), lambda s, c: s + c["weight"] * c["weight"]))
+    rows = counted.select(key, length.alias("__length"), F.explode("__counts").alias("c"))
+    return rows.select(key, "c.term", (F.col("c.weight") / F.col("__length")).alias("weight"))
+
+
+def search(queries: DataFrame, chunks: DataFrame, query: str = "query", key: str = "chunk_id", body: str = "content",
+           k: int = 2) -> DataFrame:
+    """Exact ``k`` most similar chunks per search text by an inverted index: ``(query, key, similarity, rank)``.
+
+    Cosine similarity of damped term counts, where terms of search texts also weigh ``ln((N + 1) / (df + 1))``. Only
+    postings of terms that some search text has are kept, so what is shuffled is the postings asked for, pre-summed per
+    (query, chunk); no vectors are built and no pair without a shared term appears. A search text none of whose terms
+    is found has no rows. Equal similarities (to nine decimals) are ordered by key; null texts have no terms.
+    """
+    if query == key:
+        raise ValueError("query and chunk keys need different names")
+    asked = stage(term_weights(queries.select(query).distinct().withColumn("__body", F.col(query)), query, "__body"), "asked")
+    postings = stage(term_weights(chunks, key, body).join(asked.select("term").distinct(), "term", "left_semi"), "postings")
+    n = chunks.agg(F.count("*")).scalar()
+    rarity = F.log((n + 1) / (F.coalesce("df", F.lit(0)) + 1))
+    weighed = asked.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term", "left") \
+        .select(query, "term", (F.col("weight") * rarity).alias("q"))
+    weighed = stage(weighed, "weighed")
+    length = weighed.groupBy(query).agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("length"))
+    sums = postings.join(weighed, "term").groupBy(query, key).agg(F.sum(F.col("q") * F.col("weight")).alias("dot"))
+    found = sums.join(length, query).select(query, key, F.round(F.col("dot") / F.col("length"), 9).alias("similarity"))
+    return top_k(found.filter("similarity > 0"), k, [F.desc("similarity"), F.col(key)], [query])
+
+
+# --------------------------------------------------------------- nearest vectors
 def mean_vectors(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
     """Mean vector per key, summed map-side."""
     return (df.groupBy(key).agg(Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>"))).alias("__m"))
             .select(key, vector_to_array("__m").alias(vector)))
 
 
-# --------------------------------------------------------------- nearest chunks
 def nearest(queries: DataFrame, corpus: DataFrame, query_key: str, corpus_key: str, k: int = 2,
             vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
     """Exact ``k`` most cosine-similar corpus rows per query: ``(query_key, corpus_key, similarity, rank)``.
 
-    Queries are few (one per driver). Each task multiplies its part of the corpus with a block of queries and keeps
-    its own ``k`` best per query, so what is shuffled is ``k`` rows per query and task, never query-by-corpus pairs.
-    A query table beyond one block is handled block by block, each with a pass over the corpus.
+    Both sides are packed into blocks of about ``block`` rows. Every pack of the corpus names the numbers of all query blocks
+    and is joined with them by number; a task multiplies the two blocks and keeps the ``k`` best per query, so what
+    follows is ``k`` rows per query and pair of blocks, never query-by-corpus pairs. One plan, whatever the number of
+    queries; only that number reaches the driver. Null vectors are left out.
     """
     if query_key == corpus_key:
         raise ValueError("query and corpus keys need different names")
+    asked = queries.select(F.col(query_key).alias("q"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
+    blocks = -(-asked.count() // block)
     out_schema = T.StructType([
         T.StructField(query_key, queries.schema[query_key].dataType),
         T.StructField(corpus_key, corpus.schema[corpus_key].dataType), T.StructField("similarity", T.DoubleType())])
+    if not blocks:
+        return queries.sparkSession.createDataFrame([], out_schema.add("rank", "int"))
     arrow_types = [to_arrow_type(f.dataType) for f in out_schema]
-    spark = corpus.sparkSession
-    rows = queries.select(query_key, F.col(vector).cast("array<double>").alias("v")).orderBy(query_key)
-    partial = None
-    for keys, matrix in _blocks(rows, query_key, block):
-        shared = spark.sparkContext.broadcast((keys, matrix))
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
-            kept: list[list[tuple]] = [[] for _ in names]
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
-                e = flat.reshape(batch.num_rows, -1).astype(float)
-                norm = np.linalg.norm(e, axis=1, keepdims=True)
-                unit = np.divide(e, norm, out=np.zeros_like(e), where=norm > 0)
-                # Rounding keeps equal vectors equal, whatever their place in a batch.
-                sims = np.round(unit @ q.T, 12)
-                ids = np.array(batch.column("k").to_pylist())
-                for j, held in enumerate(kept):
-                    held.extend(_best(sims[:, j], ids, k))
-                    kept[j] = sorted(held, key=lambda x: (-x[1], x[0]))[:k]
-            rows = [(names[j], i, s) for j, held in enumerate(kept) for i, s in held]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[c] for r in rows], type=t) for c, t in enumerate(arrow_types)],
-                names=[query_key, corpus_key, "similarity"])
-
-        found = corpus.select(F.col(corpus_key).alias("k"), F.col(vector).alias("v")).filter(
-            F.col("v").isNotNull()).mapInArrow(best, out_schema)
-        partial = found if partial is None else partial.unionByName(found)
-    if partial is None:
-        return spark.createDataFrame([], out_schema.add("rank", "int"))
-    return top_k(partial, k, [F.desc("similarity"), F.col(corpus_key)], [query_key])
+    packed = asked.groupBy(F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("block")).agg(
+        F.collect_list(F.struct("q", "v")).alias("rows")).select("block", F.col("rows.q").alias("q"), F.flatten("rows.v").alias("qv"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, block):
+                part = batch.slice(lo, block)
+                rows = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (part.column("k"), part.column("v").flatten())]
+                yield pa.RecordBatch.from_arrays(rows, names=["k", "kv"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                names, ids = (np.array(batch.column(c)[i].values.to_pylist()) for c in ("q", "k"))
+                q, e = (_unit(batch.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(len(n), -1)) for c, n in (("qv", names), ("kv", ids)))
+                # Rounding keeps equal vectors equal, whatever their place in a block.
+                sims = np.round(e @ q.T, 12)
+                rows = [(names[j].item(), *x) for j in range(len(names)) for x in _best(sims[:, j], ids, k)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], type=t) for c, t in enumerate(arrow_types)],
+                                                 names=[query_key, corpus_key, "similarity"])
+
+    found = corpus.select(F.col(corpus_key).alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
+    packs = found.mapInArrow(pack, T.StructType([T.StructField("k", T.ArrayType(out_schema[corpus_key].dataType)),
+                                                 T.StructField("kv", T.ArrayType(T.DoubleType()))]))
+    pairs = packs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(packed, "block")
+    return top_k(pairs.select("q", "qv", "k", "kv").mapInArrow(best, out_schema), k, [F.desc("similarity"), F.col(corpus_key)], [query_key])
 
 
 def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> list[tuple]:
@@ -113,18 +141,6 @@ def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> list[tuple]:
     return [(ids[i].item(), float(sims[i])) for i in order]
 
 
-def _blocks(rows: DataFrame, key: str, block: int) -> Iterator[tuple[list, np.ndarray]]:
-    keys, vectors = [], []
-    for r in rows.toLocalIterator():
-        keys.append(r[key])
-        vectors.append(r["v"])
-        if len(keys) == block:
-            yield keys, _unit(vectors)
-            keys, vectors = [], []
-    if keys:
-        yield keys, _unit(vectors)
-
-
 def _unit(vectors: Sequence[Sequence[float]]) -> np.ndarray:
     m = np.array(vectors, dtype=float)
     norm = np.linalg.norm(m, axis=1, keepdims=True)

@@ -27,15 +27,19 @@ labels_of(feature, label) AS (VALUES """ + ", ".join(f"('{k}', '{v}')" for k, v
                 + "),\nqueries_of(feature, query) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in schema.DRIVER_QUERIES.items()) + ")")
 
 
-def driven(spark, d):
-    """Rule-scored subjects with the three strongest rule terms as drivers."""
+def drivers_of(spark, d):
+    """The three strongest rule terms of every subject as its drivers."""
     from retenta.operators.features import feature_columns
     base = subject_base(spark, d)
     exprs = feature_columns(base.columns)
     phi = [(c, F.coalesce(exprs.get(c, F.col(c)).cast("double"), F.lit(0.0)) * w) for c, w in _RULE.items()]
-    drivers = base.select("employee_id", *[c.alias(n) for n, c in phi]).select(
+    return base.select("employee_id", *[c.alias(n) for n, c in phi]).select(
         "employee_id", top_drivers([(n, F.col(n)) for n, _ in phi]).alias("top_shap_drivers"))
-    return rule_scored(spark, d).join(drivers, "employee_id")
+
+
+def driven(spark, d):
+    """Rule-scored subjects with their drivers."""
+    return rule_scored(spark, d).join(drivers_of(spark, d), "employee_id")
 
 
 @query("J7_driver_labels", on_subjects("""
@@ -47,7 +51,7 @@ SELECT employee_id, CAST(rank AS INTEGER) AS rank, d.feature AS feature, coalesc
   CASE WHEN shap > 0 THEN 'RISK FACTOR' ELSE 'PROTECTIVE' END AS direction FROM drivers d LEFT JOIN labels_of l ON d.feature = l.feature""",
                                           PEERS_SQL, _DRIVERS_SQL))
 def _(spark, d):
-    out = explain.with_driver_labels(driven(spark, d).select("employee_id", "top_shap_drivers"))
+    out = explain.with_driver_labels(drivers_of(spark, d))
     return out.select("employee_id", F.posexplode("shap_drivers").alias("r", "x")).select(
         "employee_id", (F.col("r") + 1).alias("rank"), "x.feature", "x.label", "x.direction")
 
@@ -58,7 +62,7 @@ _WANTED = "w AS (SELECT employee_id, rank, d.feature, coalesce(query, replace(d.
 @query("T4_driver_queries", on_subjects("SELECT employee_id, feature, query FROM w", PEERS_SQL, _DRIVERS_SQL, _WANTED))
 @query("J8_query_lookup", on_subjects("SELECT employee_id, feature, query FROM w", PEERS_SQL, _DRIVERS_SQL, _WANTED))
 def _(spark, d):
-    out = driven(spark, d).select("employee_id", F.explode(retrieval.select_queries(F.col("top_shap_drivers"))).alias("q"))
+    out = drivers_of(spark, d).select("employee_id", F.explode(retrieval.select_queries(F.col("top_shap_drivers"))).alias("q"))
     return out.select("employee_id", "q.feature", "q.query")
 
 
@@ -66,7 +70,7 @@ def _(spark, d):
                                           PEERS_SQL, _DRIVERS_SQL))
 def _(spark, d):
     n = F.size(F.filter("top_shap_drivers", lambda x: x["shap"] > 0)).cast("bigint")
-    return driven(spark, d).select("employee_id", n.alias("n")).filter("n > 0")
+    return drivers_of(spark, d).select("employee_id", n.alias("n")).filter("n > 0")
 
 
 _ROUTE_SQL = """CASE WHEN order_col % 50 = 0 THEN 'ERROR_LOG' WHEN risk_tier = 'CRITICAL' THEN 'SLACK_ALERT'
@@ -201,42 +205,64 @@ def _(spark, d):
     return rounded(e.join(q, "label").select("vec_id", cosine(F.col("embedding"), F.col("mean")).alias("similarity")))
 
 
+# --------------------------------------------------------------- passages by shared terms
+_RETRIEVED = r"""
+passages AS (SELECT source || '_' || chunk_idx || '_' || substr(sha256(source || chr(10) || chunk_idx || chr(10) || content), 1, 8) AS chunk_id,
+  source, content FROM chunks),
+split AS (SELECT chunk_id, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}]+')) AS term FROM passages),
+counted AS (SELECT chunk_id, term, 1 + ln(count(*)) AS w FROM split GROUP BY 1, 2),
+postings AS (SELECT chunk_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY chunk_id)) AS w FROM counted),
+asked AS (SELECT query, term, 1 + ln(count(*)) AS w FROM (
+  SELECT query, unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}]+')) AS term FROM texts) GROUP BY 1, 2),
+frequency AS (SELECT term, count(*) AS df FROM postings GROUP BY 1),
+weighed AS (SELECT query, asked.term, w * ln(((SELECT count(*) FROM passages) + 1) / (coalesce(df, 0) + 1)) AS q
+  FROM asked LEFT JOIN frequency ON asked.term = frequency.term),
+lengths AS (SELECT query, sqrt(sum(q * q)) AS length FROM weighed GROUP BY 1),
+dots AS (SELECT query, chunk_id, sum(q * w) AS dot FROM weighed JOIN postings ON weighed.term = postings.term GROUP BY 1, 2),
+hits AS (SELECT query, chunk_id, round(dot / length, 9) AS similarity,
+  CAST(row_number() OVER (PARTITION BY query ORDER BY round(dot / length, 9) DESC, chunk_id) AS INTEGER) AS rank
+  FROM dots JOIN lengths USING (query) WHERE round(dot / length, 9) > 0 QUALIFY rank <= 2)"""
+_CHUNK_CTES = _CHUNKS.strip().removeprefix("WITH ")
+_PARTS = """
+texts AS (SELECT DISTINCT query FROM w),""" + _RETRIEVED + """,
+parts AS (SELECT employee_id, w.rank AS pos, hits.rank AS rank, feature, chunk_id, source, content
+  FROM w JOIN hits ON w.query = hits.query JOIN passages USING (chunk_id)
+  QUALIFY row_number() OVER (PARTITION BY employee_id, chunk_id ORDER BY w.rank, hits.rank) = 1)"""
+
+
+def _chunks(spark, d):
+    """Passages cut from documents of all languages, with their ids."""
+    return stage(retrieval.chunk_documents(table(spark, d, "documents"), "doc_id", "text"), "chunks")
+
+
+@query("T3_text_retrieval", "WITH " + _CHUNK_CTES + ",\ntexts AS (SELECT DISTINCT text AS query FROM benchmark)," + _RETRIEVED
+       + "\nSELECT query, chunk_id, round(similarity, 6) AS similarity, rank FROM hits")
+def _(spark, d):
+    """The two passages nearest to each text of the benchmark."""
+    texts = table(spark, d, "benchmark").select(F.col("text").alias("query"))
+    return rounded(retrieval.search(texts, _chunks(spark, d).withColumnRenamed("id", "chunk_id")))
+
+
 def _context(spark, d):
-    """Chunks of the documents as passages, term vectors, and one search text per driver."""
-    chunks = stage(retrieval.chunk_documents(table(spark, d, "documents"), "doc_id", "text"), "chunks")
-    model = retrieval.fit_text_vectors(chunks, features=512)
-    vectors = retrieval.text_vectors(chunks.select("id", "content"), model)
-    people = stage(driven(spark, d).select("employee_id", "top_shap_drivers"), "driven")
-    texts = people.select(F.explode(retrieval.select_queries(F.col("top_shap_drivers"))).alias("q")).select(
-        F.col("q.query").alias("content")).distinct()
-    queries = retrieval.text_vectors(texts, model).withColumnRenamed("content", "query")
-    hits = retrieval.nearest(queries, vectors.withColumnRenamed("id", "chunk_id"), "query", "chunk_id", 2)
-    return people, hits, chunks
+    """Drivers of every subject, and the passages of their search texts."""
+    chunks = _chunks(spark, d)
+    people = stage(drivers_of(spark, d), "drivers")
+    texts = people.select(F.explode(retrieval.select_queries(F.col("top_shap_drivers"))).alias("q")).select("q.query")
+    hits = retrieval.search(texts, chunks.withColumnRenamed("id", "chunk_id"))
+    return people, retrieval.context_parts(people, hits, chunks)
 
 
-@query("T3_policy_retrieval")
+@query("T3_policy_retrieval", on_subjects("SELECT employee_id, feature, chunk_id, source FROM parts",
+                                          PEERS_SQL, _DRIVERS_SQL, _WANTED, _CHUNK_CTES, _PARTS))
 def _(spark, d):
-    people, hits, chunks = _context(spark, d)
-    parts = retrieval.context_parts(people, hits, chunks)
-    return parts.select("employee_id", "feature", "chunk_id", "source")
+    return _context(spark, d)[1].select("employee_id", "feature", "chunk_id", "source")
 
 
-# The context text, with each department's documents of one source standing in for retrieved passages.
 @query("T5_context_text", on_subjects("""
-, parts AS (SELECT employee_id, rank, feature, n_docs, first_doc FROM w JOIN (
-  SELECT lang, count(*) AS n_docs, min(doc_id) AS first_doc FROM documents GROUP BY 1) ON lang = 'en')
-SELECT s.employee_id, coalesce(string_agg('[Policy: en' || rank || ' | Relevant to: ' || feature || ']' || chr(10) || n_docs || ' documents from '
-  || first_doc, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank),
-  'No specific policy found for these risk drivers.') AS policy_context
-FROM subjects s LEFT JOIN parts ON s.employee_id = parts.employee_id GROUP BY 1""".lstrip(),
-                                      PEERS_SQL, _DRIVERS_SQL, _WANTED).replace("\n, parts AS", ",\nparts AS"))
-def _(spark, d):
-    people = driven(spark, d).select("employee_id", "top_shap_drivers")
-    english = table(spark, d, "documents").filter("lang = 'en'").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("lo"))
-    content = english.select(F.concat(F.col("n").cast("string"), F.lit(" documents from "), F.col("lo").cast("string"))).scalar()
-    wanted = people.select("employee_id", F.posexplode("top_shap_drivers").alias("pos", "x")).filter("x.shap > 0")
-    parts = wanted.select("employee_id", "pos", F.col("x.feature").alias("feature")).select(
-        "employee_id", F.struct(F.col("pos").alias("driver_pos"), F.lit(1).alias("rank")).alias("position"), "feature",
-        F.concat(F.lit("en"), (F.col("pos") + 1).cast("string")).alias("source"), content.alias("content"))
+SELECT s.employee_id, coalesce(string_agg('[Policy: ' || source || ' | Relevant to: ' || feature || ']' || chr(10) || content,
+  chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos, rank), 'No specific policy found for these risk drivers.') AS policy_context
+FROM subjects s LEFT JOIN parts ON s.employee_id = parts.employee_id GROUP BY 1""",
+                                      PEERS_SQL, _DRIVERS_SQL, _WANTED, _CHUNK_CTES, _PARTS))
+def _(spark, d):
+    people, parts = _context(spark, d)
     return retrieval.policy_context(people, parts).select("employee_id", "policy_context")

@@ -89,16 +89,17 @@ def scoring_job(table: DataFrame, profile: DataFrame, trained: Trained, settings
     return scoring.scored_table(scoring.add_value_and_tier(explained, settings), profile)
 
 
-def explain_job(scored: DataFrame, chunks: DataFrame, query_vectors: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def explain_job(scored: DataFrame, chunks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Labels, passages, request text and route of every scored subject, as one plan over all of them.
 
-    ``chunks`` has ``(id, source, content, embedding)`` and ``query_vectors`` ``(query, embedding)``.
+    ``chunks`` has ``(id, source, content)``; the passages of each driver's search text are found in it.
     """
-    hits = retrieval.nearest(query_vectors, chunks.withColumnRenamed("id", "chunk_id"), "query", "chunk_id",
-                             settings.results_per_query)
+    wanted = scored.select(F.explode(retrieval.select_queries(F.col("top_shap_drivers"))).alias("d")).select("d.query")
+    hits = retrieval.search(wanted, chunks.withColumnRenamed("id", "chunk_id"), k=settings.results_per_query)
     parts = retrieval.context_parts(scored, hits, chunks)
     with_context = retrieval.policy_context(scored, parts)
     labelled = explain.with_driver_labels(with_context)
+    survival_text = F.col("median_survival_months") if "median_survival_months" in scored.columns else None
     asked = labelled.withColumn("request", explain.request_text(F.col("p_attrition"), F.col("shap_drivers"),
-                                                                F.col("policy_context")))
+                                                                F.col("policy_context"), survival_text))
     return explain.with_route(asked)
