@@ -110,7 +110,7 @@ class Aligner:
         marked = set().union(*split)
         b_rows = self.b.learned(marked)
         for text, a_ids, parts in zip(new, a_rows, split, strict=True):
-            b_ids = list(chain.from_iterable(map(b_rows.__getitem__, parts)))
+            b_ids = list(chain.from_iterable(self.b.ids_of(b_rows[x]) for x in parts))
             a_parts, b_parts = [self.a_bytes[x] for x in a_ids], [self.b.raw.get(x, b"") for x in b_ids]
             data = text.encode("utf-8")
             if b"".join(a_parts) == data == b"".join(b_parts):

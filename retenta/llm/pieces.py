@@ -86,8 +86,12 @@ class PieceEncoder:
         cut = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.split = re.compile(f"{MARK}+[^{MARK}]*" if cut else "(?s:.+)").findall
         self.library = SentencePieceProcessor(model_file=path)
-        self._known: dict[str, tuple[int, ...]] = {}
-        self._wrong: set[str] = set()
+        self._named_ids = np.full(len(self.symbols), -1, dtype=np.int32)
+        self._named_ids[:len(self.pieces)] = self.pieces
+        parts = [self.surface[i] for i in range(len(model.pieces))]
+        self._surface_begins, self._surface_bytes = np.cumsum([0, *map(len, parts)]), np.frombuffer(b"".join(parts), np.uint8)
+        self._headed = np.array([i in self.headed for i in range(len(parts))], dtype=np.int64)
+        self.clear()
 
     def merged(self, marked: str) -> list[int]:
         """The symbols that are left of a marked text when no two neighbours make a piece; a character unknown to the model is
@@ -101,9 +105,9 @@ class PieceEncoder:
         at = np.searchsorted(self._keys, key)
         return np.where(self._keys[at] == key, at, len(self._keys) - 1)
 
-    def _together(self, names: list[str]) -> list[list[int]]:
-        """The symbols left of many short texts, as ``merged``. Each text is a row of symbols with an agenda of ranks beside it;
-        in every round the first best pair of each row is merged."""
+    def _together(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols left of many short texts, one text after the other, and how many each has; as ``merged``. Each text is a
+        row of symbols with an agenda of ranks beside it; in every round the first best pair of each row is merged."""
         sizes = np.array(list(map(len, names)))
         width, n = int(sizes.max()), len(names)
         points = np.frombuffer("".join(names).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
@@ -112,14 +116,17 @@ class PieceEncoder:
         found = self._chars[points]
         row[inside] = np.where(found >= 0, found, -1 - points)
         agenda = self._ranks[self._pair(row[:, :-1], row[:, 1:])] if width > 1 else np.zeros((n, 0), np.int32)
-        done, at, spots = [None] * n, np.arange(n), np.arange(width)
+        done, left, at, spots = [], np.zeros(n, np.int64), np.arange(n), np.arange(width)
         while True:
             best = agenda.argmin(1) if agenda.shape[1] else np.zeros(len(at), np.int64)
             open_ = agenda[np.arange(len(at)), best] < NONE if agenda.shape[1] else np.zeros(len(at), bool)
-            for k, found, size in zip(at[~open_].tolist(), row[~open_].tolist(), sizes[~open_].tolist()):
-                done[k] = found[:size]
+            left[at[~open_]] = sizes[~open_]
+            done.append((at[~open_], row[~open_][spots[:row.shape[1]] < sizes[~open_, None]]))
             if not open_.any():
-                return done
+                begins, out = np.cumsum(left) - left, np.zeros(left.sum(), np.int32)
+                for rows, symbols in done:
+                    out[_stretched(begins[rows], left[rows])] = symbols
+                return out, left
             at, row, agenda, sizes, i = at[open_], row[open_], agenda[open_], sizes[open_] - 1, best[open_]
             width = int(sizes.max())
             every = np.arange(len(at))
@@ -188,45 +195,101 @@ class PieceEncoder:
         """The stretches of a text, with marks for spaces and one before it; an empty text has none."""
         return self.split(MARK + text.replace(" ", MARK)) if text else []
 
-    def learned(self, stretches: set[str], check: bool = False) -> dict[str, tuple[int, ...]]:
-        """Ids of every stretch asked for. With ``check``, new ones are held against the library as one batch."""
-        known = self._known
-        new = stretches - known.keys()
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
+    def clear(self) -> None:
+        self._known: dict[str, int] = {}
+        self._begins, self._flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self._wrong: set[str] = set()
+
+    def learned(self, stretches: set[str], check: bool = False) -> dict[str, int]:
+        """The number of every stretch asked for, under which ``ids_of`` has its ids. With ``check``, new ones are held against the
+        library as one batch."""
+        new = stretches - self._known.keys()
+        if len(self._begins) + len(new) > REMEMBERED or len(self._flat) > 8 * REMEMBERED:
+            self.clear()
             new = stretches
-        names = list(new)
         short: dict[int, list[str]] = {}    # of similar length, so that rows waste little
-        for name in names:
-            if len(name) > FEW:
-                known[name] = self.stretch(name)
-            else:
-                short.setdefault(len(name) // 4, []).append(name)
-        for group in short.values():
+        for name in new:
+            short.setdefault(len(name) // 4 if len(name) <= FEW else -1, []).append(name)
+        for of, group in short.items():
             for lo in range(0, len(group), 50_000):
-                for name, row in zip(group[lo:lo + 50_000], self._together(group[lo:lo + 50_000]), strict=True):
-                    known[name] = self._named(row)
+                names = group[lo:lo + 50_000]
+                if of < 0:
+                    rows = list(map(self.stretch, names))
+                    ids, sizes = np.array(list(chain.from_iterable(rows)), np.int32), np.array(list(map(len, rows)))
+                else:
+                    ids, sizes = self._ids(*self._together(names))
+                self._known.update(zip(names, range(len(self._begins) - 1, len(self._begins) - 1 + len(names))))
+                self._begins = np.concatenate([self._begins, self._begins[-1] + np.cumsum(sizes)])
+                self._flat = np.concatenate([self._flat, ids])
         if check:                           # the library sets the first mark itself, and gives nothing for nothing
-            asked = [x for x in names if len(x) > 1]
-            for name, ids in zip(asked, self.library.encode([x[1:] for x in asked], num_threads=1), strict=True):
-                if known[name] != tuple(ids):
-                    self._wrong.add(name)
-        return known
+            names = [x for x in new if len(x) > 1]
+            theirs = self.library.encode([x[1:] for x in names], num_threads=1)
+            numbers = np.fromiter(map(self._known.__getitem__, names), np.int64, len(names))
+            sizes = np.fromiter(map(len, theirs), np.int64, len(names))
+            same = sizes == self._begins[numbers + 1] - self._begins[numbers]
+            flat = np.fromiter(chain.from_iterable(x for x, ok in zip(theirs, same) if ok), np.int32)
+            odd = self._flat[_stretched(self._begins[numbers[same]], sizes[same])] != flat
+            same[np.repeat(np.flatnonzero(same), sizes[same])[odd]] = False
+            self._wrong.update(names[k] for k in np.flatnonzero(~same))
+        return self._known
+
+    def _ids(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for rows of symbols; symbols that are no piece are written out one by one."""
+        ids = np.where(symbols >= 0, self._named_ids[np.maximum(symbols, 0)], -1)
+        odd = np.flatnonzero(ids < 0)
+        if not len(odd):
+            return ids, sizes
+        lengths, parts = np.ones(len(ids), np.int64), [self._named([int(x)]) for x in symbols[odd]]
+        lengths[odd] = list(map(len, parts))
+        out = np.repeat(ids, lengths)
+        out[out < 0] = list(chain.from_iterable(parts))
+        return out, np.diff(np.r_[0, np.cumsum(lengths)][np.r_[0, np.cumsum(sizes)]])
+
+    def ids_of(self, number: int) -> list[int]:
+        return self._flat[self._begins[number]:self._begins[number + 1]].tolist()
 
     def forget_long(self, stretches: set[str]) -> None:
         for name in stretches:
             if len(name) > LONG:
                 self._known.pop(name, None)
 
-    def encode(self, texts: Iterable[str], check: bool = False) -> tuple[list[np.ndarray], list[bool]]:
-        """Ids of each text, and whether none of its stretches differed from the library."""
+    def encoded(self, texts: Iterable[str], check: bool = False) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        """The ids of all texts, where those of each begin, and whether none of its stretches differed from the library."""
         split = [self.marked(t) for t in texts]
         wanted = set().union(*split)
         known = self.learned(wanted, check)
-        ids = [np.fromiter(chain.from_iterable(map(known.__getitem__, s)), dtype=np.int32) for s in split]
+        at = np.fromiter(chain.from_iterable(map(known.__getitem__, s) for s in split), np.int64, sum(map(len, split)))
+        sizes = self._begins[at + 1] - self._begins[at]
+        ids = self._flat[_stretched(self._begins[at], sizes)]
+        begins = np.r_[0, np.cumsum(sizes)][np.cumsum([0, *map(len, split)])]
         agrees = [not self._wrong or self._wrong.isdisjoint(s) for s in split]
         self.forget_long(wanted)
-        return ids, agrees
+        return ids, begins, agrees
+
+    def encode(self, texts: Iterable[str], check: bool = False) -> tuple[list[np.ndarray], list[bool]]:
+        """The ids of each text, and whether none of its stretches differed from the library."""
+        ids, begins, agrees = self.encoded(texts, check)
+        return [ids[lo:hi] for lo, hi in zip(begins[:-1], begins[1:])], agrees
+
+    def decoded(self, ids: np.ndarray, begins: np.ndarray) -> pa.Array:
+        """The texts of many rows of ids, as ``decode``."""
+        sizes = self._surface_begins[ids + 1] - self._surface_begins[ids]
+        data = self._surface_bytes[_stretched(self._surface_begins[ids], sizes)]
+        ends = np.r_[0, np.cumsum(sizes)][begins]
+        full = begins[:-1] < begins[1:]
+        skip = np.zeros(len(begins) - 1, np.int64)
+        skip[full] = self._headed[ids[begins[:-1][full]]]
+        keep = np.ones(len(data), bool)
+        keep[ends[:-1][skip > 0]] = False
+        offsets = np.r_[0, np.cumsum(np.diff(ends) - skip)].astype(np.int32)
+        out = pa.Array.from_buffers(pa.string(), len(skip), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[keep].tobytes())])
+        try:
+            if not (sizes == 0).any():      # only control ids decode to nothing
+                out.validate(full=True)
+                return out
+        except pa.ArrowInvalid:
+            pass
+        return pa.array([self.decode(ids[lo:hi].tolist()) for lo, hi in zip(begins[:-1], begins[1:])], pa.string())
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: without the mark set before it, bytes read as UTF-8, each byte that is none as U+FFFD."""
@@ -242,6 +305,12 @@ class PieceEncoder:
         return "".join(out)[skip:]
 
 
+def _stretched(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of stretches that begin here and are so long, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - sizes), sizes)
+
+
 def _repaired(data: bytes) -> str:
     out, at = [], 0
     while at < len(data):
@@ -264,9 +333,8 @@ def encoder_of(name: str) -> PieceEncoder:
     return _ENCODERS[name]
 
 
-def _lists(rows: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), pa.int32()))
+def _lists(ids: np.ndarray, begins: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids, pa.int32()))
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", check: bool = True,
@@ -283,10 +351,10 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(name)
         for batch in slices(batches, limit=2 << 20):
-            rows, agrees = encoder.encode(batch.column("text").to_pylist(), check)
-            columns = [batch.column("doc_id"), _lists(rows), pa.array(agrees, pa.bool_())]
+            ids, begins, agrees = encoder.encoded(batch.column("text").to_pylist(), check)
+            columns = [batch.column("doc_id"), _lists(ids, begins), pa.array(agrees, pa.bool_())]
             if decoded:
-                columns.append(pa.array([encoder.decode(x.tolist()) for x in rows], pa.string()))
+                columns.append(encoder.decoded(ids, begins))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "agrees", "decoded"][:len(columns)])
 
     schema = "doc_id bigint, ids array<int>, agrees boolean" + (", decoded string" if decoded else "")
@@ -318,7 +386,7 @@ def differences(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_c
             texts = batch.column("text").to_pylist()
             ours, theirs = encoder.encode(texts)[0], [np.array(x, np.int32) for x in encoder.library.encode(texts, num_threads=1)]
             odd = [k for k, (x, y) in enumerate(zip(ours, theirs, strict=True)) if not np.array_equal(x, y)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(odd, pa.int64())), _lists([ours[k] for k in odd]),
-                                              _lists([theirs[k] for k in odd])], names=["doc_id", "ids", "library_ids"])
+            columns = [pa.array([x[k].tolist() for k in odd], pa.list_(pa.int32())) for x in (ours, theirs)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(odd, pa.int64())), *columns], names=["doc_id", "ids", "library_ids"])
 
     return keyed_texts(docs, id_col, text_col).mapInArrow(work, "doc_id bigint, ids array<int>, library_ids array<int>")

@@ -29,6 +29,8 @@ def test_agenda_equals_the_library_on_odd_texts(encoder, library):
     assert all(agrees)
     assert [x.tolist() for x in ids] == library.encode(texts)
     assert [encoder.decode(x.tolist()) for x in ids] == library.decode([x.tolist() for x in ids])
+    flat, begins, _ = encoder.encoded(texts)
+    assert encoder.decoded(flat, begins).to_pylist() == library.decode([x.tolist() for x in ids])
 
 
 def test_any_ids_decode_as_by_the_library(encoder, library):
