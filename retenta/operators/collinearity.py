@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
@@ -19,11 +19,40 @@ from retenta.operators.ordering import values_at_ranks
 DUMMY_PREFIXES = ("dept_", "circle_")
 
 
+def pair_moments(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Number of rows, sums, sums of squares and cross sums of every pair of columns over the rows that have both: an array of
+    shape (4, columns, columns), where entry (i, j) of the sums is that of column i.
+
+    Values are taken from their mean first, so that no digits cancel. Each task reduces its batches to matrix products; what is
+    shuffled is one small matrix per task, and only the total reaches the driver.
+    """
+    d = len(columns)
+    numeric = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    middle = np.array([x or 0.0 for x in numeric.agg(*[F.avg(f"c{i}") for i in range(d)]).first()])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, d, d))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float) - middle
+            there = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]) & ~np.isnan(x)
+            x, there = np.where(there, x, 0.0), there.astype(float)
+            total += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(4 * d * d)), pa.array(total.ravel())], names=["at", "value"])
+
+    sums = numeric.mapInArrow(work, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+    out = np.zeros(4 * d * d)
+    out[sums.column("at").to_numpy()] = sums.column("value").to_numpy()
+    return out.reshape(4, d, d)
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """Pearson matrix from one distributed pass; only the columns-by-columns result reaches the driver."""
-    numeric = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).dropna()
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(numeric)
-    return Correlation.corr(vectors.select("v"), "v").head()[0].toArray()
+    """Pearson matrix over the rows that have both columns of a pair; NaN where one is constant there or fewer than two rows have
+    both. A constant is a column whose variance is lost in the rounding of its values."""
+    n, s, q, c = pair_moments(df, columns)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        spread = q - s * s / n
+        spread = np.where((n > 1) & (spread > 1e-14 * q), spread, np.nan)
+        return np.clip((c - s * s.T / n) / np.sqrt(spread * spread.T), -1.0, 1.0)
 
 
 def _inflation(matrix: np.ndarray) -> list[float | None]:
@@ -115,11 +144,13 @@ def stratified_folds(df: DataFrame, label: str, order_col: str, folds: int = 5,
 
 
 def l1_selection(df: DataFrame, columns: Sequence[str], label: str, order_col: str, strengths: int = 10,
-                 folds: int = 5, max_iter: int = 100, parallelism: int = 4) -> DataFrame:
-    """Cross-validated L1 logistic regression on standardised columns: ``(feature, coefficient, zeroed, best_c)``.
+                 folds: int = 5, max_iter: int = 3000, parallelism: int = 4) -> DataFrame:
+    """Cross-validated L1 logistic regression on standardised columns: ``(feature, coefficient, zeroed, best_c, gap, iterations,
+    converged)``.
 
     ``strengths`` values of C between 1e-4 and 1e4 compete on accuracy. Spark averages the weighted loss, so a given C
-    is ``regParam = 1 / (C * total weight)``; balanced weights add up to the number of rows.
+    is ``regParam = 1 / (C * total weight)``; balanced weights add up to the number of rows. ``gap`` is how far the slope of the
+    mean loss lies outside what the penalty allows at the coefficient (zero at the optimum), found by a pass of its own.
     """
     scaled = standardise.balanced_weights(standardise.scale(df, columns), label)
     data = stratified_folds(scaled, label, order_col, folds)
@@ -136,11 +167,18 @@ def l1_selection(df: DataFrame, columns: Sequence[str], label: str, order_col: s
         search = CrossValidator(estimator=fit, estimatorParamMaps=maps, evaluator=accuracy, foldCol="fold",
                                 numFolds=folds, parallelism=parallelism)
         best = grid[int(np.argmax(search.fit(vectors).avgMetrics))]
-        coefficients = fit.copy({fit.regParam: 1 / (best * n)}).fit(vectors).coefficients.toArray()
+        strength = 1 / (best * n)
+        model = fit.copy({fit.regParam: strength, fit.tol: 1e-9}).fit(vectors)
+        coefficients, steps = model.coefficients.toArray(), model.summary.totalIterations
+        margin = sum((F.col(f"`{c}`") * F.lit(float(b)) for c, b in zip(columns, coefficients)), F.lit(float(model.intercept)))
+        pull = F.col("weight") * (1 / (1 + F.exp(-margin)) - F.col(label))
+        slopes = data.withColumn("__pull", pull).agg(*[F.sum(F.col("__pull") * F.col(f"`{c}`")) / F.sum("weight") for c in columns]).first()
     finally:
         vectors.unpersist()
-    rows = [(c, float(b), bool(b == 0.0), best) for c, b in zip(columns, coefficients)]
-    return df.sparkSession.createDataFrame(rows, "feature string, coefficient double, zeroed boolean, best_c double")
+    gaps = [abs(g + math.copysign(strength, b)) if b else max(0.0, abs(g) - strength) for g, b in zip(slopes, coefficients)]
+    rows = [(c, float(b), bool(b == 0.0), best, float(g), int(steps), bool(steps < max_iter)) for c, b, g in zip(columns, coefficients, gaps)]
+    return df.sparkSession.createDataFrame(
+        rows, "feature string, coefficient double, zeroed boolean, best_c double, gap double, iterations int, converged boolean")
 
 
 def drop_report(vif: DataFrame, l1: DataFrame, pairs: DataFrame, contract: Iterable[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -65,9 +66,11 @@ def score(df: DataFrame, model: PipelineModel, name: str = "p_attrition") -> Dat
 
 
 def compare_models(train: DataFrame, test: DataFrame, columns: Sequence[str], label: str = LABEL,
-                   settings: Settings = DEFAULTS) -> tuple[PipelineModel, dict, DataFrame]:
-    """Fit both classifiers, choose by PR-AUC on ``test``; return the winner, its metadata and the metrics table."""
-    fitted = {"BoostedTrees": fit_trees(train, columns, label, settings),
+                   settings: Settings = DEFAULTS, fitted: dict[str, PipelineModel] | None = None
+                   ) -> tuple[PipelineModel, dict, DataFrame]:
+    """Fit both classifiers (unless ``fitted`` has them), choose by PR-AUC on ``test``; return the winner, its metadata and the
+    metrics table."""
+    fitted = fitted or {"BoostedTrees": fit_trees(train, columns, label, settings),
               "LogisticRegression": fit_logistic(train, columns, label)}
     metrics = None
     for name, model in fitted.items():
@@ -92,6 +95,19 @@ def metadata_row(spark, meta: dict) -> DataFrame:
     return spark.createDataFrame([meta], schema)
 
 
+def logistic_gradient(train: DataFrame, model: PipelineModel, columns: Sequence[str], label: str = LABEL, c: float = 1.0) -> DataFrame:
+    """``feature`` and ``gradient`` of the penalised mean loss of :func:`fit_logistic` at its coefficients, in one aggregate."""
+    beta = model.stages[-1]
+    scaled = model.stages[0].transform(standardise.balanced_weights(train, label))
+    margin = sum((F.col(f"z_{x}") * F.lit(float(b)) for x, b in zip(columns, beta.coefficients)), F.lit(float(beta.intercept)))
+    pull = F.col("weight") * (1 / (1 + F.exp(-margin)) - F.col(label))
+    n = F.count("*")
+    rows = [("intercept", F.sum("pull") / n)] + [(x, (F.sum(F.col("pull") * F.col(f"z_{x}")) + F.lit(float(b)) / c) / n)
+                                                 for x, b in zip(columns, beta.coefficients)]
+    one = scaled.withColumn("pull", pull).agg(F.array(*[F.struct(F.lit(k).alias("feature"), v.alias("gradient")) for k, v in rows]).alias("rows"))
+    return one.select(F.inline("rows"))
+
+
 # --------------------------------------------------------------- attributions
 def linear_attributions(columns: Sequence[str], coefficients: Sequence[float],
                         means: Sequence[float | Column]) -> list[tuple[str, Column]]:
@@ -160,28 +176,47 @@ def _leaf_shapley(inside: np.ndarray, share: np.ndarray) -> np.ndarray:
     return out
 
 
+_TABLES: dict[str, list[tuple]] = {}
+
+
+def _leaf_tables(name: str, leaves: list[tuple[float, list[tuple]]]) -> list[tuple]:
+    """Per leaf the features and intervals of its path, and the Shapley values of each of the 2^m patterns of satisfied
+    intervals; worked out once per worker."""
+    if name not in _TABLES:
+        _TABLES.clear()
+        out = []
+        for value, path in leaves:
+            if path:
+                m = len(path)
+                patterns = (np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float)
+                out.append(([f for f, *_ in path], np.array([lo for _, lo, _, _ in path]), np.array([hi for _, _, hi, _ in path]),
+                            _leaf_shapley(patterns, np.array([z for *_, z in path])) * (2 * value)))
+        _TABLES[name] = out
+    return _TABLES[name]
+
+
 def tree_attributions(df: DataFrame, model: PipelineModel, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """``keep`` columns, ``base`` and ``phi`` (one Shapley value per column, in log-odds) for every row.
 
-    Rows stay in their partitions; each Arrow batch is evaluated leaf by leaf with array operations.
+    Rows stay in their partitions. For each leaf a row is a code of the intervals it satisfies, by which its values are looked
+    up in a table; the tables are bounded by the tree settings.
     """
     spark = df.sparkSession
     leaves = _tree_paths(model.stages[-1], columns, spark)
     base = 2 * sum(v * math.prod(z for *_, z in path) for v, path in leaves)
     d = len(columns)
-    shared = spark.sparkContext.broadcast(leaves)
+    shared, name = spark.sparkContext.broadcast(leaves), f"{model.uid}-{uuid.uuid4().hex}"
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = pdf[list(columns)].to_numpy(dtype=float)
             phi = np.zeros((len(pdf), d))
-            for value, path in shared.value:
-                if not path:
-                    continue
-                inside = np.stack([(x[:, f] > lo) & (x[:, f] <= hi) for f, lo, hi, _ in path], axis=1).astype(float)
-                parts = _leaf_shapley(inside, np.array([z for *_, z in path])) * (2 * value)
-                for k, (f, *_r) in enumerate(path):
-                    phi[:, f] += parts[:, k]
+            by_column = np.ascontiguousarray(x.T)
+            for features, low, high, values in _leaf_tables(name, shared.value):
+                code = np.zeros(len(pdf), dtype=np.int64)
+                for k, (f, lo, hi) in enumerate(zip(features, low, high, strict=True)):
+                    code |= ((by_column[f] > lo) & (by_column[f] <= hi)).astype(np.int64) << k
+                phi[:, features] += values[code]
             out = pdf[list(keep)].copy()
             out["base"] = base
             out["phi"] = list(phi)

@@ -51,6 +51,10 @@ def kaplan_meier(df: DataFrame, duration: str, event: str, group: str | None = N
                     survival.alias("survival"), lower.alias("lower"), upper.alias("upper"))
 
 
+#: Tied events of one duration that are summed in one row.
+TIES_PER_ROW = 4096
+
+
 def log_rank(df: DataFrame, duration: str, event: str, group: str, first, second,
              rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Two-group log-rank statistic (chi-square, one degree of freedom) and its p-value."""
@@ -68,9 +72,21 @@ def log_rank(df: DataFrame, duration: str, event: str, group: str, first, second
     sums = risk.agg(F.sum("d1").alias("observed"), F.sum(expected).alias("expected"), F.sum(variance).alias("v"))
     out = sums.select("observed", "expected",
                       F.try_divide(F.pow(F.col("observed") - F.col("expected"), 2), F.col("v")).alias("chi2"))
-    chi2 = out.first()["chi2"]
-    p = None if chi2 is None else math.erfc(math.sqrt(chi2 / 2))
-    return out.withColumn("p_value", F.lit(p).cast("double"))
+    return out.withColumn("p_value", chi2_tail(F.col("chi2")))
+
+
+def chi2_tail(chi2: Column) -> Column:
+    """Probability of a larger chi-square with one degree of freedom: ``erfc(sqrt(chi2 / 2))``, as a column.
+
+    The series of the error function below a root of 3, its continued fraction above; both are exact to 1e-12.
+    """
+    x = F.sqrt(chi2 / 2)
+    terms = F.sequence(F.lit(1), F.lit(60))
+    series = F.aggregate(terms, F.struct(x.alias("term"), x.alias("total")), lambda s, n: F.struct(
+        (s["term"] * x * x * -1 / n).alias("term"), (s["total"] - s["term"] * x * x / n / (2 * n + 1)).alias("total")), lambda s: s["total"])
+    fraction = F.aggregate(F.reverse(terms), x, lambda s, n: x + n / 2 / s)
+    root_pi = math.sqrt(math.pi)
+    return F.when(x < 3, 1 - series * 2 / root_pi).otherwise(F.exp(-x * x) / root_pi / fraction)
 
 
 # --------------------------------------------------------------- proportional hazards
@@ -83,6 +99,7 @@ class CoxModel:
     log_likelihood: float
     iterations: int
     baseline: DataFrame = field(repr=False)   # (t, h0): cumulative baseline hazard at the covariate means
+    gradient: list[float] = field(default_factory=list)   # per row, of the standardised covariates; empty when loaded
 
     def log_hazard(self) -> Column:
         """Log partial hazard of a row, relative to the covariate means."""
@@ -98,13 +115,14 @@ class CoxModel:
 
 def cox_fit(df: DataFrame, covariates: Sequence[str], duration: str, event: str, ridge: float = 0.1,
             allow_duration: bool = False, max_iter: int = 25, tol: float = 1e-7,
-            rows_per_bucket: int = ROWS_PER_BUCKET) -> CoxModel:
+            rows_per_bucket: int = ROWS_PER_BUCKET, ties_per_row: int = TIES_PER_ROW) -> CoxModel:
     """Newton steps on the partial likelihood with Efron's ties and the penalty n * ridge/2 * |beta|² on standardised
     covariates.
 
     Each step is one pass: rows are summed per duration, sums at risk are running totals over durations, and only the
     gradient and the covariates-by-covariates Hessian reach the driver. The second-order risk sums need no running
-    total: they are weighted by the hazard accumulated up to their own duration.
+    total: they are weighted by the hazard accumulated up to their own duration. A duration with more than
+    ``ties_per_row`` tied events is split into rows of so many of them, which are summed apart and then together.
     """
     if duration in covariates and not allow_duration:
         raise ValueError("the duration cannot be a covariate; pass allow_duration=True to override")
@@ -124,6 +142,7 @@ def cox_fit(df: DataFrame, covariates: Sequence[str], duration: str, event: str,
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     # Durations do not change between steps, so neither do the buckets of their running totals.
     edges = bucket_edges(data.select("__t").distinct(), "__t", rows_per_bucket)
+    most = data.filter("__e = 1").groupBy("__t").agg(F.count("*").alias("d")).agg(F.max("d")).first()[0] or 0
 
     def step(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         eta = sum((F.col(x) * F.lit(float(b)) for x, b in zip(xs, beta)), F.lit(0.0))
@@ -143,20 +162,7 @@ def cox_fit(df: DataFrame, covariates: Sequence[str], duration: str, event: str,
             *[of_dead(F.col("w") * F.col(xs[i]) * F.col(xs[j])).alias(f"e2_{i}_{j}") for i, j in pairs])
         risk = running_totals(per_t, "__t", ["s0", *[f"s1_{i}" for i in range(p)]], descending=True,
                               edges=edges)
-        # Efron: the k-th of d tied events sees the risk set less k/d of the tied weight.
-        d = F.col("d")
-        shares = F.when(d > 0, F.transform(F.sequence(F.lit(0), (d - 1).cast("int")), lambda k: k / d)).otherwise(
-            F.array().cast("array<double>"))
-
-        def over_ties(f) -> Column:
-            return F.aggregate(shares, F.lit(0.0),
-                               lambda acc, q: acc + f(q, F.col("cum_s0") - q * F.col("e0")))
-
-        ties = risk.select("*", over_ties(lambda q, r: 1 / r).alias("a"), over_ties(lambda q, r: q / r).alias("b"),
-                           over_ties(lambda q, r: 1 / (r * r)).alias("c0"),
-                           over_ties(lambda q, r: q / (r * r)).alias("c1"),
-                           over_ties(lambda q, r: q * q / (r * r)).alias("c2"),
-                           over_ties(lambda q, r: F.log(r)).alias("logs"))
+        ties = _tie_sums(risk, most, ties_per_row)
         acc = running_totals(ties, "__t", ["a"], edges=edges)
 
         def s(i):
@@ -203,7 +209,38 @@ def cox_fit(df: DataFrame, covariates: Sequence[str], duration: str, event: str,
     finally:
         data.unpersist()
     return CoxModel(names, [float(b / s) for b, s in zip(beta, sds)], means, float(np.abs(grad).max() / n),
-                    float(value), used, baseline)
+                    float(value), used, baseline, [float(g) / n for g in grad])
+
+
+def _tie_sums(risk: DataFrame, most: int, per_row: int) -> DataFrame:
+    """``risk`` with Efron's sums over the tied events of each duration: the k-th of d sees the risk set less k/d of their weight.
+
+    Rows have ``__t``, ``d``, ``cum_s0`` and ``e0``; ``most`` is the largest d. If that is over ``per_row``, ties become rows of
+    (duration, block of k), spread over tasks, and are summed in two levels.
+    """
+    d = F.col("d")
+
+    def sums(first: Column, count: Column) -> list[Column]:
+        shares = F.when(count > 0, F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda k: (first + k) / d)).otherwise(
+            F.array().cast("array<double>"))
+
+        def over(f) -> Column:
+            return F.aggregate(shares, F.lit(0.0), lambda acc, q: acc + f(q, F.col("cum_s0") - q * F.col("e0")))
+
+        return [over(lambda q, r: 1 / r).alias("a"), over(lambda q, r: q / r).alias("b"), over(lambda q, r: 1 / (r * r)).alias("c0"),
+                over(lambda q, r: q / (r * r)).alias("c1"), over(lambda q, r: q * q / (r * r)).alias("c2"),
+                over(lambda q, r: F.log(r)).alias("logs")]
+
+    if most <= per_row:
+        return risk.select("*", *sums(F.lit(0), d))
+    risk = stage(risk, "cox-risk")
+    blocks = risk.filter("d > 0").select("__t", "d", "cum_s0", "e0", F.explode(
+        F.sequence(F.lit(0).cast("bigint"), F.expr(f"(d - 1) div {per_row}"))).alias("block")).repartition("__t", "block")
+    first = F.col("block") * per_row
+    part = blocks.select("__t", *sums(first, F.least(F.lit(per_row), d - first)))
+    names = ["a", "b", "c0", "c1", "c2", "logs"]
+    whole = part.groupBy("__t").agg(*[F.sum(c).alias(c) for c in names])
+    return risk.join(whole, "__t", "left").select(risk["*"], *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
 
 
 # --------------------------------------------------------------- prediction

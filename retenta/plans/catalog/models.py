@@ -2,74 +2,123 @@
 
 from __future__ import annotations
 
-import dataclasses
+import uuid
 
 from pyspark.sql import functions as F
 
-from retenta.config import DEFAULTS
 from retenta.functions.arrays import top_drivers
-from retenta.operators import collinearity, models
+from retenta.operators import collinearity, models, survival
 from retenta.operators.ordering import ordered_split
 from retenta.plans import pipeline
 from retenta.plans.catalog import on_subjects, query, rounded
 from retenta.plans.features import imputed_features
-from retenta.plans.subjects import subjects
+from retenta.plans.subjects import CIRCLE_REFERENCE, CIRCLES, DEPARTMENT_REFERENCE, DEPARTMENTS, subjects
 from retenta.session import shared_dir, stage
-from retenta.sources.models import load_classifier, save_classifier
+from retenta.sources.models import load_classifier, load_cox, save_classifier, save_cox
 
-# A smaller ensemble than the default settings keeps the registered queries short.
-LIGHT = dataclasses.replace(DEFAULTS, trees=20, tree_depth=4, learning_rate=0.1)
+#: Columns of the classifiers: the feature contract without what gives the label away.
+MODEL_COLUMNS = (
+    "trend_login", "trend_performance", "trend_training", "volatility_leave", "volatility_performance", "org_peer_attrition",
+    "org_manager_attrition", "org_team_shrink", "comp_compa_ratio", "comp_hike_vs_median", "career_promotion_velocity",
+    "is_new_joiner", "interact_underpaid_declining", "band", "perf_rating_current", "login_freq_30d", "training_completions_90d",
+    "leave_days_30d", "gender_encoded", *[f"dept_{v}" for v in DEPARTMENTS if v != DEPARTMENT_REFERENCE],
+    *[f"circle_{v}" for v in CIRCLES if v != CIRCLE_REFERENCE])
+_FITTED: dict[tuple, object] = {}
+
+
+def _once(spark, d, kind, make):
+    """What is trained on a folder is kept for the session: scoring, attribution and metadata use one and the same model."""
+    key = (spark.sparkContext.applicationId, d, kind)
+    if key not in _FITTED:
+        _FITTED[key] = make()
+    return _FITTED[key]
 
 
 def _features(spark, d):
-    df, contract = imputed_features(spark, d)
-    columns = [c for c in contract if c not in pipeline.LEAKING and c != "tenure_months"]
-    split = ordered_split(stage(df.select("order_col", "employee_id", "attrition_flag", *columns)), "order_col")
+    def make():
+        df, contract = imputed_features(spark, d)
+        columns = [c for c in contract if c not in pipeline.LEAKING and c != "tenure_months"]
+        return stage(ordered_split(stage(df.select("order_col", "employee_id", "attrition_flag", *columns)), "order_col"), "features"), columns
+
+    split, columns = _once(spark, d, "features", make)
     return split.filter("is_train"), split.filter("NOT is_train"), columns
 
 
+def _trees(spark, d):
+    train, _, columns = _features(spark, d)
+    return _once(spark, d, "trees", lambda: models.fit_trees(train, columns))
+
+
+def _logistic(spark, d):
+    train, _, columns = _features(spark, d)
+    return _once(spark, d, "logistic", lambda: models.fit_logistic(train, columns))
+
+
 @query("M4_boosted_trees")
 def _(spark, d):
     train, test, columns = _features(spark, d)
-    model = models.fit_trees(train, columns, settings=LIGHT)
-    return models.score(test, model).select("employee_id", "p_attrition")
+    return models.score(train.unionByName(test), _trees(spark, d)).select("employee_id", "p_attrition")
 
 
 @query("M5_logistic_regression")
 def _(spark, d):
-    train, _, columns = _features(spark, d)
-    model = models.fit_logistic(train, columns)
-    beta = model.stages[-1]
+    _, _, columns = _features(spark, d)
+    beta = _logistic(spark, d).stages[-1]
     rows = [("intercept", float(beta.intercept))] + [(c, float(b)) for c, b in zip(columns, beta.coefficients)]
     return spark.createDataFrame(rows, "feature string, coefficient double")
 
 
+# The slope of the penalised loss, worked out from the rows and the coefficients and not by the solver, is zero at the fit.
+@query("M5_logistic_gradient", on_subjects("SELECT feature, CAST(0 AS DOUBLE) AS gradient FROM (VALUES "
+                                           + ", ".join(f"('{c}')" for c in ["intercept", *MODEL_COLUMNS]) + ") AS t(feature)"))
+def _(spark, d):
+    train, _, columns = _features(spark, d)
+    return models.logistic_gradient(train, _logistic(spark, d), columns).select("feature", (F.round("gradient", 4) + 0.0).alias("gradient"))
+
+
 @query("M24_run_metadata")
 def _(spark, d):
     train, test, columns = _features(spark, d)
-    _, meta, _ = models.compare_models(train, test, columns, settings=LIGHT)
+    _, meta, _ = models.compare_models(train, test, columns, fitted={"BoostedTrees": _trees(spark, d), "LogisticRegression": _logistic(spark, d)})
     return models.metadata_row(spark, meta)
 
 
 @query("M25_score_all")
 def _(spark, d):
-    train, test, columns = _features(spark, d)
-    model = models.fit_logistic(train, columns)
-    return models.score(train.unionByName(test), model).select("employee_id", "p_attrition")
+    train, test, _ = _features(spark, d)
+    return models.score(train.unionByName(test), _logistic(spark, d)).select("employee_id", "p_attrition")
 
 
 @query("S10_model_round_trip")
 def _(spark, d):
+    """All subjects scored by the classifier and the hazard model after both were saved and loaded."""
     train, test, columns = _features(spark, d)
-    path = f"{shared_dir(spark).rstrip('/')}/retenta/{spark.sparkContext.applicationId}/classifier-{train.semanticHash()}"
-    save_classifier(models.fit_logistic(train, columns), path)
-    return models.score(test, load_classifier(path)).select("employee_id", "p_attrition")
+    path = f"{shared_dir(spark).rstrip('/')}/retenta/{spark.sparkContext.applicationId}/models-{uuid.uuid4().hex}"
+    save_classifier(_logistic(spark, d), f"{path}/classifier")
+    rows = train.unionByName(test)
+    covariates = ["comp_compa_ratio", "org_manager_attrition", "trend_performance"]
+    timed = rows.join(subjects(spark, d, ["employee_id", "tenure_months"]), "employee_id")
+    save_cox(survival.cox_fit(timed, covariates, "tenure_months", "attrition_flag"), spark, f"{path}/cox")
+    scored = models.score(rows, load_classifier(f"{path}/classifier"))
+    return survival.median_survival(scored, load_cox(spark, f"{path}/cox")).select(
+        "employee_id", "p_attrition", "median_survival_months", "survival_is_infinite")
+
+
+def _selected(spark, d):
+    train, _, columns = _features(spark, d)
+    return _once(spark, d, "l1", lambda: collinearity.l1_selection(train, columns, "attrition_flag", "order_col", parallelism=8))
 
 
 @query("M23_l1_selection")
 def _(spark, d):
-    train, _, columns = _features(spark, d)
-    return collinearity.l1_selection(train, columns, "attrition_flag", "order_col", max_iter=50, parallelism=8)
+    return _selected(spark, d)
+
+
+# At the optimum no slope lies outside what the penalty allows, and the search has ended by itself.
+@query("M23_l1_subgradient", "SELECT feature, CAST(0 AS DOUBLE) AS gap, true AS converged FROM (VALUES "
+       + ", ".join(f"('{c}')" for c in MODEL_COLUMNS) + ") AS t(feature)")
+def _(spark, d):
+    return _selected(spark, d).select("feature", (F.round("gap", 4) + 0.0).alias("gap"), "converged")
 
 
 # --------------------------------------------------------------- attributions with given coefficients
@@ -117,15 +166,25 @@ def _(spark, d):
 @query("M11_tree_attributions")
 def _(spark, d):
     train, test, columns = _features(spark, d)
-    model = models.fit_trees(train, columns, settings=LIGHT)
-    phi = models.tree_attributions(test, model, columns, ["employee_id"])
+    phi = models.tree_attributions(train.unionByName(test), _trees(spark, d), columns, ["employee_id"])
     return phi.select("employee_id", "base", *[c.alias(n) for n, c in models.attribution_columns(columns)])
 
 
+# Base and contributions add up to the log-odds of the score.
+@query("M11_additivity", on_subjects("SELECT employee_id, CAST(0 AS DOUBLE) AS gap FROM subjects"))
+def _(spark, d):
+    train, test, columns = _features(spark, d)
+    scored = models.score(train.unionByName(test), _trees(spark, d))
+    both = models.tree_attributions(scored, _trees(spark, d), columns, ["employee_id", "p_attrition"])
+    total = F.aggregate("phi", F.col("base"), lambda s, x: s + x)
+    odds = F.log(F.col("p_attrition") / (1 - F.col("p_attrition")))
+    return both.select("employee_id", (F.round(total - odds, 4) + 0.0).alias("gap"))
+
+
 @query("E3_model_scored_table")
 def _(spark, d):
     df, contract = imputed_features(spark, d)
     base = stage(df)
-    trained = pipeline.training_job(base, contract, settings=LIGHT)
+    trained = pipeline.training_job(base, contract, fitted={"BoostedTrees": _trees(spark, d), "LogisticRegression": _logistic(spark, d)})
     from retenta import schema
-    return pipeline.scoring_job(base, subjects(spark, d, ["employee_id", *schema.PROFILE_COLUMNS]), trained, LIGHT)
+    return pipeline.scoring_job(base, subjects(spark, d, ["employee_id", *schema.PROFILE_COLUMNS]), trained)

@@ -211,3 +211,15 @@ def _(spark, d):
 def _(spark, d):
     df, contract = imputed_features(spark, d)
     return collinearity.variance_inflation(stage(df), contract)
+
+
+# --------------------------------------------------------------- pairwise complete, on measures with nulls
+_WITH_NULLS = ("compa_ratio", "hike_vs_band_median", "perf_rating_current", "login_freq_30d", "login_freq_slope_30d", "leave_days_30d",
+               "performance_rating_delta", "manager_attrition_rate_6m", "team_size_change_pct", "tenure_months")
+
+
+@query("M20_pairwise_correlations", on_subjects(" UNION ALL ".join(
+    f"SELECT {i} AS position_1, {j} AS position_2, '{a}' AS feature_1, '{b}' AS feature_2, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS r FROM subjects"
+    for i, a in enumerate(_WITH_NULLS) for j, b in enumerate(_WITH_NULLS) if i < j)))
+def _(spark, d):
+    return rounded(collinearity.correlation_table(subjects(spark, d, list(_WITH_NULLS)), _WITH_NULLS))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from retenta import schema
 from retenta.operators import survival
 from retenta.plans.catalog import on_subjects, query, rounded
+from retenta.plans.features import imputed_features
 from retenta.plans.scored import SCORED_SQL, rule_scored
 from retenta.plans.subjects import subjects
 from retenta.session import stage
@@ -28,30 +30,36 @@ def _(spark, d):
     return rounded(survival.kaplan_meier(df, "tenure_months", "attrition_flag", "gender"))
 
 
-@query("M17_log_rank", on_subjects("""
-SELECT CAST(o AS BIGINT) AS observed, round(e, 6) AS expected, round((o - e) * (o - e) / v, 6) AS chi2 FROM (
+_LOG_RANK = """
+SELECT o AS observed, e AS expected, (o - e) * (o - e) / v AS chi2 FROM (
   SELECT sum(d1) AS o, sum(d * n1 / CAST(n AS DOUBLE)) AS e,
     sum(CASE WHEN n > 1 THEN d * (n1 / CAST(n AS DOUBLE)) * (1 - n1 / CAST(n AS DOUBLE)) * (n - d) / (n - 1) ELSE 0 END) AS v FROM (
     SELECT t, d1, d, sum(c1) OVER (ORDER BY t DESC) AS n1, sum(c) OVER (ORDER BY t DESC) AS n FROM (
       SELECT tenure_months AS t, sum(CASE WHEN gender = 'F' THEN attrition_flag ELSE 0 END) AS d1, sum(attrition_flag) AS d,
-        count(CASE WHEN gender = 'F' THEN 1 END) AS c1, count(*) AS c FROM subjects WHERE tenure_months IS NOT NULL GROUP BY 1)))"""))
+        count(CASE WHEN gender = 'F' THEN 1 END) AS c1, count(*) AS c FROM subjects WHERE tenure_months IS NOT NULL GROUP BY 1)))"""
+
+
+@query("M17_log_rank", on_subjects("SELECT CAST(observed AS BIGINT) AS observed, round(expected, 6) AS expected, round(chi2, 6) AS chi2 FROM (" + _LOG_RANK + ")"))
 def _(spark, d):
     df = subjects(spark, d, ["tenure_months", "attrition_flag", "gender"])
     return rounded(survival.log_rank(df, "tenure_months", "attrition_flag", "gender", "F", "M")).drop("p_value")
 
 
-@query("M17_log_rank_p_value")
+# The tail by Simpson's rule: erfc(x) is the integral of 2 / sqrt(pi) * exp(-u * u) from x to x + 8.
+@query("M17_log_rank_p_value", on_subjects("""
+SELECT CAST(round(observed, 6) AS DOUBLE) AS observed, round(expected, 6) AS expected, round(chi2, 6) AS chi2,
+  round((SELECT sum(exp(-power(sqrt(chi2 / 2) + k / 1000.0, 2)) * CASE WHEN k IN (0, 8000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)
+    FROM range(0, 8001) AS t(k)) / 3000 * 2 / sqrt(pi()), 6) AS p_value FROM ("""+ _LOG_RANK + """)"""))
 def _(spark, d):
     df = subjects(spark, d, ["tenure_months", "attrition_flag", "gender"])
-    return survival.log_rank(df, "tenure_months", "attrition_flag", "gender", "F", "M")
-
-
-_COVARIATES = ("compa_ratio", "manager_attrition_rate_6m", "performance_rating_delta", "hike_vs_band_median", "band")
+    return rounded(survival.log_rank(df, "tenure_months", "attrition_flag", "gender", "F", "M").withColumn("observed", F.col("observed").cast("double")))
 
 
 def _cox(spark, d):
-    df = stage(subjects(spark, d, ["employee_id", *_COVARIATES, "tenure_months", "attrition_flag"]))
-    return df, survival.cox_fit(df, _COVARIATES, "tenure_months", "attrition_flag")
+    """The hazard model of all ten covariates; the duration is one of them, as configured."""
+    table, _ = imputed_features(spark, d)
+    df = stage(table.select("employee_id", "attrition_flag", *schema.COX_COVARIATES))
+    return df, survival.cox_fit(df, schema.COX_COVARIATES, "tenure_months", "attrition_flag", allow_duration=True)
 
 
 @query("M13_cox_coefficients")
@@ -59,6 +67,15 @@ def _(spark, d):
     return _cox(spark, d)[1].table(spark)
 
 
+# At the fit the slope of the penalised likelihood is zero in every direction.
+@query("M13_cox_gradient", "SELECT covariate, CAST(0 AS DOUBLE) AS gradient FROM (VALUES "
+       + ", ".join(f"('{c}')" for c in schema.COX_COVARIATES) + ") AS t(covariate)")
+def _(spark, d):
+    model = _cox(spark, d)[1]
+    rows = list(zip(model.covariates, model.gradient))
+    return spark.createDataFrame(rows, "covariate string, gradient double").select("covariate", (F.round("gradient", 5) + 0.0).alias("gradient"))
+
+
 @query("M14_median_survival")
 def _(spark, d):
     df, model = _cox(spark, d)

@@ -64,14 +64,15 @@ class Trained:
 
 
 def training_job(table: DataFrame, contract: list[str], order_col: str = "order_col",
-                 covariates: tuple[str, ...] = ("comp_compa_ratio", "org_manager_attrition", "trend_performance", "band"),
-                 duration: str = "tenure_months", settings: Settings = DEFAULTS) -> Trained:
-    """Ordered split, both classifiers, the choice between them, and the hazard model on the training part."""
+                 covariates: tuple[str, ...] = schema.COX_COVARIATES, duration: str = "tenure_months",
+                 settings: Settings = DEFAULTS, fitted: dict[str, PipelineModel] | None = None) -> Trained:
+    """Ordered split, both classifiers (or those ``fitted`` before), the choice between them, and the hazard model on the training
+    part."""
     split = ordered_split(table, order_col, settings.train_fraction)
     train, test = split.filter("is_train"), split.filter("NOT is_train")
     columns = [c for c in contract if c not in LEAKING and c != duration]
-    model, meta, metrics = models.compare_models(train, test, columns, settings=settings)
-    cox = survival.cox_fit(train, covariates, duration, models.LABEL, settings.cox_ridge)
+    model, meta, metrics = models.compare_models(train, test, columns, settings=settings, fitted=fitted)
+    cox = survival.cox_fit(train, covariates, duration, models.LABEL, settings.cox_ridge, allow_duration=True)
     return Trained(model, columns, meta, metrics, cox, train)
 
 

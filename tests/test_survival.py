@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from retenta.operators import survival
 from retenta.sources.models import load_cox, save_cox
@@ -123,3 +124,28 @@ def test_concordance_by_pairs(spark, size):
             if e1 and (t2 > t1 or (t2 == t1 and not e2)):
                 con, dis, tie = con + (r1 > r2), dis + (r1 < r2), tie + (r1 == r2)
     assert (r["concordant"], r["discordant"], r["tied"]) == (con, dis, tie)
+
+
+@pytest.mark.parametrize("per_row", [1, 7])
+def test_ties_as_rows_equal_ties_in_place(spark, cox_data, per_row):
+    df, *_ = cox_data
+    one = survival.cox_fit(df, ["x", "z"], "t", "e", .01)
+    many = survival.cox_fit(df, ["x", "z"], "t", "e", .01, ties_per_row=per_row, rows_per_bucket=50)
+    assert many.coefficients == pytest.approx(one.coefficients, abs=1e-9)
+    assert many.log_likelihood == pytest.approx(one.log_likelihood)
+    assert max(map(abs, many.gradient)) == pytest.approx(many.gradient_norm)
+
+
+def test_a_million_ties_at_one_duration(spark):
+    df = spark.range(1_000_200).select(F.when(F.col("id") < 1_000_000, 5.0).otherwise(F.col("id") % 9 + 1.0).alias("t"),
+                                       (F.col("id") % 2).cast("double").alias("x"), F.lit(1).alias("e"))
+    model = survival.cox_fit(df, ["x"], "t", "e", 0.1, max_iter=2)
+    assert model.gradient_norm < 1e-3 and abs(model.coefficients[0]) < 0.05
+
+
+def test_chi2_tail(spark):
+    xs = [0.0, 1e-9, 0.3, 1.0, 3.84, 6.63, 17.9, 18.1, 30.0, 200.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", survival.chi2_tail(F.col("x")).alias("p")).collect()
+    for r in got:
+        assert r["p"] == pytest.approx(math.erfc(math.sqrt(r["x"] / 2)), rel=1e-9, abs=1e-14)
+    assert spark.createDataFrame([(None,)], "x double").select(survival.chi2_tail(F.col("x"))).first()[0] is None
