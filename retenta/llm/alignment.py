@@ -6,14 +6,14 @@ of links: plane k holds the texts whose number has bit k set. A plane is a sorte
 that is shorter. Planes joined by OR and popcounted give the number of texts of a pair; planes popcounted and weighted by 2^k
 give its links. Pairs with their counts then go back over the same planes, block by block, and add up each text's scores.
 
-A cut after a character that is no space, before a single space, ends tokens of both kinds; texts are split there, and each
-different stretch is aligned once per worker.
+Tokens of both kinds end before a space that follows another character, and between a letter or digit and a stop that no piece
+holds together. Texts are split there, and each different stretch is aligned once per worker.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -25,12 +25,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from retenta.llm.arrow import keyed_texts, slices
 from retenta.llm.bpe import _ship
-from retenta.llm.pieces import MARK, encoder_of
+from retenta.llm.pieces import MARK, _stretched, encoder_of
 from retenta.session import stage
 
 #: Texts of a block at most (places have 16 bits), and postings after which a block is closed.
 BLOCK, POSTINGS = 1 << 16, 3_000_000
 DENSE = BLOCK // 16
+#: Fixed value: the splitting pattern of byte-level vocabularies.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+STOPS = ".,;:!?"
 #: Different stretches kept per worker (the table is emptied when full), and characters of the longest kept.
 REMEMBERED, LONG = 250_000, 120
 #: Links kept per worker, after which the table is emptied too.
@@ -46,27 +49,28 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
-def groups_of(a_ids, a_sizes, b_ids, b_sizes) -> tuple[str, int, list[tuple[int, int]]]:
-    """The groups of two token rows over the same bytes as text, their number, and all overlapping pairs of ids."""
-    written, links, left, right = [], [], [], []
-    i = j = a_end = b_end = 0
-    while i < len(a_ids) or j < len(b_ids):
-        if a_end <= b_end and i < len(a_ids):
-            a_start, a_end = a_end, a_end + a_sizes[i]
-            left.append(a_ids[i])
-            i += 1
-            if b_end > a_start:
-                links.append((left[-1], right[-1]))
-        else:
-            b_start, b_end = b_end, b_end + b_sizes[j]
-            right.append(b_ids[j])
-            j += 1
-            if a_end > b_start:
-                links.append((left[-1], right[-1]))
-        if a_end == b_end:
-            written.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-            left, right = [], []
-    return ";".join(written), len(written), links
+class ByteVocabulary:
+    """A byte-level vocabulary file of the tokenizers library, read into ranks: bytes of a token, its id, and an encoder."""
+
+    def __init__(self, path: str):
+        import tiktoken
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        cut, model = spec["pre_tokenizer"] or {}, spec["model"]
+        if spec["normalizer"] or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+            raise ValueError("only byte-level vocabularies without character changes are handled")
+        letters = _byte_letters()
+        vocabulary = model["vocab"]
+        merged = [(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        names = [*(c for c in letters), *("".join(m) for m in merged)]
+        if len(set(names)) < len(names) or any(x not in vocabulary for x in names):
+            raise ValueError("a token is made by several merges, or by none")
+        spelled = [bytes(letters[c] for c in x) for x in names]
+        #: Ids and bytes by rank: single bytes first, then in order of merging.
+        self.ids = np.array([vocabulary[x] for x in names], dtype=np.int64)
+        self.sizes = np.array(list(map(len, spelled)), dtype=np.int64)
+        self.encode = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks={x: k for k, x in enumerate(spelled)},
+                                        special_tokens={}).encode_ordinary
 
 
 class Aligner:
@@ -77,18 +81,15 @@ class Aligner:
     """
 
     def __init__(self, a_path: str, b_name: str):
-        from tokenizers import Tokenizer
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        letters = _byte_letters()
-        self.a_bytes = {i: bytes(letters[c] for c in piece) for piece, i in self.a.get_vocab().items()
-                        if all(c in letters for c in piece)}
+        self.a = ByteVocabulary(a_path)
         self.b = encoder_of(b_name)
-        self.b_bits = max(1, max(self.b.surface).bit_length())
-        if max(self.a_bytes).bit_length() + self.b_bits > 47:
+        parts = [self.b.raw.get(i, b"") for i in range(max(self.b.surface) + 1)]
+        self.b_begins, self.b_bytes = np.cumsum([0, *map(len, parts)]), np.frombuffer(b"".join(parts), np.uint8)
+        self.b_bits = max(1, (len(parts) - 1).bit_length())
+        if int(self.a.ids.max()).bit_length() + self.b_bits > 47:
             raise ValueError("ids of both vocabularies must fit into 47 bits together")
-        self.split = re.compile(rf"(?<=[^\s{MARK}])(?= )").split
+        joined = "".join(sorted({a for a, b in self.b.neighbours if b in STOPS}))
+        self.split = re.compile(rf"(?<=[^\s{MARK}])(?= )|(?<=[^\W_{re.escape(joined)}])(?=[{STOPS}])").split
         self.clear()
 
     def clear(self) -> None:
@@ -104,29 +105,57 @@ class Aligner:
             new = list(stretches)
         if not new:
             return
-        numbers, fresh = [], []
-        a_rows = [x.ids for x in self.a.encode_batch(new, add_special_tokens=False)]
+        ranks = [self.a.encode(x) for x in new]
         split = [self.b.split(x.replace(" ", MARK)) for x in new]
         marked = set().union(*split)
-        b_rows = self.b.learned(marked)
-        for text, a_ids, parts in zip(new, a_rows, split, strict=True):
-            b_ids = list(chain.from_iterable(self.b.ids_of(b_rows[x]) for x in parts))
-            a_parts, b_parts = [self.a_bytes[x] for x in a_ids], [self.b.raw.get(x, b"") for x in b_ids]
-            data = text.encode("utf-8")
-            if b"".join(a_parts) == data == b"".join(b_parts):
-                written, n, links = groups_of(a_ids, list(map(len, a_parts)), b_ids, list(map(len, b_parts)))
-                codes = np.array([x << self.b_bits | y for x, y in links], dtype=np.uint64)
-            else:
-                written, n, codes = "", -1, np.zeros(0, np.uint64)
-            self.known[text] = len(self.written)
-            self.written.append(written)
-            numbers.append((len(a_ids), len(b_ids), n))
-            fresh.append(codes)
-        self.numbers = np.concatenate([self.numbers, np.array(numbers, dtype=np.int64)])
-        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(list(map(len, fresh)))])
-        self.codes = np.concatenate([self.codes, *fresh])
+        b_known = self.b.learned(marked)
+        at = np.fromiter(chain.from_iterable(map(b_known.__getitem__, x) for x in split), np.int64)
+        b_ids, b_sizes = self.b.ids_at(at)
+        per = np.r_[0, np.cumsum(b_sizes)][np.cumsum([0, *map(len, split)])]
+        self._add(new, np.fromiter(chain.from_iterable(ranks), np.int64), np.cumsum([0, *map(len, ranks)]), b_ids, per)
         self.b.forget_long(marked)
 
+    def _add(self, texts: list[str], ranks: np.ndarray, a_begins: np.ndarray, b_ids: np.ndarray, b_begins: np.ndarray) -> None:
+        """Align all new stretches at once, as one row of bytes.
+
+        Every stretch between two neighbouring ends of tokens of either kind lies in one a and one b token, and is their only
+        common one: these are the links. Ends of both kinds cut groups.
+        """
+        n = len(texts)
+        data = [x.encode("utf-8") for x in texts]
+        edges = np.cumsum([0, *map(len, data)])
+        b_sizes = self.b_begins[b_ids + 1] - self.b_begins[b_ids]
+        lengths = np.diff(np.r_[0, np.cumsum(b_sizes)][b_begins])
+        good = lengths == np.diff(edges)
+        a_of, b_of = np.repeat(np.arange(n), np.diff(a_begins)), np.repeat(np.arange(n), np.diff(b_begins))
+        kept = good[b_of]
+        spelled = self.b_bytes[_stretched(self.b_begins[b_ids[kept]], b_sizes[kept])]
+        text = np.frombuffer(b"".join(x for x, ok in zip(data, good) if ok), np.uint8)
+        good[np.repeat(np.arange(n), np.where(good, lengths, 0))[spelled != text]] = False
+        a_keep, b_keep = good[a_of], good[b_of]
+        a_of, b_of, ranks, b_ids, b_sizes = a_of[a_keep], b_of[b_keep], ranks[a_keep], b_ids[b_keep], b_sizes[b_keep]
+        a_ids = self.a.ids[ranks]
+        a_ends, b_ends = np.cumsum(self.a.sizes[ranks]), np.cumsum(b_sizes)
+        ends = np.union1d(a_ends, b_ends)
+        left, right = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+        shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        a_group, b_group = np.searchsorted(shared, a_ends), np.searchsorted(shared, b_ends)
+        of_group = a_of[np.searchsorted(a_ends, shared)]
+        groups = np.where(good, np.bincount(of_group, minlength=n), -1)
+        # The groups as text: each token with what stands behind it, in order of group and side.
+        last_a, last_b = np.r_[a_group[1:] != a_group[:-1], True], np.r_[b_group[1:] != b_group[:-1], True]
+        tokens = [f"{i}|" if last else f"{i}," for i, last in zip(a_ids.tolist(), last_a.tolist())] \
+            + [f"{i};" if last else f"{i}," for i, last in zip(b_ids.tolist(), last_b.tolist())]
+        order = np.argsort(np.r_[2 * a_group, 2 * b_group + 1], kind="stable").tolist()
+        tokens = [tokens[k] for k in order]
+        cuts = np.cumsum([0, *(np.bincount(a_of, minlength=n) + np.bincount(b_of, minlength=n)).tolist()]).tolist()
+        self.known.update(zip(texts, range(len(self.written), len(self.written) + n)))
+        self.written += ["".join(tokens[lo:hi])[:-1] for lo, hi in zip(cuts[:-1], cuts[1:])]
+        codes = a_ids[left].astype(np.uint64) << np.uint64(self.b_bits) | b_ids[right].astype(np.uint64)
+        self.codes = np.concatenate([self.codes, codes])
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(np.bincount(a_of[left], minlength=n))])
+        self.numbers = np.concatenate([self.numbers, np.column_stack([np.diff(a_begins), np.diff(b_begins), groups])])
+
     def forget_long(self, stretches: set[str]) -> None:
         for x in stretches:
             if len(x) > LONG:
@@ -149,8 +178,7 @@ class Aligner:
         totals = np.zeros((len(texts), 4), dtype=np.int64)
         np.add.at(totals[:, :3], owner, numbers[at])
         lengths = begins[at + 1] - begins[at]
-        ends = np.cumsum(lengths)
-        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[at] - (ends - lengths), lengths)
+        places = _stretched(begins[at], lengths)
         text = np.repeat(owner, lengths)
         totals[:, 3] = np.bincount(text, minlength=len(texts))
         written = ["" if b else ";".join([self.written[self.known[x]] for x in s]) for s, b in zip(split, bad, strict=True)]

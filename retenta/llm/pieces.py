@@ -84,7 +84,9 @@ class PieceEncoder:
                 self.surface[i] = model.trainer_spec.unk_surface.encode("utf-8")
         self.headed = {i for p, i in self.ids.items() if p.startswith(MARK)}
         cut = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.split = re.compile(f"{MARK}+[^{MARK}]*" if cut else "(?s:.+)").findall
+        #: Neighbouring characters within pieces; no token reaches across two others.
+        self.neighbours = {pair for piece in self.ids for pair in pairwise(piece)}
+        self.split = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if cut else "(?s:.+)").findall
         self.library = SentencePieceProcessor(model_file=path)
         self._named_ids = np.full(len(self.symbols), -1, dtype=np.int32)
         self._named_ids[:len(self.pieces)] = self.pieces
@@ -201,7 +203,7 @@ class PieceEncoder:
         self._wrong: set[str] = set()
 
     def learned(self, stretches: set[str], check: bool = False) -> dict[str, int]:
-        """The number of every stretch asked for, under which ``ids_of`` has its ids. With ``check``, new ones are held against the
+        """The number of every stretch asked for, under which ``ids_at`` has its ids. With ``check``, new ones are held against the
         library as one batch."""
         new = stretches - self._known.keys()
         if len(self._begins) + len(new) > REMEMBERED or len(self._flat) > 8 * REMEMBERED:
@@ -245,8 +247,10 @@ class PieceEncoder:
         out[out < 0] = list(chain.from_iterable(parts))
         return out, np.diff(np.r_[0, np.cumsum(lengths)][np.r_[0, np.cumsum(sizes)]])
 
-    def ids_of(self, number: int) -> list[int]:
-        return self._flat[self._begins[number]:self._begins[number + 1]].tolist()
+    def ids_at(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of stretches, one after the other, and how many each has."""
+        sizes = self._begins[numbers + 1] - self._begins[numbers]
+        return self._flat[_stretched(self._begins[numbers], sizes)], sizes
 
     def forget_long(self, stretches: set[str]) -> None:
         for name in stretches:
@@ -259,8 +263,7 @@ class PieceEncoder:
         wanted = set().union(*split)
         known = self.learned(wanted, check)
         at = np.fromiter(chain.from_iterable(map(known.__getitem__, s) for s in split), np.int64, sum(map(len, split)))
-        sizes = self._begins[at + 1] - self._begins[at]
-        ids = self._flat[_stretched(self._begins[at], sizes)]
+        ids, sizes = self.ids_at(at)
         begins = np.r_[0, np.cumsum(sizes)][np.cumsum([0, *map(len, split)])]
         agrees = [not self._wrong or self._wrong.isdisjoint(s) for s in split]
         self.forget_long(wanted)

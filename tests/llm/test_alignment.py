@@ -99,7 +99,7 @@ def test_random_texts_are_cut_without_change(libraries):
             pieces._ENCODERS.setdefault("direct", pieces.PieceEncoder(B))
             super().__init__(A, "direct")
 
-    rng, parts = random.Random(4), ["a", " ", "  ", "\n", "the", "'s", "▁", "é", " ", " ", "1", "!", "\x85", "\x1f", "漢"]
+    rng, parts = random.Random(4), ["a", " ", "  ", "\n", "the", "'s", "▁", "é", ",", ".", "²", "_", "x", "³.", " ", " ", "1", "!", "\x85", "\x1f", "漢"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(600)]
     totals, written, _, _ = Direct().align(texts)
     want, _, _ = plain(list(enumerate(texts)), libraries)
