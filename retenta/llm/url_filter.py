@@ -2,7 +2,12 @@
 
 Where no rule decides, a URL is scored by two variable-order Markov models of characters, one of accepted and one of
 rejected URLs. The models are smoothed by interpolation: each order hands the weight of unseen characters to the next lower.
-The difference of the log-likelihoods, divided by the length, is compared with a calibrated threshold.
+The difference of the log-likelihoods, divided by the length, is compared with a threshold calibrated on URLs that were not
+counted.
+
+The counts are a Spark table with one row per context and per context with character, so they grow with the URLs. To score,
+URLs are put into blocks; each block asks once for every context and character it holds, a join answers, and answers and URLs of
+a block meet in one task.
 """
 
 from __future__ import annotations
@@ -12,13 +17,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from retenta.session import stage
 
-#: Longest context in characters, and slots of the table of counts of one class. Contexts share slots by hash, so the table
-#: has a fixed size, however many URLs are counted.
-ORDER, SLOTS = 4, 1 << 16
+#: Longest context in characters, and characters of the URLs of one block.
+ORDER, BLOCK = 4, 1 << 19
+#: One of so many decided URLs is kept for calibration and not counted.
+HELD_OUT = 5
 
 
 @dataclass(frozen=True)
@@ -61,8 +69,8 @@ def _codes(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts).astype(np.uint64), np.cumsum([len(p) for p in parts])
 
 
-def _slots(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of context (order by place) and of context with character, and the URL of each place."""
+def _keys(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of context (order by place) and of context with character, and the URL of each place."""
     mix, places = np.uint64(0x9E3779B97F4A7C15), np.ones(len(codes), dtype=bool)
     starts = np.r_[0, ends[:-1]]
     for k in range(ORDER):
@@ -75,78 +83,93 @@ def _slots(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             context = (context + codes[at - n] + np.uint64(n)) * mix
             context ^= context >> np.uint64(29)
         gram = (context + codes[at] * np.uint64(0x632BE59BD9B4E019) + np.uint64(1)) * mix
-        contexts.append(((context * mix) >> np.uint64(48)).astype(np.int64))
-        grams.append((gram >> np.uint64(48)).astype(np.int64))
-    return np.stack(contexts), np.stack(grams), np.searchsorted(ends, at, side="right")
-
-
-@dataclass(frozen=True)
-class CharacterModel:
-    """Counts by order and slot: of contexts, of contexts with a character, and of different characters after a context."""
+        contexts.append((context + np.uint64(n)) * np.uint64(0xD6E8FEB86659FD93))
+        grams.append(gram ^ (gram >> np.uint64(31)))
+    return np.stack(contexts).view(np.int64), np.stack(grams).view(np.int64), np.searchsorted(ends, at, side="right")
 
-    contexts: np.ndarray
-    grams: np.ndarray
-    kinds: np.ndarray
 
-    def log_likelihood(self, contexts: np.ndarray, grams: np.ndarray) -> np.ndarray:
-        """Log probability of each character, interpolated from no context to the longest (Witten-Bell weights)."""
-        p = np.full(contexts.shape[1], 1 / 256)
-        for n in range(ORDER + 1):
-            total, kinds = self.contexts[n][contexts[n]], self.kinds[n][contexts[n]]
-            p = np.where(total > 0, (self.grams[n][grams[n]] + kinds * p) / np.maximum(total + kinds, 1), p)
-        return np.log(p)
-
-
-def count(urls: DataFrame) -> dict[int, CharacterModel]:
-    """One model per class from rows of ``url`` and ``accepted`` (0/1), counted over all of them.
-
-    Tasks add up slots before anything is shuffled; the tables that reach the driver have a fixed size.
+def count(urls: DataFrame) -> DataFrame:
+    """Both models from rows of ``url`` and ``accepted`` (0/1), counted over all of them: ``key``, ``rejected`` and ``accepted``
+    (how often the context, or context with character, occurs in each class) and ``kinds0`` and ``kinds1`` (different
+    characters behind a context). Tasks add up keys before anything is shuffled.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             codes, ends = _codes(batch.column("url").to_pylist())
-            contexts, grams, url = _slots(codes, ends)
-            labels = batch.column("accepted").to_numpy(zero_copy_only=False).astype(np.int64)[url]
-            for n in range(ORDER + 1):
-                keys, counts = np.unique((labels * SLOTS + contexts[n]) * SLOTS + grams[n], return_counts=True)
-                columns = np.full(len(keys), n), keys // SLOTS // SLOTS, keys // SLOTS % SLOTS, keys % SLOTS
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in columns), pa.array(counts, pa.int64())],
-                                                 names=["n", "accepted", "context", "gram", "c"])
-
-    pairs = stage(urls.select("url", "accepted").mapInArrow(work, "n int, accepted int, context int, gram int, c bigint")
-                  .groupBy("n", "accepted", "context", "gram").agg(F.sum("c").alias("c")), "pairs")
-    out = {y: CharacterModel(*(np.zeros((ORDER + 1, SLOTS)) for _ in range(3))) for y in (0, 1)}
-    contexts = pairs.groupBy("n", "accepted", "context").agg(F.sum("c").alias("c"), F.count("*").alias("kinds")).toArrow().to_pydict()
-    grams = pairs.groupBy("n", "accepted", "gram").agg(F.sum("c").alias("c")).toArrow().to_pydict()
-    for n, y, slot, c, kinds in zip(*contexts.values(), strict=True):
-        out[y].contexts[n, slot], out[y].kinds[n, slot] = c, kinds
-    for n, y, slot, c in zip(*grams.values(), strict=True):
-        out[y].grams[n, slot] = c
-    return out
-
-
-def score(pages: DataFrame, models: dict[int, CharacterModel], url_col: str = "url") -> DataFrame:
-    """Adds ``ratio``: log-likelihood of the accepted model less that of the rejected one, per character."""
-    slim = {y: CharacterModel(*(t.astype(np.float32) for t in (m.contexts, m.grams, m.kinds))) for y, m in models.items()}
-    shared = pages.sparkSession.sparkContext.broadcast(slim)
+            contexts, grams, url = _keys(codes, ends)
+            label = batch.column("accepted").to_numpy(zero_copy_only=False).astype(bool)[url]
+            for context, gram in zip(contexts, grams, strict=True):
+                keys, first, of = np.unique(gram, return_index=True, return_inverse=True)
+                counts = np.bincount(of, ~label, len(keys)), np.bincount(of, label, len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(context[first]), pa.array(keys), *(pa.array(c.astype(np.int64)) for c in counts)],
+                                                 names=["context", "gram", "rejected", "accepted"])
+
+    sums = [F.sum(c).alias(c) for c in ("rejected", "accepted")]
+    grams = stage(urls.select("url", "accepted").mapInArrow(work, "context bigint, gram bigint, rejected bigint, accepted bigint")
+                  .groupBy("context", "gram").agg(*sums), "grams")
+    contexts = grams.groupBy("context").agg(*sums, F.count_if(F.col("rejected") > 0).alias("kinds0"), F.count_if(F.col("accepted") > 0).alias("kinds1"))
+    none = F.lit(0).cast("bigint")
+    return stage(grams.select(F.col("gram").alias("key"), "rejected", "accepted", none.alias("kinds0"), none.alias("kinds1"))
+                 .union(contexts.select(F.col("context").alias("key"), "rejected", "accepted", "kinds0", "kinds1")), "models")
+
+
+def _log_likelihood(seen: np.ndarray, after: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Log probability of each character, interpolated from no context to the longest (Witten-Bell weights). By order: how often
+    the context, and the context with the character, was seen, and different characters behind it."""
+    p = np.full(seen.shape[1], 1 / 256)
+    for total, c, k in zip(seen, after, kinds, strict=True):
+        p = np.where(total > 0, (c + k * p) / np.maximum(total + k, 1), p)
+    return np.log(p)
+
+
+def score(pages: DataFrame, models: DataFrame, url_col: str = "url", block: int = BLOCK) -> DataFrame:
+    """Adds ``ratio``: log-likelihood of the accepted model less that of the rejected one, per character. Null URLs count as
+    empty text."""
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, used = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(url_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ORDER + 1
+            ends = used + np.cumsum(sizes)
+            used = int(ends[-1]) if len(ends) else used
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base + ends // block)], names=[*batch.schema.names, "block"])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = stage(pages.mapInArrow(numbered, pages.withColumn("block", F.lit(0).cast("bigint")).schema), "url_blocks")
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            codes, ends = _codes(batch.column(url_col).fill_null("").to_pylist())
-            contexts, grams, url = _slots(codes, ends)
-            gap = shared.value[1].log_likelihood(contexts, grams) - shared.value[0].log_likelihood(contexts, grams)
-            ratio = np.bincount(url, gap, batch.num_rows) / np.bincount(url, minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ratio)], names=[*batch.schema.names, "ratio"])
+            blocks = batch.column("block").to_numpy()
+            for b in np.unique(blocks):
+                part = batch.filter(pa.array(blocks == b))
+                contexts, grams, _ = _keys(*_codes(part.column(url_col).fill_null("").to_pylist()))
+                keys = np.unique(np.concatenate([contexts.ravel(), grams.ravel()]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), b)), pa.array(keys)], names=["block", "key"])
+
+    answers = rows.select("block", url_col).mapInArrow(asked, "block bigint, key bigint").join(models, "key")
+
+    def scored(urls: pa.Table, known: pa.Table) -> pa.Table:
+        if not urls.num_rows:
+            return urls.drop_columns(["block"]).append_column("ratio", pa.array([], pa.float64()))
+        contexts, grams, url = _keys(*_codes(urls.column(url_col).combine_chunks().fill_null("").to_pylist()))
+        keys, first = np.unique(known.column("key").to_numpy(), return_index=True)
+        keys = np.r_[keys, np.iinfo(np.int64).max]
+
+        def values(name: str, wanted: np.ndarray) -> np.ndarray:
+            column = np.r_[known.column(name).to_numpy()[first], 0]
+            at = np.searchsorted(keys, wanted)
+            return np.where(keys[at] == wanted, column[at], 0)
+
+        gap = _log_likelihood(values("accepted", contexts), values("accepted", grams), values("kinds1", contexts)) \
+            - _log_likelihood(values("rejected", contexts), values("rejected", grams), values("kinds0", contexts))
+        ratio = np.bincount(url, gap, urls.num_rows) / np.bincount(url, minlength=urls.num_rows)
+        return urls.drop_columns(["block"]).append_column("ratio", pa.array(ratio))
 
-    return pages.mapInArrow(work, pages.withColumn("ratio", F.lit(0.0)).schema)
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, pages.withColumn("ratio", F.lit(0.0)).schema)
 
 
 def threshold(scored: DataFrame, low: float = -4.0, high: float = 4.0, bins: int = 800) -> float:
-    """The ratio from which the mean of the two classes' shares of right answers is largest, over all decided URLs.
+    """The ratio from which the mean of the two classes' shares of right answers is largest, over the decided URLs among ``scored``.
 
     Ratios are counted in a fixed number of bins. With one class alone, everything goes to it.
     """
@@ -166,13 +189,16 @@ def threshold(scored: DataFrame, low: float = -4.0, high: float = 4.0, bins: int
 def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``ratio`` and ``verdict`` (allow or block) of each row.
 
-    The models are counted over all URLs that a rule decides, repeats included; the rule's verdict stands, the others get the
-    models'. Null URLs are scored as empty text. An empty table gives an empty result; without any decided URL all are allowed.
+    The models are counted over four fifths of the URLs that a rule decides, told by a hash of the URL, repeats included; the
+    threshold is set on the last fifth. The rule's verdict stands, the others get the models'. Null URLs are scored as empty text;
+    null ids and repeated rows stay; other columns are not read. An empty table gives an empty result; without any URL to
+    calibrate on all are allowed, and with one class alone all go to it.
     """
+    held = F.pmod(F.crc32(F.coalesce("url", F.lit("")).cast("binary")), F.lit(HELD_OUT)) == 0
     rows = with_rule(pages, rules, id_col, url_col)
-    decided = rows.filter("decided is not null and url is not null").select(
+    decided = rows.filter(F.col("decided").isNotNull() & F.col("url").isNotNull() & ~held).select(
         "url", (F.col("decided") == "allow").cast("int").alias("accepted"))
-    scored = score(rows, count(decided))
-    limit = threshold(scored)
+    scored = stage(score(rows, count(decided)), "scored_urls")
+    limit = threshold(scored.filter(held))
     verdict = F.coalesce("decided", F.when(F.col("ratio") >= F.lit(limit), "allow").otherwise("block"))
     return scored.select("page_id", "host", "path", "rule", "ratio", verdict.alias("verdict"))

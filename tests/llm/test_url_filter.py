@@ -1,9 +1,11 @@
 import math
+import random
 import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from retenta.llm import url_filter
 from retenta.llm.url_filter import ORDER, Rule
@@ -59,8 +61,34 @@ def test_models_equal_plain_counting(spark):
         return total / (len(text) + 1)
 
     texts = ["http://ab.com/9", "http://ba.net/x", "", "zzz"]
-    got = url_filter.score(spark.createDataFrame([(t,) for t in texts], "url string"), models).collect()
-    assert [r.ratio for r in got] == pytest.approx([probability(1, t) - probability(0, t) for t in texts], abs=1e-5)
+    asked = spark.createDataFrame([(t, "z", "y") for t in texts], "url string, key string, accepted string").repartition(2)
+    for block in (20, url_filter.BLOCK):
+        got = {r.url: r.ratio for r in url_filter.score(asked, models, block=block).collect()}
+        assert got == pytest.approx({t: probability(1, t) - probability(0, t) for t in texts}, abs=1e-9)
+
+
+def test_models_grow_with_the_urls(spark):
+    rng = random.Random(3)
+    urls = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789/-.") for _ in range(40)) for _ in range(6000)]
+    models = url_filter.count(spark.createDataFrame([(u, i % 2) for i, u in enumerate(urls)], "url string, accepted int"))
+    padded = ["^" * ORDER + u + "$" for u in urls]
+    contexts = {(s[i - n:i]) for s in padded for i in range(ORDER, len(s)) for n in range(ORDER + 1)}
+    grams = {(s[i - n:i], s[i]) for s in padded for i in range(ORDER, len(s)) for n in range(ORDER + 1)}
+    assert len(contexts) > 100_000
+    assert models.count() == len(contexts) + len(grams) and models.select("key").distinct().count() == len(contexts) + len(grams)
+    total = models.agg(F.sum("rejected"), F.sum("accepted"), F.sum("kinds0")).first()
+    half = sum(len(s) - ORDER for s in padded[::2])
+    assert (total[0], total[1]) == (2 * (ORDER + 1) * half, 2 * (ORDER + 1) * sum(len(s) - ORDER for s in padded[1::2]))
+
+
+def test_null_ids_repeats_and_clashing_names(spark):
+    rows = [(None, "http://a.com/x"), (1, "http://a.com/x"), (1, "http://a.com/x"), (1, None), (None, None), (2, "http://q.org/y" + "z" * 30_000)]
+    kinds = "page_id bigint, url string, block string, key string, accepted string, ratio string, decided string, rule string"
+    df = spark.createDataFrame([(*r, *["z"] * 6) for r in rows], kinds)
+    got = url_filter.judge(df, RULES).collect()
+    assert sorted(str(r.page_id) for r in got) == sorted(str(r[0]) for r in rows)
+    assert sum(r.verdict == "allow" and r.rule == "com/" for r in got) == 3
+    assert got[0].__fields__ == ["page_id", "host", "path", "rule", "ratio", "verdict"]
 
 
 def test_undecided_urls_get_the_nearer_model(spark):
