@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, functions as F
 from retenta.llm.seeds import all_seeds, bloom_filter, found_seeds, with_word_hashes
 from retenta.session import stage
 
-#: Word offsets that are hashed: six of nine, and six of eleven.
-MASKS = ((0, 1, 3, 4, 7, 8), (0, 2, 3, 6, 8, 10))
+#: Word offsets that are hashed. Wherever two words of a window of 13 are changed, one of the first two masks fits somewhere
+#: between them. Items of 3 to 12 words take the short ones: two changes in ten to twelve words and one in five to nine leave
+#: three words in a row or (the middle one of five) two, a gap and one.
+MASKS, SHORT = ((0, 1, 3, 5, 6, 7), (0, 1, 2, 5, 7, 8)), ((0, 1, 2), (0, 1, 3))
 WINDOW, SAME = 13, 0.8
 
 
@@ -24,16 +26,21 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
     A window is as many words as ``window`` says, or the whole item if that is shorter. An item is found if in one window
     at least the share ``same`` of the words agree place by place. Null texts count as empty; rows with a null id
-    are left out; repeated rows of one id are one document; items of fewer than nine words have no seeds and are not
-    searched for; empty tables give no rows. Of several places the best counts, then the first.
+    are left out; repeated rows of one id are one document; items of fewer than three words are not searched for; empty tables
+    give no rows. Of several places the best counts, then the first. The masks find whatever passes at the standard
+    ``window`` and ``same``; with a wider window or a lower share some patterns of more changes have no seed.
     """
     hashed_items = with_word_hashes(items, item_text_col, F.col(f"`{item_col}`").alias("item_id")).filter("item_id is not null")
     reach = window - 1
-    seeds = stage(all_seeds(hashed_items.withColumn("size", F.size("hs")), MASKS, reach, "item_id", "size")
+    sized = hashed_items.withColumn("size", F.size("hs"))
+    seeds = stage(all_seeds(sized.filter(F.col("size") >= WINDOW), MASKS, reach, "item_id", "size")
+                  .union(all_seeds(sized.filter(F.col("size") < WINDOW), SHORT, reach, "item_id", "size", first=len(MASKS)))
                   .withColumnsRenamed({"at": "item_at", "begin": "item_begin", "around": "item"}), "seeds")
     table, bits = bloom_filter(seeds)
+    long, short = seeds.agg(F.bool_or(F.col("size") >= WINDOW), F.bool_or(F.col("size") < WINDOW)).first()
+    masks, first = (MASKS if long or not short else ()) + (SHORT if short else ()), 0 if long or not short else len(MASKS)
     hashed = with_word_hashes(docs, text_col, F.col(f"`{id_col}`").cast("bigint").alias("doc_id")).filter("doc_id is not null")
-    hits = found_seeds(hashed, MASKS, table, bits, reach, "doc_id").join(seeds, "seed") \
+    hits = found_seeds(hashed, masks, table, bits, reach, "doc_id", first=first).join(seeds, "seed") \
         .withColumn("start", F.col("at") - F.col("item_at"))
     first = F.greatest("begin", F.col("item_begin") + F.col("start"))
     last = F.least(F.col("begin") + F.size("around"), F.col("item_begin") + F.col("start") + F.size("item"))

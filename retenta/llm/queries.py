@@ -77,27 +77,21 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _leaks_sql() -> str:
-    """The same masks, windows and choice of the best place, over words instead of hashes."""
-    from retenta.llm.decontaminate import MASKS, SAME, WINDOW
+    """All windows of all items at all places, over words; no masks."""
+    from retenta.llm.decontaminate import SAME, WINDOW
 
     def words(table_: str, key: str) -> str:
         upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
         low = f"translate(coalesce(text, ''), '{upper}', '{upper.lower()}')"
-        return (f"SELECT {key}, regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM {table_} "
-                f"WHERE {key} IS NOT NULL")
-
-    def seeds(table_: str, key: str) -> str:
-        return " UNION ALL ".join(
-            f"SELECT {key}, words, spot, {m[-1] + 1} AS span, '{k}' || " + " || ' ' || ".join(f"words[spot + {o + 1}]" for o in m)
-            + f" AS seed FROM {table_}, unnest(range(0, len(words) - {m[-1]})) AS t(spot)" for k, m in enumerate(MASKS))
+        return (f"SELECT {key}, len(words) AS size, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS p FROM (SELECT {key}, "
+                f"regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM {table_} WHERE {key} IS NOT NULL)")
 
     return f"""
 WITH docs AS ({words("documents", "doc_id")}), items AS ({words("benchmark", "item_id")}),
-ds AS ({seeds("docs", "doc_id")}), its AS ({seeds("items", "item_id")}),
-hits AS (SELECT doc_id, item_id, d.words AS dw, i.words AS iw, d.spot AS spot, d.span AS span, d.spot - i.spot AS start,
-                least({WINDOW}, len(i.words)) AS n FROM ds d JOIN its i USING (seed)),
-places AS (SELECT doc_id, item_id, start, n, list_sum([CASE WHEN dw[p + k + 1] = iw[p - start + k + 1] THEN 1 ELSE 0 END for k in range(0, n)]) AS same
-           FROM hits, unnest(range(greatest(0, start, spot - {WINDOW - 1}), least(len(dw), start + len(iw), spot + span + {WINDOW - 1}) - n + 1)) AS t(p)),
+lines AS (SELECT doc_id, item_id, d.p - i.p AS start, list(i.p) AS equal, any_value(d.size) AS there, any_value(i.size) AS size, least({WINDOW}, any_value(i.size)) AS n
+          FROM docs d JOIN items i USING (w) WHERE i.size >= 3 GROUP BY ALL HAVING count(*) >= {SAME} * least({WINDOW}, any_value(i.size))),
+places AS (SELECT doc_id, item_id, start, n, len(list_filter(equal, lambda e: e >= k AND e < k + n)) AS same
+           FROM lines, unnest(range(greatest(0, -start), least(size, there - start) - n + 1)) AS t(k)),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY same DESC, start) AS r FROM places WHERE same >= {SAME} * n)
 SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, CAST(same AS INTEGER) AS n_same, CAST(n AS INTEGER) AS n_words FROM best WHERE r = 1"""
 

@@ -39,10 +39,11 @@ def _around(place: Column, span: int, reach: int, hs: str = "hs") -> list[Column
     return [begin.alias("begin"), F.slice(hs, begin + 1, place + span + reach - begin).alias("around")]
 
 
-def all_seeds(rows: DataFrame, masks: tuple[tuple[int, ...], ...], reach: int, *keep: str) -> DataFrame:
-    """Every seed of every row: kept columns, ``at``, ``seed``, ``begin`` and ``around`` (of a table of patterns)."""
+def all_seeds(rows: DataFrame, masks: tuple[tuple[int, ...], ...], reach: int, *keep: str, first: int = 0) -> DataFrame:
+    """Every seed of every row: kept columns, ``at``, ``seed``, ``begin`` and ``around`` (of a table of patterns). Masks are
+    numbered from ``first`` on, and seeds of different numbers differ."""
     parts = [rows.select(*keep, "hs", F.posexplode(seed_column(m, k)).alias("at", "seed"))
-             .select(*keep, "at", "seed", *_around(F.col("at"), m[-1] + 1, reach)) for k, m in enumerate(masks)]
+             .select(*keep, "at", "seed", *_around(F.col("at"), m[-1] + 1, reach)) for k, m in enumerate(masks, first)]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -81,15 +82,15 @@ def in_filter(h: Column, table: Column, bits: int) -> Column:
 
 
 def found_seeds(rows: DataFrame, masks: tuple[tuple[int, ...], ...], table: Column, bits: int, reach: int,
-                *keep: str) -> DataFrame:
+                *keep: str, first: int = 0) -> DataFrame:
     """The seeds of each row that pass the filter: kept columns, ``at``, ``seed``, ``begin`` and ``around``.
 
     Seeds are a column of their own and are looked at by place, since a lambda would compute them again per element. Only
     the few that pass become rows.
     """
-    for k, m in enumerate(masks):
+    for k, m in enumerate(masks, first):
         rows = rows.withColumn(f"seeds{k}", seed_column(m, k))
-    return rows.select(*keep, F.inline(F.concat(*[passing(f"seeds{k}", m[-1] + 1, table, bits, reach) for k, m in enumerate(masks)])))
+    return rows.select(*keep, F.inline(F.concat(*[passing(f"seeds{k}", m[-1] + 1, table, bits, reach) for k, m in enumerate(masks, first)])))
 
 
 def passing(seeds: str, span: int, table: Column, bits: int, reach: int) -> Column:

@@ -74,3 +74,21 @@ def test_plan_is_native(spark, data):
     docs, items = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/benchmark.parquet")
     plan = leaks(docs, items)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "CartesianProduct", "BroadcastNestedLoopJoin"))
+
+
+def test_every_accepted_pattern_of_changes_is_found(spark):
+    """Items of 3 to 16 words with every choice of up to two changed words, each in a document of its own."""
+    from itertools import combinations
+    rng, rows, items = random.Random(4), [], []
+    for size in range(3, 17):
+        item = [f"i{size}x{j}" for j in range(size)]
+        items.append((size, " ".join(item)))
+        for changed in [c for k in range(3) for c in combinations(range(size), k)]:
+            part = ["changed" if j in changed else w for j, w in enumerate(item)]
+            rows.append((len(rows), " ".join([*noise(rng, 5), *part, *noise(rng, 5)])))
+    found = {(r.doc_id, r.item_id) for r in leaks(frame(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    want = plain(rows, items)
+    assert found == want and len(want) > 400
+    short = [i for i in items if i[0] < 13]
+    found = {(r.doc_id, r.item_id) for r in leaks(frame(spark, rows), spark.createDataFrame(short, "item_id bigint, text string")).collect()}
+    assert found == {w for w in want if w[1] < 13}
