@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
@@ -28,24 +29,70 @@ def similarity(a: str, b: str) -> float:
     return 200.0 * common / (len(a) + len(b))
 
 
+class Dictionary:
+    """A closed list of candidates, against which whole batches of names are compared, one array operation for all names.
+
+    The longest common subsequence of a candidate and every name advances by one character of the names at a time, as bits of one
+    machine word per name; candidates of over 63 characters are compared name by name.
+    """
+
+    def __init__(self, candidates: Sequence[str]):
+        self.names = list(candidates)
+        self.keys = [token_sorted(c) for c in candidates]
+        self.letters = np.unique(np.array([ord(c) for k in self.keys for c in k], dtype=np.uint32))
+        self.tables = []
+        for key in self.keys:
+            table = np.zeros(len(self.letters) + 1, dtype=np.uint64)    # the last entry is for letters of no candidate
+            for i, c in enumerate(key[:63]):
+                table[np.searchsorted(self.letters, ord(c))] |= np.uint64(1 << i)
+            self.tables.append(table)
+
+    def _coded(self, keys: list[str]) -> np.ndarray:
+        width = max(map(len, keys), default=0)
+        codes = np.full((len(keys), width), len(self.letters), dtype=np.int64)
+        points = np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        at = np.searchsorted(self.letters, points)
+        known = np.append(self.letters, np.uint32(0xFFFFFFFF))[at] == points
+        codes[np.arange(width) < np.array(list(map(len, keys)))[:, None]] = np.where(known, at, len(self.letters))
+        return codes
+
+    def best(self, names: Sequence[str | None]) -> list[tuple[str | None, float | None]]:
+        """The most similar candidate of each name and its similarity; the earlier one wins a tie, a null name has none."""
+        there = [i for i, n in enumerate(names) if n is not None]
+        out: list[tuple[str | None, float | None]] = [(None, None)] * len(names)
+        if not there or not self.names:
+            return out
+        keys = [token_sorted(names[i]) for i in there]
+        codes, sizes = self._coded(keys), np.array(list(map(len, keys)))
+        top, which = np.full(len(keys), -1.0), np.zeros(len(keys), dtype=np.int64)
+        for k, (key, table) in enumerate(zip(self.keys, self.tables)):
+            if len(key) > 63:
+                score = np.array([similarity(x, key) for x in keys])
+            else:
+                full = np.uint64((1 << len(key)) - 1)
+                state = np.full(len(keys), full)
+                for column in codes.T:
+                    hit = state & table[column]
+                    state = ((state + hit) | (state - hit)) & full
+                common, total = len(key) - np.bitwise_count(state).astype(np.int64), sizes + len(key)
+                score = np.where(total > 0, 200.0 * common / np.maximum(total, 1), 100.0)
+            better = score > top
+            top, which = np.where(better, score, top), np.where(better, k, which)
+        for i, k, score in zip(there, which.tolist(), top.tolist()):
+            out[i] = (self.names[k], score)
+        return out
+
+
 def best_match(value: Column, candidates: Sequence[str]) -> Column:
     """Struct ``(candidate, score)`` of the most similar candidate; the earlier one wins a tie.
 
     Meant for distinct names: the candidates are a closed list that travels with the function.
     """
-    pool = [(c, token_sorted(c)) for c in candidates]
+    dictionary = Dictionary(candidates)
 
     @F.pandas_udf("candidate string, score double")
     def match(names: pd.Series) -> pd.DataFrame:
-        rows = []
-        for name in names:
-            if name is None or not pool:
-                rows.append((None, None))
-                continue
-            key = token_sorted(name)
-            score, _, best = max((similarity(key, t), -i, c) for i, (c, t) in enumerate(pool))
-            rows.append((best, score))
-        return pd.DataFrame(rows, columns=["candidate", "score"])
+        return pd.DataFrame(dictionary.best(names.tolist()), columns=["candidate", "score"])
 
     return match(value)
 

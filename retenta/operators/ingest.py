@@ -40,15 +40,17 @@ def match_names(names: DataFrame, column: str = "raw", threshold: float = FUZZY_
     """Resolve each name to a canonical one: exact, then alias, then the most similar at or above the threshold.
 
     Returns ``(raw, target, method, score, nearest)``; unresolved names keep a null target and their nearest
-    candidate. The dictionary is a closed list held as literals, so each distinct name is resolved in place,
-    without pairing names and candidates in a join. ``reserved`` names are never matched by similarity.
+    candidate, resolved ones by the dictionary are their own. The dictionary is a closed list held as literals, so each
+    distinct name is resolved in place, without pairing names and candidates in a join; only names that are neither exact
+    nor an alias are compared. ``reserved`` names are never matched by similarity.
     """
     aliases = schema.ALIAS_TO_CANONICAL if aliases is None else aliases
     pool = [*canonical, *[a for a in aliases if a not in canonical]]
     raw = F.col(column)
     exact = F.when(raw.isin(*canonical), raw)
     alias = text.literal_map(aliases)[raw] if aliases else F.lit(None).cast("string")
-    best = best_match(raw, pool) if method == "indel" else best_levenshtein(raw, pool)
+    asked = F.when(F.coalesce(exact, alias).isNull(), raw)
+    best = best_match(asked, pool) if method == "indel" else best_levenshtein(asked, pool)
     to_canonical = text.literal_map({**{c: c for c in canonical},
                                      **{a: t for a, t in aliases.items() if a not in canonical}})
     scored = (names.select(column).distinct()
@@ -62,7 +64,7 @@ def match_names(names: DataFrame, column: str = "raw", threshold: float = FUZZY_
         F.when(F.col("__exact").isNotNull(), "exact").when(F.col("__alias").isNotNull(), "alias")
          .when(fuzzy.isNotNull(), "fuzzy").otherwise("unmapped").alias("method"),
         F.when(known.isNotNull(), F.lit(100.0)).otherwise(F.col("__best.score")).alias("score"),
-        F.col("__best.candidate").alias("nearest"),
+        F.coalesce("__best.candidate", F.when(known.isNotNull(), raw)).alias("nearest"),
     )
 
 

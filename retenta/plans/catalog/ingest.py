@@ -55,7 +55,22 @@ def _(spark, d):
                                       method="levenshtein"))
 
 
-@query("P2_value_mapping_indel")
+# The longest common subsequence, one character of the raw value at a time, as bits of a number.
+@query("P2_value_mapping_indel", f"""
+WITH RECURSIVE raws AS (SELECT raw, array_to_string(list_sort(regexp_extract_all(lower(raw), '\\S+')), ' ') AS key FROM (
+  SELECT DISTINCT substr(p_type, 1, CAST(p_partkey % 7 AS INTEGER)) || substr(p_type, CAST(p_partkey % 7 AS INTEGER) + 2) AS raw FROM part)),
+dict AS (SELECT pos, cand, lower(cand) AS key FROM (VALUES {", ".join(f"({i}, '{c}')" for i, c in enumerate(PART_TYPES))}) t(pos, cand)),
+masks AS (SELECT pos, ch, bit_or(CAST(1 AS BIGINT) << CAST(i - 1 AS INTEGER)) AS mask FROM (
+  SELECT pos, unnest(string_split(key, '')) AS ch, generate_subscripts(string_split(key, ''), 1) AS i FROM dict) GROUP BY 1, 2),
+run AS (SELECT raw, r.key, pos, d.key AS goal, 0 AS i, (CAST(1 AS BIGINT) << length(d.key)) - 1 AS state FROM raws r CROSS JOIN dict d
+  UNION ALL SELECT raw, key, run.pos, goal, i + 1, ((state + (state & coalesce(mask, 0))) | (state - (state & coalesce(mask, 0)))) & ((CAST(1 AS BIGINT) << length(goal)) - 1)
+  FROM run LEFT JOIN masks ON masks.pos = run.pos AND ch = substr(key, i + 1, 1) WHERE i < length(key)),
+scored AS (SELECT raw, run.pos, cand, CAST(200.0 AS DOUBLE) * (length(goal) - bit_count(state)) / (length(goal) + length(run.key)) AS score
+  FROM run JOIN dict USING (pos) WHERE i = length(run.key)),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY raw ORDER BY score DESC, pos) = 1)
+SELECT raw, CASE WHEN raw = cand OR score >= 80 THEN cand END AS target,
+       CASE WHEN raw = cand THEN 'exact' WHEN score >= 80 THEN 'fuzzy' ELSE 'unmapped' END AS method,
+       round(score, 6) AS score, cand AS nearest FROM best""")
 def _(spark, d):
     return rounded(ingest.match_names(_dropped_types(spark, d), canonical=PART_TYPES, aliases={}))
 
