@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from retenta import schema
 from retenta.operators.explain import with_route
 from retenta.operators.grouping import stat_rows
-from retenta.plans.catalog import on_subjects, query
+from retenta.plans.catalog import on_subjects, query, rounded
 from retenta.plans.features import FEATURE_SQL, PEERS_SQL, contract_of, subject_features
 from retenta.plans.scored import SCORED_SQL, rule_scored
 from retenta.plans.subjects import ALL_COLUMNS, table
@@ -109,3 +109,16 @@ def _(spark, d):
     log = table(spark, d, "events").select("event_id", "user_id", F.col("user_id").cast("string").alias("employee_id"),
                                            F.col("ts").alias("created_at"))
     return logs.recent_audit(log).select("event_id", "user_id")
+
+
+@query("X3_event_inputs", """
+WITH daily AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2),
+spans AS (SELECT user_id, n, (day - DATE '1970-01-01') // 30 AS span, (day - DATE '1970-01-01') % 30 AS x FROM daily)
+SELECT user_id AS user, CAST(DATE '1970-01-01' + CAST(span * 30 AS INTEGER) AS VARCHAR) AS start, count(*) AS active_days, CAST(sum(n) AS BIGINT) AS total,
+  round(CASE WHEN count(*) > 1 THEN (count(*) * sum(x * n) - sum(x) * sum(n)) / CAST(count(*) * sum(x * x) - sum(x) * sum(x) AS DOUBLE) END, 6) AS slope
+FROM spans GROUP BY user_id, span""")
+def _(spark, d):
+    """Login measures per user and period, worked out from the events as the stream does."""
+    from retenta.streaming.inputs import daily_counts, period_inputs
+    found = period_inputs(daily_counts(table(spark, d, "events")))
+    return rounded(found.withColumn("start", F.to_date("start").cast("string")))

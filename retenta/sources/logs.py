@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 AUDIT_SCHEMA = ("id string, employee_id string, p_attrition double, ev double, risk_tier string, routed_to string, "
-                "recommendation string, error string, created_at timestamp, day date")
+                "recommendation string, error string, created_at timestamp, batch string, day date")
 DIGEST_SCHEMA = ("employee_id string, risk_tier string, p_attrition double, ev double, recommendation string, "
                  "added_at timestamp")
 
@@ -17,7 +17,7 @@ def _optional(df: DataFrame, column: str, default):
     return F.coalesce(value.cast(kind), F.lit(default)).alias(column)
 
 
-def audit_rows(df: DataFrame) -> DataFrame:
+def audit_rows(df: DataFrame, batch: str | None = None) -> DataFrame:
     """Audit records of routed subjects; absent fields become 0 or an empty text, and errors log as tier ERROR."""
     error = _optional(df, "error", "")
     tier = F.when(error != "", "ERROR").otherwise(F.coalesce(F.col("risk_tier"), F.lit("")))
@@ -26,12 +26,16 @@ def audit_rows(df: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws("|", "employee_id", now.cast("string")), 256).alias("id"), "employee_id",
         _optional(df, "p_attrition", 0.0), _optional(df, "ev", 0.0), tier.alias("risk_tier"),
         _optional(df, "routed_to", ""), _optional(df, "recommendation", ""), error,
-        now.alias("created_at"), F.to_date(now).alias("day"))
+        now.alias("created_at"), F.lit(batch).cast("string").alias("batch"), F.to_date(now).alias("day"))
 
 
-def append_audit(df: DataFrame, path: str) -> None:
-    """One append for the whole batch, partitioned by day."""
-    audit_rows(df).write.mode("append").partitionBy("day").parquet(path)
+def append_audit(df: DataFrame, path: str, batch: str | None = None) -> bool:
+    """One append for the whole batch, partitioned by day. A ``batch`` that the log has already is not written again (an append
+    that failed has left no rows); whether anything was written is returned."""
+    if batch is not None and not read_audit(df.sparkSession, path).filter(F.col("batch") == batch).isEmpty():
+        return False
+    audit_rows(df, batch).write.mode("append").partitionBy("day").parquet(path)
+    return True
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,8 @@ take a streaming table as they are; this module only connects them to a source a
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,6 +21,12 @@ def arriving_ids(spark: SparkSession, folder: str, columns: str = "employee_id s
     return spark.readStream.schema(columns).option("header", True).csv(folder)
 
 
+def each_once(arrivals: DataFrame, keys: Sequence[str] = ("request_id",), time: str = "sent_at", delay: str = "1 day") -> DataFrame:
+    """Requests without those seen before: a file that is sent again under another name, or a request that stands in two files,
+    counts once. State is kept for ``delay`` behind the latest ``time``."""
+    return arrivals.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
 def score_arrivals(arrivals: DataFrame, scored: DataFrame) -> DataFrame:
     """Left join of arriving ids to the scored table: the batch upload operator on a stream."""
     return with_route(score_upload(arrivals, scored))
