@@ -95,20 +95,19 @@ def alignments(hits: DataFrame, sizes: DataFrame) -> DataFrame:
 
     ``hits`` has ``doc``, ``template``, ``at`` and ``template_at``; ``sizes`` has ``template``, ``label`` and ``size``.
     Votes are counted per diagonal before anything is ordered. Alignments of a document with one template are cut where the
-    next diagonal is more than ``GAP`` away, and where the next vote lies further on than the template is long.
+    next diagonal is more than ``GAP`` away, and where its first vote lies as far on as the template is long: there another copy
+    begins.
     """
     votes = hits.groupBy("doc", "template", (F.col("at") - F.col("template_at")).alias("diagonal")).agg(
-        F.min("at").alias("start"), (F.max("at") + RUN).alias("end"), F.collect_set("template_at").alias("places"))
+        F.min("at").alias("start"), (F.max("at") + RUN).alias("end"), F.collect_set("template_at").alias("places")).join(sizes, "template")
     order = Window.partitionBy("doc", "template").orderBy("diagonal")
-    new = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > GAP, F.lit(True)).cast("int")
-    merged = votes.withColumn("new", new).withColumn("group", F.sum("new").over(order)) \
-        .groupBy("doc", "template", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"),
-                                                 F.flatten(F.collect_list("places")).alias("places"))
-    covered = F.array_sort(F.array_distinct("places"))
-    merged = merged.withColumn("places", covered)
+    apart = (F.col("diagonal") - F.lag("diagonal").over(order) > GAP) | (F.col("start") - F.lag("start").over(order) >= F.col("size"))
+    merged = votes.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("group", F.sum("new").over(order)) \
+        .groupBy("doc", "template", "label", "size", "group").agg(
+            F.min("start").alias("start"), F.max("end").alias("end"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")) \
+        .withColumn("places", F.array_sort("places"))
     gains = F.transform("places", lambda p, i: F.when(i == 0, RUN).otherwise(F.least(F.lit(RUN), p - F.get("places", i - 1))))
-    spans = merged.select("doc", "template", "start", "end", F.aggregate(gains, F.lit(0), lambda s, x: s + x).alias("covered"))
-    return spans.join(sizes, "template").withColumn("cover", F.col("covered") / F.col("size")) \
+    return merged.withColumn("cover", F.aggregate(gains, F.lit(0), lambda s, x: s + x) / F.col("size")) \
         .filter(F.col("cover") >= COVER).select("doc", "label", "template", "start", "end", "cover")
 
 

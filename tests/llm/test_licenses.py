@@ -52,3 +52,12 @@ def test_own_templates_and_empty_tables(spark):
     assert rows == {1: [("own", 1, 6, 1.0)], 2: []}
     assert licenses.scan(docs.limit(0)).collect() == []
     assert all(r.stretches == [] for r in licenses.scan(docs, wanted=wanted.limit(0)).collect())
+
+
+def test_repeated_short_lines_are_stretches_of_their_own(spark):
+    wanted = spark.createDataFrame([("t", "own", "one two three four five")], "template string, label string, text string")
+    docs = frame(spark, [(1, "one two three four five\n" * 50), (2, "one two three four x " * 6 + "four five"), (3, "one two three four five six " * 2)])
+    rows = {r.doc_id: [(s.start, s.end, s.cover) for s in r.stretches] for r in licenses.scan(docs, wanted=wanted).collect()}
+    assert rows[1] == [(5 * k, 5 * k + 5, 1.0) for k in range(50)]
+    assert all(end - start <= 5 for spans in rows.values() for start, end, _ in spans)
+    assert rows[3] == [(0, 5, 1.0), (6, 11, 1.0)]
