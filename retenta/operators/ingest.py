@@ -123,6 +123,12 @@ def coercion_losses(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     })
 
 
+def label_rejects(df: DataFrame, column: str = "attrition_flag") -> DataFrame:
+    """``(value, n_rejected)``: texts that are no spelling of a binary label, as they stand, and how many rows have them."""
+    unknown = F.col(column).isNotNull() & text.parse_label(F.col(column)).isNull()
+    return df.filter(unknown).groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n_rejected"))
+
+
 def rescale_percent(df: DataFrame, column: str = "compa_ratio", above: float = 5.0) -> DataFrame:
     """Divide the whole column by 100 when its median shows that it was stored as a percentage."""
     median = quantile_map(df, [column], [0.5])[column][0]

@@ -126,6 +126,15 @@ def _(spark, d):
         "order_col", text.parse_label(F.col("attrition_flag")).alias("attrition_flag"))
 
 
+# Order states stand in for a label column with spellings that nobody knows.
+@query("P7_label_rejects", """
+SELECT 'state ' || o_orderstatus || o_custkey % 3 AS value, count(*) AS n_rejected FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1""")
+def _(spark, d):
+    state = F.col("o_orderstatus")
+    label = F.when(state == "F", " Resigned ").otherwise(F.concat(F.lit("state "), state, (F.col("o_custkey") % 3).cast("string")))
+    return ingest.label_rejects(table(spark, d, "orders").select(label.alias("attrition_flag")))
+
+
 @query("P8_category_standardisation", on_subjects("SELECT order_col, gender FROM typed", DIRTY_SQL, TYPED_SQL))
 def _(spark, d):
     return dirty_subjects(spark, d, ["gender"]).select("order_col", text.parse_gender(F.col("gender")).alias("gender"))

@@ -219,7 +219,7 @@ _READY = (*schema.REQUIRED, "leave_days_30d")
 
 @query("A17_readiness_rules", _readiness_sql("SELECT * FROM rules"))
 def _(spark, d):
-    return profile.readiness(subjects(spark, d, _READY))
+    return profile.readiness(stage(subjects(spark, d, _READY)))
 
 
 @query("A17_verdict", _readiness_sql("""
