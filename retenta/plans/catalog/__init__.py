@@ -27,6 +27,17 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+_FITTED: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, d: str, kind: str, make: Callable[[], object]):
+    """What is fitted on a folder is kept for the session: scoring, attribution and metadata use one and the same model."""
+    key = (spark.sparkContext.applicationId, d, kind)
+    if key not in _FITTED:
+        _FITTED[key] = make()
+    return _FITTED[key]
+
+
 def on_subjects(body: str, *ctes: str) -> str:
     """SQL over the subject binding, with further common table expressions."""
     return "WITH " + ",\n".join([SUBJECTS_SQL.strip(), *[c.strip() for c in ctes]]) + "\n" + body

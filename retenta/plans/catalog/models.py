@@ -10,7 +10,7 @@ from retenta.functions.arrays import top_drivers
 from retenta.operators import collinearity, models, survival
 from retenta.operators.ordering import ordered_split
 from retenta.plans import pipeline
-from retenta.plans.catalog import on_subjects, query, rounded
+from retenta.plans.catalog import on_subjects, once, query, rounded
 from retenta.plans.features import imputed_features
 from retenta.plans.subjects import CIRCLE_REFERENCE, CIRCLES, DEPARTMENT_REFERENCE, DEPARTMENTS, subjects
 from retenta.session import shared_dir, stage
@@ -23,15 +23,6 @@ MODEL_COLUMNS = (
     "is_new_joiner", "interact_underpaid_declining", "band", "perf_rating_current", "login_freq_30d", "training_completions_90d",
     "leave_days_30d", "gender_encoded", *[f"dept_{v}" for v in DEPARTMENTS if v != DEPARTMENT_REFERENCE],
     *[f"circle_{v}" for v in CIRCLES if v != CIRCLE_REFERENCE])
-_FITTED: dict[tuple, object] = {}
-
-
-def _once(spark, d, kind, make):
-    """What is trained on a folder is kept for the session: scoring, attribution and metadata use one and the same model."""
-    key = (spark.sparkContext.applicationId, d, kind)
-    if key not in _FITTED:
-        _FITTED[key] = make()
-    return _FITTED[key]
 
 
 def _features(spark, d):
@@ -40,18 +31,18 @@ def _features(spark, d):
         columns = [c for c in contract if c not in pipeline.LEAKING and c != "tenure_months"]
         return stage(ordered_split(stage(df.select("order_col", "employee_id", "attrition_flag", *columns)), "order_col"), "features"), columns
 
-    split, columns = _once(spark, d, "features", make)
+    split, columns = once(spark, d, "features", make)
     return split.filter("is_train"), split.filter("NOT is_train"), columns
 
 
 def _trees(spark, d):
     train, _, columns = _features(spark, d)
-    return _once(spark, d, "trees", lambda: models.fit_trees(train, columns))
+    return once(spark, d, "trees", lambda: models.fit_trees(train, columns))
 
 
 def _logistic(spark, d):
     train, _, columns = _features(spark, d)
-    return _once(spark, d, "logistic", lambda: models.fit_logistic(train, columns))
+    return once(spark, d, "logistic", lambda: models.fit_logistic(train, columns))
 
 
 @query("M4_boosted_trees")
@@ -106,7 +97,7 @@ def _(spark, d):
 
 def _selected(spark, d):
     train, _, columns = _features(spark, d)
-    return _once(spark, d, "l1", lambda: collinearity.l1_selection(train, columns, "attrition_flag", "order_col", parallelism=8))
+    return once(spark, d, "l1", lambda: collinearity.l1_selection(train, columns, "attrition_flag", "order_col", parallelism=8))
 
 
 @query("M23_l1_selection")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from retenta import schema
 from retenta.operators import survival
-from retenta.plans.catalog import on_subjects, query, rounded
+from retenta.plans.catalog import on_subjects, once, query, rounded
 from retenta.plans.features import imputed_features
 from retenta.plans.scored import SCORED_SQL, rule_scored
 from retenta.plans.subjects import subjects
@@ -57,9 +57,12 @@ def _(spark, d):
 
 def _cox(spark, d):
     """The hazard model of all ten covariates; the duration is one of them, as configured."""
-    table, _ = imputed_features(spark, d)
-    df = stage(table.select("employee_id", "attrition_flag", *schema.COX_COVARIATES))
-    return df, survival.cox_fit(df, schema.COX_COVARIATES, "tenure_months", "attrition_flag", allow_duration=True)
+    def make():
+        table, _ = imputed_features(spark, d)
+        df = stage(table.select("employee_id", "attrition_flag", *schema.COX_COVARIATES))
+        return df, survival.cox_fit(df, schema.COX_COVARIATES, "tenure_months", "attrition_flag", allow_duration=True)
+
+    return once(spark, d, "cox", make)
 
 
 @query("M13_cox_coefficients")
