@@ -266,3 +266,19 @@ FROM subjects s LEFT JOIN parts ON s.employee_id = parts.employee_id GROUP BY 1"
 def _(spark, d):
     people, parts = _context(spark, d)
     return retrieval.policy_context(people, parts).select("employee_id", "policy_context")
+
+
+# The whole chain for every subject: drivers, passages, request and route.
+@query("E6_explain_chain", on_subjects("""
+SELECT s.employee_id, CASE risk_tier WHEN 'CRITICAL' THEN 'SLACK_ALERT' WHEN 'HIGH' THEN 'WEEKLY_DIGEST' WHEN 'MEDIUM' THEN 'MANAGER_AWARENESS'
+  ELSE 'AUDIT_LOG_ONLY' END AS routed_to,
+  coalesce(string_agg('[Policy: ' || source || ' | Relevant to: ' || feature || ']' || chr(10) || content,
+    chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos, rank), 'No specific policy found for these risk drivers.') AS passages,
+  any_value(risk_tier) AS tier
+FROM scored s LEFT JOIN parts ON s.employee_id = parts.employee_id GROUP BY 1, 2""",
+                                       PEERS_SQL, _DRIVERS_SQL, _WANTED, SCORED_SQL, _CHUNK_CTES, _PARTS))
+def _(spark, d):
+    from retenta.plans.pipeline import explain_job
+    out = explain_job(stage(driven(spark, d), "driven"), _chunks(spark, d).select("id", "source", "content"))
+    return out.select("employee_id", "routed_to", F.regexp_extract("request", r"(?s)Passages:\n(.*)\n\nWrite a retention plan", 1).alias("passages"),
+                      F.regexp_extract("request", r"Tier: (\w+)", 1).alias("tier"))

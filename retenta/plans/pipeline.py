@@ -100,7 +100,8 @@ def explain_job(scored: DataFrame, chunks: DataFrame, settings: Settings = DEFAU
     parts = retrieval.context_parts(scored, hits, chunks)
     with_context = retrieval.policy_context(scored, parts)
     labelled = explain.with_driver_labels(with_context)
-    survival_text = F.col("median_survival_months") if "median_survival_months" in scored.columns else None
+    months = F.col("median_survival_months")
+    survival_text = F.when(months < float("inf"), months) if "median_survival_months" in scored.columns else None
     asked = labelled.withColumn("request", explain.request_text(F.col("p_attrition"), F.col("shap_drivers"),
                                                                 F.col("policy_context"), survival_text))
     return explain.with_route(asked)

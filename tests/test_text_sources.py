@@ -139,3 +139,30 @@ def test_logs(spark, tmp_path):
     assert logs.read_digest(spark, digest).count() == 0
     logs.append_digest(df, digest)
     assert [r["employee_id"] for r in logs.read_digest(spark, digest).collect()] == ["E1"]
+
+
+def test_search_by_shared_terms(spark):
+    import math
+    import re
+    from collections import Counter
+    rng = np.random.default_rng(5)
+    words = ["pay", "Pay", "band", "leave", "été", "x1", "rare", "of", "the"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 12))) for _ in range(60)] + [None, "", "!!!"]
+    asked = ["pay band", "the of of rare", "unknown words", "été, X1!", "pay band"]
+    chunks = spark.createDataFrame([(f"c{i:03}", t, "z") for i, t in enumerate(texts)], "chunk_id string, content string, weight string").repartition(3)
+    got = {}
+    for r in retrieval.search(spark.createDataFrame([(q,) for q in asked], "query string"), chunks, k=3).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append((r["chunk_id"], r["similarity"]))
+
+    def counts(t):
+        return {w: 1 + math.log(n) for w, n in Counter(re.findall(r"\w+", (t or "").lower())).items()}
+
+    bags = [counts(t) for t in texts]
+    for q in set(asked):
+        weights = {w: x * math.log((len(texts) + 1) / (sum(w in b for b in bags) + 1)) for w, x in counts(q).items()}
+        length = math.sqrt(sum(x * x for x in weights.values()))
+        sims = [(round(sum(x * b.get(w, 0) for w, x in weights.items()) / length / math.sqrt(sum(v * v for v in b.values()) or 1), 9), f"c{i:03}")
+                for i, b in enumerate(bags)]
+        want = [(c, s) for s, c in sorted(sims, key=lambda x: (-x[0], x[1])) if s > 0][:3]
+        assert [c for c, _ in got.get(q, [])] == [c for c, _ in want]
+        assert [s for _, s in got.get(q, [])] == pytest.approx([s for _, s in want], abs=1e-8)
