@@ -78,7 +78,7 @@ def log_rank(df: DataFrame, duration: str, event: str, group: str, first, second
 def chi2_tail(chi2: Column) -> Column:
     """Probability of a larger chi-square with one degree of freedom: ``erfc(sqrt(chi2 / 2))``, as a column.
 
-    The series of the error function below a root of 3, its continued fraction above; both are exact to 1e-12.
+    The series of the error function below a root of 1.5, where few digits cancel, its continued fraction above.
     """
     x = F.sqrt(chi2 / 2)
     terms = F.sequence(F.lit(1), F.lit(60))
@@ -86,7 +86,7 @@ def chi2_tail(chi2: Column) -> Column:
         (s["term"] * x * x * -1 / n).alias("term"), (s["total"] - s["term"] * x * x / n / (2 * n + 1)).alias("total")), lambda s: s["total"])
     fraction = F.aggregate(F.reverse(terms), x, lambda s, n: x + n / 2 / s)
     root_pi = math.sqrt(math.pi)
-    return F.when(x < 3, 1 - series * 2 / root_pi).otherwise(F.exp(-x * x) / root_pi / fraction)
+    return F.when(x < 1.5, 1 - series * 2 / root_pi).otherwise(F.exp(-x * x) / root_pi / fraction)
 
 
 # --------------------------------------------------------------- proportional hazards
@@ -251,18 +251,19 @@ def first_at_least(df: DataFrame, target: Column, baseline: DataFrame, name: str
     The points are merged with the distinct targets in value order, one task per bucket of values; the first point of a later
     bucket fills the gaps.
     """
-    points = stage(baseline.groupBy("h0").agg(F.min("t").alias("t")), "points")
+    points = stage(baseline.groupBy("h0").agg(F.min("t").alias("t")), "points").select(F.col("h0").alias("__y"), F.col("t").alias("__t"))
     rows = df.withColumn("__y", target)
-    edges = bucket_edges(points, "h0", rows_per_bucket)
-    marked = with_bucket(points.select(F.col("h0").alias("__y"), F.col("t").alias("__t")), "__y", edges)
+    targets = stage(rows.select("__y").dropna().distinct(), "targets")
+    merged = targets.unionByName(points, allowMissingColumns=True)
+    edges = bucket_edges(merged, "__y", rows_per_bucket)
+    merged = with_bucket(merged, "__y", edges)
     later = Window.orderBy(F.desc(_BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
-    nexts = marked.groupBy(_BUCKET).agg(F.min("__t").alias("lo")).select(
+    nexts = merged.groupBy(_BUCKET).agg(F.min("__t").alias("lo")).select(
         _BUCKET, F.min("lo").over(later).alias("__next"))
-    targets = with_bucket(rows.select("__y").dropna().distinct(), "__y", edges)
-    merged = targets.unionByName(marked, allowMissingColumns=True)
-    ahead = (Window.partitionBy(_BUCKET).orderBy(F.col("__y"), F.col("__t").isNull().desc())
-             .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    filled = merged.withColumn("__f", F.first("__t", ignorenulls=True).over(ahead)).filter(F.col("__t").isNull())
+    # From the highest value down: a frame that only grows is extended row by row, one that shrinks is read anew for every row.
+    ahead = (Window.partitionBy(_BUCKET).orderBy(F.desc("__y"), F.col("__t").isNull())
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    filled = merged.withColumn("__f", F.last("__t", ignorenulls=True).over(ahead)).filter(F.col("__t").isNull())
     if edges:
         filled = filled.join(nexts, _BUCKET, "left").withColumn("__f", F.coalesce("__f", "__next"))
     answers = filled.select("__y", F.col("__f").alias(name))        # one bucket has none after it

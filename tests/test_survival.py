@@ -149,3 +149,17 @@ def test_chi2_tail(spark):
     for r in got:
         assert r["p"] == pytest.approx(math.erfc(math.sqrt(r["x"] / 2)), rel=1e-9, abs=1e-14)
     assert spark.createDataFrame([(None,)], "x double").select(survival.chi2_tail(F.col("x"))).first()[0] is None
+
+
+@pytest.mark.parametrize("size", [3, 1_000_000])
+def test_lookup_grows_with_the_targets(spark, size):
+    """Targets far outnumber the points, lie on them, between them, beyond them, and alone in their bucket."""
+    points = {0.5: 1.0, 1.5: 2.0, 1.75: 4.0, 9.0: 7.0}
+    values = [0.1 * k for k in range(100)] + [0.5, 1.75, 9.0, 50.0, None]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, y double")
+    out = survival.first_at_least(df, F.col("y"), spark.createDataFrame([(t, h) for h, t in points.items()], "t double, h0 double"), "m", size)
+    for r in out.collect():
+        assert r["m"] == (None if r["y"] is None else next((t for h, t in points.items() if h >= r["y"]), None))
+    # A frame that reaches to the end of its bucket is read anew for every row.
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "windowspecdefinition" in plan and "unboundedfollowing" not in plan
