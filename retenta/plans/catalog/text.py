@@ -244,18 +244,17 @@ def _(spark, d):
 
 
 def _context(spark, d):
-    """Drivers of every subject, and the passages of their search texts."""
+    """Drivers of every subject, the hits of their search texts, and the passages."""
     chunks = _chunks(spark, d)
     people = stage(drivers_of(spark, d), "drivers")
     texts = people.select(F.explode(retrieval.select_queries(F.col("top_shap_drivers"))).alias("q")).select("q.query")
-    hits = retrieval.search(texts, chunks.withColumnRenamed("id", "chunk_id"))
-    return people, retrieval.context_parts(people, hits, chunks)
+    return people, retrieval.search(texts, chunks.withColumnRenamed("id", "chunk_id")), chunks
 
 
 @query("T3_policy_retrieval", on_subjects("SELECT employee_id, feature, chunk_id, source FROM parts",
                                           PEERS_SQL, _DRIVERS_SQL, _WANTED, _CHUNK_CTES, _PARTS))
 def _(spark, d):
-    return _context(spark, d)[1].select("employee_id", "feature", "chunk_id", "source")
+    return retrieval.context_parts(*_context(spark, d)).select("employee_id", "feature", "chunk_id", "source")
 
 
 @query("T5_context_text", on_subjects("""
@@ -264,8 +263,7 @@ SELECT s.employee_id, coalesce(string_agg('[Policy: ' || source || ' | Relevant
 FROM subjects s LEFT JOIN parts ON s.employee_id = parts.employee_id GROUP BY 1""",
                                       PEERS_SQL, _DRIVERS_SQL, _WANTED, _CHUNK_CTES, _PARTS))
 def _(spark, d):
-    people, parts = _context(spark, d)
-    return retrieval.policy_context(people, parts).select("employee_id", "policy_context")
+    return retrieval.with_policy_context(*_context(spark, d)).select("employee_id", "policy_context")
 
 
 # The whole chain for every subject: drivers, passages, request and route.

@@ -97,8 +97,7 @@ def explain_job(scored: DataFrame, chunks: DataFrame, settings: Settings = DEFAU
     """
     wanted = scored.select(F.explode(retrieval.select_queries(F.col("top_shap_drivers"))).alias("d")).select("d.query")
     hits = retrieval.search(wanted, chunks.withColumnRenamed("id", "chunk_id"), k=settings.results_per_query)
-    parts = retrieval.context_parts(scored, hits, chunks)
-    with_context = retrieval.policy_context(scored, parts)
+    with_context = retrieval.with_policy_context(scored, hits, chunks)
     labelled = explain.with_driver_labels(with_context)
     months = F.col("median_survival_months")
     survival_text = F.when(months < float("inf"), months) if "median_survival_months" in scored.columns else None

@@ -166,3 +166,36 @@ def test_search_by_shared_terms(spark):
         want = [(c, s) for s, c in sorted(sims, key=lambda x: (-x[0], x[1])) if s > 0][:3]
         assert [c for c, _ in got.get(q, [])] == [c for c, _ in want]
         assert [s for _, s in got.get(q, [])] == pytest.approx([s for _, s in want], abs=1e-8)
+
+
+def test_search_by_blocks_and_packs(spark, monkeypatch):
+    """Against a plain version, with several blocks and packs; no pair of search text and chunk is shuffled."""
+    import math
+    import random
+    import re
+    from collections import Counter
+    monkeypatch.setattr(retrieval, "PACK", 7)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)] + ["Ünï", "x2"]
+    bodies = {f"c{i:02d}": " ".join(rng.choices(words, k=rng.randint(0, 12))) for i in range(40)}
+    asked = [" ".join(rng.choices(words + ["unseen"], k=4)) for _ in range(9)] + ["nothing", ""]
+    chunks = spark.createDataFrame([*bodies.items(), ("null", None)], "chunk_id string, content string")
+    out = retrieval.search(spark.createDataFrame([(x,) for x in asked], "query string"), chunks, k=3, block=2)
+
+    def counts(s):
+        return {t: 1 + math.log(n) for t, n in Counter(re.findall(r"\w+", (s or "").lower())).items()}
+
+    texts = {i: counts(b) for i, b in [*bodies.items(), ("null", None)]}
+    df = Counter(t for c in texts.values() for t in c)
+    want = {}
+    for x in set(asked):
+        q = {t: w * math.log((len(texts) + 1) / (df[t] + 1)) for t, w in counts(x).items()}
+        size = math.sqrt(sum(w * w for w in q.values()))
+        sims = [(-round(sum(w * c[t] for t, w in q.items() if t in c) / size / math.sqrt(sum(w * w for w in c.values())), 9), i)
+                for i, c in texts.items() if c and size]
+        want |= {(x, r + 1): (i, -s) for r, (s, i) in enumerate(sorted(s for s in sims if s[0] < 0)[:3])}
+    got = {(r["query"], r["rank"]): (r["chunk_id"], r["similarity"]) for r in out.collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k][1] == pytest.approx(want[k][1], abs=2e-9) for k in want)
+    assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(" not in out._jdf.queryExecution().optimizedPlan().toString()
