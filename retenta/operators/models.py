@@ -180,7 +180,7 @@ _TABLES: dict[str, list[tuple]] = {}
 
 
 def _leaf_tables(name: str, leaves: list[tuple[float, list[tuple]]]) -> list[tuple]:
-    """Per leaf the features and intervals of its path, and the Shapley values of each of the 2^m patterns of satisfied
+    """Per leaf the features and intervals of its path, and per feature the Shapley values of each of the 2^m patterns of satisfied
     intervals; worked out once per worker."""
     if name not in _TABLES:
         _TABLES.clear()
@@ -189,12 +189,37 @@ def _leaf_tables(name: str, leaves: list[tuple[float, list[tuple]]]) -> list[tup
             if path:
                 m = len(path)
                 patterns = (np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float)
-                out.append(([f for f, *_ in path], np.array([lo for _, lo, _, _ in path]), np.array([hi for _, _, hi, _ in path]),
-                            _leaf_shapley(patterns, np.array([z for *_, z in path])) * (2 * value)))
+                values = _leaf_shapley(patterns, np.array([z for *_, z in path])) * (2 * value)
+                out.append(([(f, lo, hi) for f, lo, hi, _ in path], np.ascontiguousarray(values.T)))
         _TABLES[name] = out
     return _TABLES[name]
 
 
+def _phi(x: np.ndarray, leaves: list[tuple]) -> np.ndarray:
+    """Shapley values, features by rows, of ``x`` (features by rows), leaf by leaf of :func:`_leaf_tables`.
+
+    A cut is compared with the rows once, however many leaves it borders; a leaf then costs a few passes over bytes to find the
+    code of every row, and one look-up and one addition per feature of its path.
+    """
+    d, rows = x.shape
+    phi, picked, above = np.zeros((d, rows)), np.empty(rows), {}
+
+    def over(f: int, cut: float) -> np.ndarray:
+        if (f, cut) not in above:
+            above[f, cut] = x[f] > cut
+        return above[f, cut]
+
+    for path, values in leaves:
+        code = np.zeros(rows, dtype=np.uint8 if len(path) <= 8 else np.int64)
+        for k, (f, lo, hi) in enumerate(path):
+            inside = over(f, lo) > over(f, hi)
+            code |= inside.astype(code.dtype) << code.dtype.type(k)
+        at = code.astype(np.intp)
+        for (f, _, _), of_feature in zip(path, values, strict=True):
+            phi[f] += np.take(of_feature, at, out=picked, mode="clip")
+    return phi
+
+
 def tree_attributions(df: DataFrame, model: PipelineModel, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """``keep`` columns, ``base`` and ``phi`` (one Shapley value per column, in log-odds) for every row.
 
@@ -204,22 +229,15 @@ def tree_attributions(df: DataFrame, model: PipelineModel, columns: Sequence[str
     spark = df.sparkSession
     leaves = _tree_paths(model.stages[-1], columns, spark)
     base = 2 * sum(v * math.prod(z for *_, z in path) for v, path in leaves)
-    d = len(columns)
     shared, name = spark.sparkContext.broadcast(leaves), f"{model.uid}-{uuid.uuid4().hex}"
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = pdf[list(columns)].to_numpy(dtype=float)
-            phi = np.zeros((len(pdf), d))
-            by_column = np.ascontiguousarray(x.T)
-            for features, low, high, values in _leaf_tables(name, shared.value):
-                code = np.zeros(len(pdf), dtype=np.int64)
-                for k, (f, lo, hi) in enumerate(zip(features, low, high, strict=True)):
-                    code |= ((by_column[f] > lo) & (by_column[f] <= hi)).astype(np.int64) << k
-                phi[:, features] += values[code]
+            x = np.ascontiguousarray(pdf[list(columns)].to_numpy(dtype=float).T)
+            phi = _phi(x, _leaf_tables(name, shared.value)).T
             out = pdf[list(keep)].copy()
             out["base"] = base
-            out["phi"] = list(phi)
+            out["phi"] = list(np.ascontiguousarray(phi))
             yield out
 
     fields = [df.schema[k] for k in keep] + [T.StructField("base", T.DoubleType()),

@@ -149,3 +149,26 @@ def test_full_report(spark):
     pairs = spark.createDataFrame([], "feature_1 string, feature_2 string, abs_r double")
     got = {r["feature"]: r["drop"] for r in collinearity.drop_report(vif, l1, pairs, ["a", "b"]).collect()}
     assert got == {"a": True, "b": False}
+
+
+def test_leaf_look_up_by_cuts():
+    """Shared, missing and infinite cuts, rows on a cut and NaN; a cut is compared with the rows once for all leaves."""
+    inf = math.inf
+    leaves = [(1.5, [(0, -inf, 1.0, .4), (2, 0.0, 2.0, .3)]), (-.5, [(0, 1.0, inf, .6)]), (2.0, [(1, 0.5, 1.0, .2), (0, 1.0, 3.0, .5), (2, -inf, 2.0, .9)]), (9.0, [])]
+    x = np.array([[1.0, 0.7, 2.0], [1.5, 0.5, 0.0], [4.0, 1.0, -1.0], [np.nan, np.nan, 1.0], [2.0, 0.8, 5.0]])
+    tables = models._leaf_tables("test", leaves)
+    want = np.zeros(x.shape)
+    for value, path in leaves:
+        for r, row in enumerate(x):
+            if path:
+                inside = np.array([[float(lo < row[f] <= hi) for f, lo, hi, _ in path]])
+                want[r, [f for f, *_ in path]] += 2 * value * models._leaf_shapley(inside, np.array([z for *_, z in path]))[0]
+    compared = []
+
+    class Rows(np.ndarray):
+        def __gt__(self, other):
+            compared.append(other)
+            return np.asarray(self) > other
+
+    got = models._phi(np.ascontiguousarray(x.T).view(Rows), tables)
+    assert np.allclose(got.T, want, atol=1e-12) and len(compared) == 9
