@@ -7,14 +7,11 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from retenta.operators import standardise
 from retenta.operators.ordering import values_at_ranks
+from retenta.session import stage
 
 DUMMY_PREFIXES = ("dept_", "circle_")
 
@@ -143,40 +140,141 @@ def stratified_folds(df: DataFrame, label: str, order_col: str, folds: int = 5,
     return df.withColumn(name, expr)
 
 
+#: Rows whose products of columns are held at once, slope outside the penalty at which a fit ends, and halvings of a step.
+_ROWS, _GAP, _HALVINGS = 2048, 1e-9, 30
+
+
+def _pass(data: DataFrame, p: int, betas: np.ndarray, held: np.ndarray, size: int, sums) -> np.ndarray:
+    """``sums(x, y, w, margin, taken)`` added up over all rows, one line of ``size`` numbers per model.
+
+    ``betas`` has one model per line, its intercept first. A row is ``taken`` by the models that hold out another fold than its own.
+    Each task reduces its batches; what is shuffled is one line per task and model, and only the totals reach the driver.
+    """
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(betas), size))
+        for batch in batches:
+            table = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            if np.isnan(table).any():
+                raise ValueError("a column, the label or its weight is null or not a number")
+            for lo in range(0, len(table), _ROWS):
+                rows = table[lo:lo + _ROWS]
+                x = np.column_stack([np.ones(len(rows)), rows[:, :p]])
+                total += sums(x, rows[:, p, None], rows[:, p + 1, None], x @ betas.T, rows[:, p + 2, None] != held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["at", "value"])
+
+    found = np.zeros(len(betas) * size)
+    for r in data.mapInArrow(work, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
+        found[r["at"]] = r["value"]
+    return found.reshape(len(betas), size)
+
+
+def _slopes(data: DataFrame, p: int, betas: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted mean loss of every model, its first and its second derivatives, in one pass."""
+    upper = np.triu_indices(p + 1)
+
+    def sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, margin: np.ndarray, taken: np.ndarray) -> np.ndarray:
+        w, q = w * taken, 1 / (1 + np.exp(-np.clip(margin, -700, 700)))
+        return np.column_stack([w.sum(0), (w * (np.logaddexp(0, margin) - y * margin)).sum(0), (w * (q - y)).T @ x,
+                                (w * q * (1 - q)).T @ (x[:, upper[0]] * x[:, upper[1]])])
+
+    found = _pass(data, p, betas, held, 2 + p + 1 + len(upper[0]), sums)
+    found = found[:, 1:] / found[:, :1]
+    curves = np.zeros((len(betas), p + 1, p + 1))
+    curves[:, upper[0], upper[1]] = curves[:, upper[1], upper[0]] = found[:, p + 2:]
+    return found[:, 0], found[:, 1:p + 2], curves
+
+
+def _outside(betas: np.ndarray, slopes: np.ndarray, strength: np.ndarray) -> np.ndarray:
+    """How far each slope lies outside what the penalty allows at its coefficient (none on the intercept)."""
+    limit = np.column_stack([np.zeros(len(betas)), np.repeat(strength[:, None], betas.shape[1] - 1, axis=1)])
+    return np.where(betas != 0, np.abs(slopes + limit * np.sign(betas)), np.maximum(0.0, np.abs(slopes) - limit))
+
+
+def _newton_move(betas: np.ndarray, slopes: np.ndarray, curves: np.ndarray, strength: np.ndarray, sweeps: int = 5000) -> np.ndarray:
+    """Move to the minimum of each model's quadratic approximation with its penalty, coordinate by coordinate, all models at once."""
+    new, slope, m = betas.copy(), slopes.copy(), betas.shape[1]
+    for _ in range(sweeps):
+        most = np.zeros(len(betas))
+        for j in range(m):
+            bend = curves[:, j, j]
+            bent = bend > 1e-14
+            goal = new[:, j] - slope[:, j] / np.where(bent, bend, 1.0)
+            cut = strength / np.where(bent, bend, 1.0) if j else 0.0
+            step = np.where(bent, np.sign(goal) * np.maximum(np.abs(goal) - cut, 0.0) - new[:, j], 0.0)
+            new[:, j] += step
+            slope += curves[:, j] * step[:, None]
+            most = np.maximum(most, np.abs(step) * bend)
+        if most.max() < _GAP / 100:
+            break
+    return new - betas
+
+
+def _l1_fits(data: DataFrame, p: int, strength: np.ndarray, held: np.ndarray, max_iter: int, start: np.ndarray | None = None
+             ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients (intercept first), slopes of the mean loss there and number of steps of every model, fitted side by side.
+
+    Newton steps on the mean loss with the penalty ``strength * |coefficients|``, halved where they do not lower it. A pass over
+    the rows tries one step of all the models that have not ended.
+    """
+    at = np.zeros((len(strength), p + 1)) if start is None else start.copy()
+    loss, slopes, curves = _slopes(data, p, at, held)
+    value = loss + strength * np.abs(at[:, 1:]).sum(1)
+    steps, sizes, moves = np.zeros(len(at), dtype=int), np.ones(len(at)), np.zeros_like(at)
+    fresh, going = np.ones(len(at), dtype=bool), np.ones(len(at), dtype=bool)
+    while True:
+        going &= (_outside(at, slopes, strength).max(1) > _GAP) & (steps < max_iter) & (sizes > 0.5 ** _HALVINGS)
+        live = np.flatnonzero(going)
+        if not len(live):
+            return at, slopes, steps
+        turn = live[fresh[live]]
+        if len(turn):
+            moves[turn] = _newton_move(at[turn], slopes[turn], curves[turn], strength[turn])
+        tried = at[live] + sizes[live, None] * moves[live]
+        new_loss, new_slopes, new_curves = _slopes(data, p, tried, held[live])
+        new_value = new_loss + strength[live] * np.abs(tried[:, 1:]).sum(1)
+        better = new_value <= value[live] + 1e-12 * np.abs(value[live])
+        won, lost = live[better], live[~better]
+        at[won], value[won], slopes[won], curves[won] = tried[better], new_value[better], new_slopes[better], new_curves[better]
+        steps[won] += 1
+        sizes[won], sizes[lost] = 1.0, sizes[lost] / 2
+        fresh[won], fresh[lost] = True, False
+
+
 def l1_selection(df: DataFrame, columns: Sequence[str], label: str, order_col: str, strengths: int = 10,
                  folds: int = 5, max_iter: int = 3000, parallelism: int = 4) -> DataFrame:
     """Cross-validated L1 logistic regression on standardised columns: ``(feature, coefficient, zeroed, best_c, gap, iterations,
     converged)``.
 
-    ``strengths`` values of C between 1e-4 and 1e4 compete on accuracy. Spark averages the weighted loss, so a given C
-    is ``regParam = 1 / (C * total weight)``; balanced weights add up to the number of rows. ``gap`` is how far the slope of the
+    ``strengths`` values of C between 1e-4 and 1e4 compete on accuracy. The weighted loss is averaged, so a given C
+    is a penalty of ``1 / (C * total weight)``; balanced weights add up to the number of rows. ``gap`` is how far the slope of the
     mean loss lies outside what the penalty allows at the coefficient (zero at the optimum), found by a pass of its own.
+
+    All fits of the search go over the rows together, so that the number of passes is the number of Newton steps of the slowest
+    fit. ``parallelism`` is kept for callers; there are no separate fits to run side by side.
     """
     scaled = standardise.balanced_weights(standardise.scale(df, columns), label)
-    data = stratified_folds(scaled, label, order_col, folds)
+    p, names = len(columns), [F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)]
+    data = stage(stratified_folds(scaled, label, order_col, folds).select(
+        *names, F.col(label).cast("double").alias("y"), F.col("weight").cast("double").alias("w"), F.col("fold").cast("double").alias("fold")),
+        "l1-rows")
     n = data.count()
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(data).select(
-        "v", F.col(label).cast("double").alias(label), "weight", "fold").persist()
-    try:
-        fit = LogisticRegression(featuresCol="v", labelCol=label, weightCol="weight", elasticNetParam=1.0,
-                                 standardization=False, maxIter=max_iter, tol=1e-7)
-        grid = [float(c) for c in np.logspace(-4, 4, strengths)]
-        share = (folds - 1) / folds
-        maps = ParamGridBuilder().addGrid(fit.regParam, [1 / (c * n * share) for c in grid]).build()
-        accuracy = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
-        search = CrossValidator(estimator=fit, estimatorParamMaps=maps, evaluator=accuracy, foldCol="fold",
-                                numFolds=folds, parallelism=parallelism)
-        best = grid[int(np.argmax(search.fit(vectors).avgMetrics))]
-        strength = 1 / (best * n)
-        model = fit.copy({fit.regParam: strength, fit.tol: 1e-9}).fit(vectors)
-        coefficients, steps = model.coefficients.toArray(), model.summary.totalIterations
-        margin = sum((F.col(f"`{c}`") * F.lit(float(b)) for c, b in zip(columns, coefficients)), F.lit(float(model.intercept)))
-        pull = F.col("weight") * (1 / (1 + F.exp(-margin)) - F.col(label))
-        slopes = data.withColumn("__pull", pull).agg(*[F.sum(F.col("__pull") * F.col(f"`{c}`")) / F.sum("weight") for c in columns]).first()
-    finally:
-        vectors.unpersist()
-    gaps = [abs(g + math.copysign(strength, b)) if b else max(0.0, abs(g) - strength) for g, b in zip(slopes, coefficients)]
-    rows = [(c, float(b), bool(b == 0.0), best, float(g), int(steps), bool(steps < max_iter)) for c, b, g in zip(columns, coefficients, gaps)]
+    grid = [float(c) for c in np.logspace(-4, 4, strengths)]
+    held = np.repeat(np.arange(folds), strengths)
+    betas, _, _ = _l1_fits(data, p, np.tile([1 / (c * n * (folds - 1) / folds) for c in grid], folds), held, max_iter)
+
+    def right(x: np.ndarray, y: np.ndarray, w: np.ndarray, margin: np.ndarray, taken: np.ndarray) -> np.ndarray:
+        return np.column_stack([(~taken).sum(0), (~taken & ((margin > 0) == (y == 1))).sum(0)])
+
+    counts = _pass(data, p, betas, held, 2, right).reshape(folds, strengths, 2)
+    chosen = int(np.argmax((counts[:, :, 1] / np.maximum(counts[:, :, 0], 1)).mean(0)))
+    best = grid[chosen]
+    strength = np.array([1 / (best * n)])
+    nobody = np.array([-1])
+    fitted, _, steps = _l1_fits(data, p, strength, nobody, max_iter, betas.reshape(folds, strengths, p + 1)[:, chosen].mean(0)[None])
+    _, slopes, _ = _slopes(data, p, fitted, nobody)
+    gaps = _outside(fitted, slopes, strength)[0, 1:]
+    rows = [(c, float(b), bool(b == 0.0), best, float(g), int(steps[0]), bool(steps[0] < max_iter))
+            for c, b, g in zip(columns, fitted[0, 1:], gaps)]
     return df.sparkSession.createDataFrame(
         rows, "feature string, coefficient double, zeroed boolean, best_c double, gap double, iterations int, converged boolean")
 

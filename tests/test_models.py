@@ -143,6 +143,49 @@ def test_l1_selection(spark, table):
     assert out["a"]["coefficient"] > 0 > out["b"]["coefficient"]
 
 
+def test_l1_fits_share_their_passes(spark, table, monkeypatch):
+    """The search goes over the rows a few times, not once per fit and step, and ends at the optimum that Spark's own solver finds."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    passes, plain = [], collinearity._pass
+
+    def counted(data, p, betas, held, size, sums):
+        passes.append(len(betas))
+        return plain(data, p, betas, held, size, sums)
+
+    monkeypatch.setattr(collinearity, "_pass", counted)
+    cols = ["a", "b", "c"]
+    rows = table.withColumn("flat", F.lit(2.0))
+    out = {r["feature"]: r for r in collinearity.l1_selection(rows, [*cols, "flat"], "attrition_flag", "order_col").collect()}
+    assert passes[0] == 50 and len(passes) < 40
+    assert out["flat"]["zeroed"] and all(r["gap"] < 1e-8 and r["converged"] for r in out.values())
+    weighted = standardise.balanced_weights(standardise.scale(table, cols), "attrition_flag")
+    vectors = VectorAssembler(inputCols=cols, outputCol="v").transform(weighted)
+    fit = LogisticRegression(featuresCol="v", labelCol="attrition_flag", weightCol="weight", elasticNetParam=1.0, standardization=False,
+                             regParam=1 / (out["a"]["best_c"] * 400), maxIter=500, tol=1e-12).fit(vectors)
+    assert [out[c]["coefficient"] for c in cols] == pytest.approx(list(fit.coefficients), abs=1e-5)
+
+
+def test_l1_search_scores_as_a_cross_validator(spark, table):
+    """The best C is that of Spark's cross-validation over the same folds."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    cols = ["a", "b", "c"]
+    got = collinearity.l1_selection(table, cols, "attrition_flag", "order_col", strengths=4, folds=3).first()["best_c"]
+    data = collinearity.stratified_folds(standardise.balanced_weights(standardise.scale(table, cols), "attrition_flag"), "attrition_flag",
+                                         "order_col", 3)
+    fit = LogisticRegression(featuresCol="v", labelCol="attrition_flag", weightCol="weight", elasticNetParam=1.0, standardization=False,
+                             maxIter=300, tol=1e-10)
+    grid = [float(c) for c in np.logspace(-4, 4, 4)]
+    maps = ParamGridBuilder().addGrid(fit.regParam, [1 / (c * 400 * 2 / 3) for c in grid]).build()
+    search = CrossValidator(estimator=fit, estimatorParamMaps=maps, evaluator=MulticlassClassificationEvaluator(
+        labelCol="attrition_flag", metricName="accuracy"), foldCol="fold", numFolds=3)
+    found = search.fit(VectorAssembler(inputCols=cols, outputCol="v").transform(data)).avgMetrics
+    assert got == grid[int(np.argmax(found))]
+
+
 def test_full_report(spark):
     vif = spark.createDataFrame([("a", 20.0), ("b", 1.0)], "feature string, vif double")
     l1 = spark.createDataFrame([("a", True), ("b", True)], "feature string, zeroed boolean")
