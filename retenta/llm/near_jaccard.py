@@ -1,15 +1,16 @@
-"""Near copies by the Jaccard similarity of word runs: many SimHash fingerprints give candidates, the run sets decide.
-
-A pair at a similarity of 0.8 differs in about 15 % of the bits of a fingerprint, too many for blocks of one fingerprint of 64
-bits. Twelve independent ones are taken of the set of runs; each is split into six blocks, and every choice of blocks is a key.
-Rows that share a key are compared by another fingerprint, then by all bits, then run by run, so no link is below the limit.
-
-Keys are looked at in three rounds, each of which knows the components found before and links rows of different ones only:
-
-* three of six blocks of one fingerprint (20 keys), then two of six of six fingerprints (90 keys). Rows of a small key are
-  compared all with all; those of a larger one with the row nearest to the majority of their bits. A family of n near copies
-  takes about n links and becomes one component.
-* two of six of the other six (90 keys), where every row is compared with every row of another component.
+"""Near copies by the Jaccard similarity of word runs: groups connected by links of at least a given similarity.
+
+Two rounds of SimHash keys join most of a family of near copies cheaply; the round after them is exact and finds every link
+between the components that are left.
+
+* Fingerprints of 64 bits are split into six blocks; three of six blocks of one fingerprint (20 keys), then two of six of another
+  (15 keys) are keys. Rows of a small key are compared all with all, those of a larger one with the row nearest to the majority of
+  their bits, or from the smaller component. Candidates are compared by the bits, then run by run. What these rounds miss costs time only.
+* Exact: if all sets are put in one order of runs, two sets of a similarity of t or more have a run in common among the first
+  ``n - ceil(t * n) + 1`` of each. Each such run is a key. The order puts runs that are frequent in a sample last; any order is right,
+  this one keeps keys small. Rows of one component need no link. A key of at most ``SMALL`` rows gives its pairs, held against sizes
+  and places, then against counts of runs by their last byte, which bound what two sets have in common; a larger one with several components is compared run by run inside tasks, in blocks of at most ``BLOCK`` rows, from
+  the rows outside its largest component, and gives a spanning forest of the links found.
 """
 
 from __future__ import annotations
@@ -25,17 +26,21 @@ from retenta.llm.arrow import keyed_texts, slices
 from retenta.llm.components import components
 from retenta.session import scratch, stage
 
-PRINTS, BLOCKS = 12, 6
+PRINTS, BLOCKS = 3, 6
 _EDGES = [0, 11, 22, 33, 43, 53, 64]
 #: Fingerprints and blocks per key of each round, and whether rows of large keys are compared with every other component.
-ROUNDS = (((0,), 3, False), (tuple(range(6)), 2, False), (tuple(range(6, 12)), 2, True))
+ROUNDS = (((0,), 3, False), ((1,), 2, True))
 #: Differing bits of half of another fingerprint: 4.9 are expected at 0.8 (standard deviation 2), 16 for unrelated sets.
 LOOSE = 10
-#: Share of differing bits of all fingerprints: 0.152 at 0.8 (standard deviation 0.013).
-FAR = 0.18
-#: Rows of a key up to which all its pairs are looked at: in the first two rounds, and in the last, where other keys are looked
-#: at component by component.
+#: Share of differing bits of all fingerprints: 0.152 at 0.8 (standard deviation 0.026).
+FAR = 0.22
+#: Rows of a key up to which all its pairs are looked at: in the first round, and in those where other keys are looked at component
+#: by component.
 FEW, SMALL = 8, 32
+#: Half the rows of a larger key that are compared at once in the exact round.
+BLOCK = 2048
+#: Sets whose runs are counted to order them, and runs that are kept as frequent ones.
+SAMPLE, FREQUENT = 20_000, 1 << 18
 
 
 def runs(text: bytes, size: int) -> np.ndarray:
@@ -61,27 +66,34 @@ def prints(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * total > n, bitorder="little").view("<u8")
 
 
+def _counts(runs: np.ndarray) -> bytes:
+    """Size of the set, and how many of its runs (255 at most) end in each of 256 values."""
+    return np.uint32(len(runs)).tobytes() + np.minimum(np.bincount(runs & 255, minlength=256), 255).astype(np.uint8).tobytes()
+
+
 def sketches(rows: DataFrame, size: int) -> DataFrame:
-    """The columns of ``rows`` but ``text``, and ``node`` (hash of the run set), ``prints`` and ``runs`` (32 bits of each)."""
+    """The columns of ``rows`` but ``text``, and ``node`` (hash of the run set), ``prints``, ``runs`` (32 bits of each) and ``counts``."""
     import xxhash
     names = [c for c in rows.columns if c != "text"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            nodes, marks, sets = [], [], []
+            nodes, marks, sets, counts = [], [], [], []
             for text in batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist():
                 found = runs(text, size)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), 7))
                 marks.append(prints(found).view(np.int64))
                 sets.append(np.unique((found >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+                counts.append(_counts(sets[-1]))
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)),
                  pa.ListArray.from_arrays(pa.array(np.arange(0, PRINTS * len(nodes) + 1, PRINTS, dtype=np.int32)), pa.array(np.concatenate(marks))),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=[*names, "node", "prints", "runs"])
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets))),
+                 pa.array(counts, pa.binary())], names=[*names, "node", "prints", "runs", "counts"])
 
     kept = ", ".join(f"{c} bigint" for c in names)
-    return rows.select(*names, "text").mapInArrow(work, f"{kept}, node bigint, prints array<bigint>, runs array<int>")
+    return rows.select(*names, "text").mapInArrow(work, f"{kept}, node bigint, prints array<bigint>, runs array<int>, counts binary")
 
 
 def _keys(batches: Iterator[pa.RecordBatch], chosen: tuple[int, ...], blocks: int) -> Iterator[pa.RecordBatch]:
@@ -160,6 +172,71 @@ def _links(rows: np.ndarray, whole: bool) -> pa.RecordBatch:
 
 def _compare(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
     """Candidate links of rows sorted by key; the rows of one key may cross batches."""
+    for rows in _whole_keys(batches):
+        yield _links(rows, whole)
+
+
+def _sides(links: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    return links.join(table.select(F.col("node").alias("a"), F.col(column).alias("x")), "a") \
+        .join(table.select(F.col("node").alias("b"), F.col(column).alias("y")), "b")
+
+
+def _similar(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    same = F.size(F.array_intersect("x", "y"))
+    return _sides(links, sets, "runs").filter(same >= F.lit(least) * (F.size("x") + F.size("y") - same)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The candidate links at a similarity of ``least`` or more. Few are left when the runs themselves are read."""
+    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    close = stage(_sides(pairs, nodes, "prints").filter(differ <= FAR * 64 * PRINTS).select("a", "b"), "close")
+    return _similar(close, sets, least)
+
+
+# --------------------------------------------------------------- the exact round
+def _possible(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs whose counts leave room for a similarity of ``least``: no more runs can be in common than the smaller counts add up to."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, 260) for c in ("x", "y"))
+        sizes = x[:, :4].copy().view("<u4")[:, 0].astype(float) + y[:, :4].copy().view("<u4")[:, 0]
+        fewer = np.minimum(x[:, 4:], y[:, 4:])
+        most = fewer.sum(1, dtype=np.int64)
+        good = (most * (1 + least) + 1e-6 >= least * sizes) | (fewer == 255).any(1)       # 255 may stand for more
+        yield batch.filter(pa.array(good)).select(["a", "b"])
+
+
+def frequent_runs(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Runs found often in a sample of the sets, sorted, and how often; at most ``FREQUENT``. They only set the order of runs."""
+    every = max(1, sets.count() // SAMPLE)
+    sample = sets.filter(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select(F.explode("runs").alias("run"))
+    found = sample.groupBy("run").count().filter("count >= 3").orderBy(F.desc("count"), "run").limit(FREQUENT).collect()
+    table = np.array(sorted((r["run"], r["count"]) for r in found), dtype=np.int64).reshape(-1, 2)
+    return table[:, 0].copy(), table[:, 1].copy()
+
+
+def _leading(batches: Iterator[pa.RecordBatch], often: tuple[np.ndarray, np.ndarray], least: float) -> Iterator[pa.RecordBatch]:
+    """The leading runs of every set in the common order, with the size of the set and the place of the run."""
+    known, counts = often
+    for batch in batches:
+        flat, ends = batch.column("runs").flatten().to_numpy().astype(np.int64), batch.column("runs").offsets.to_numpy().astype(np.int64)
+        sizes = np.diff(ends)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        count = np.zeros(len(flat), dtype=np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+            count = np.where(known[at] == flat, counts[at], 0)
+        order = np.lexsort((flat, count, owner))
+        place = np.arange(len(flat)) - np.repeat(ends[:-1] - ends[0], sizes)
+        needed = np.ceil(least * sizes - 1e-9).astype(np.int64)
+        first = place < (sizes - needed + 1)[owner]
+        of = pa.array(owner[first])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(flat[order][first]), batch.column("component").take(of), batch.column("node").take(of),
+             pa.array(sizes[owner[first]]), pa.array(place[first])], names=["key", "component", "node", "size", "place"])
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows sorted by their first column, as arrays in which no key is open."""
     held: list[np.ndarray] = []
     for batch in batches:
         if not batch.num_rows:
@@ -169,26 +246,118 @@ def _compare(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Reco
             held.append(rows)
             continue
         rows = np.concatenate([*held, rows])
-        last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))        # where the open key begins
+        last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
         if last:
-            yield _links(rows[:last], whole)
+            yield rows[:last]
         held = [rows[last:]]
     if held:
-        yield _links(np.concatenate(held), whole)
-
+        yield np.concatenate(held)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, component, node, size, place) sorted by key and component: pairs ``a``, ``b`` of small keys, and the rows ``a`` of
+    larger keys of several components with the block pairs (``key``, ``part``) in which they are compared."""
+    names, none = ["key", "part", "component", "a", "b"], np.zeros((0, 5), dtype=np.int64)
+    for rows in _whole_keys(batches):
+        key, tree, node, size, place = rows.T
+        cuts = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(rows)]
+        lengths = np.diff(cuts)
+        mixed = tree[cuts[:-1]] != tree[cuts[1:] - 1]
+        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        at = np.flatnonzero(np.repeat(mixed & (lengths <= SMALL), lengths))
+        for lag in range(1, SMALL):
+            at = at[at + lag < len(rows)]
+            at = at[key[at] == key[at + lag]]
+            if not len(at):
+                break
+            to = at + lag
+            # What two sets can have in common from their first common run on, against what the similarity needs.
+            rest = np.minimum(size[at] - place[at], size[to] - place[to])
+            good = (tree[at] != tree[to]) & (rest * (1 + least) + 1e-6 >= least * (size[at] + size[to]))
+            a.append(node[at[good]])
+            b.append(node[to[good]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
+        small = np.column_stack([np.zeros((len(pairs), 3), dtype=np.int64), pairs])
+        parts = []
+        for k in np.flatnonzero(mixed & (lengths > SMALL)):
+            one = np.column_stack([key[cuts[k]:cuts[k + 1]], np.zeros(lengths[k], dtype=np.int64), tree[cuts[k]:cuts[k + 1]],
+                                   node[cuts[k]:cuts[k + 1]], np.zeros(lengths[k], dtype=np.int64)])
+            count = -(-len(one) // BLOCK)
+            for i, j in combinations(range(count), 2) if count > 2 else [(0, 1)]:
+                both = np.concatenate([one[x * BLOCK:(x + 1) * BLOCK] for x in (i, j)])
+                if both[0, 2] != both[-1, 2]:
+                    both[:, 1] = 1 + i * count + j
+                    parts.append(both)
+                if len(parts) >= 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(parts).T.copy()], names=names)
+                    parts = []
+        out = np.concatenate([none, small, *parts])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in out.T.copy()], names=names)
+
+
+def _forest(trees: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the components that are connected by pairs of sets at a similarity of ``least`` or more."""
+    _, of, counts = np.unique(trees, return_inverse=True, return_counts=True)
+    sizes = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    root = np.arange(len(counts))
+    links = []
+    for i in np.flatnonzero(of != int(np.argmax(counts))).tolist():
+        lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+        found = np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo) + np.arange(int((hi - lo).sum()))
+        same = np.bincount(owner[found], minlength=len(sets))
+        near = np.flatnonzero((same >= least * (sizes + sizes[i] - same)) & (root[of] != root[of[i]]))
+        for j in near[np.unique(root[of[near]], return_index=True)[1]].tolist():
+            links.append((i, j))
+            root[root == root[of[j]]] = root[of[i]]
+    return links
+
+
+def _compare_sets(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Links found among the rows (key, part, component, node, runs) of each key and part, by which they are sorted."""
+    held: list[pa.RecordBatch] = []
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        group = rows.combine_chunks()
+        column = group.column("runs").combine_chunks()
+        flat, ends = column.flatten().to_numpy(), column.offsets.to_numpy()
+        sets = np.split(flat, (ends[1:-1] - ends[0]).astype(np.int64))
+        node = group.column("node").to_numpy()
+        found = np.array(_forest(group.column("component").to_numpy(), sets, least), dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], names=["a", "b"])
+
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        name = np.column_stack([batch.column(c).to_numpy() for c in ("key", "part")])
+        cuts = np.r_[0, np.flatnonzero((name[1:] != name[:-1]).any(1)) + 1, len(name)]
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if now is not None and tuple(name[lo]) != now:
+                yield links(pa.Table.from_batches(held))
+                held = []
+            now = tuple(name[lo])
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield links(pa.Table.from_batches(held))
 
-def _verified(pairs: DataFrame, nodes: DataFrame, found: DataFrame, least: float) -> DataFrame:
-    """The candidate links at a similarity of ``least`` or more. Few are left when the runs themselves are read."""
-    def sides(links: DataFrame, table: DataFrame, column: str) -> DataFrame:
-        return links.join(table.select(F.col("node").alias("a"), F.col(column).alias("x")), "a") \
-            .join(table.select(F.col("node").alias("b"), F.col(column).alias("y")), "b")
 
-    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    close = stage(sides(pairs, nodes, "prints").filter(differ <= FAR * 64 * PRINTS).select("a", "b"), "close")
-    wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
-    sets = stage(found.select("node", "runs").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "runs")
-    same = F.size(F.array_intersect("x", "y"))
-    return sides(close, sets, "runs").filter(same >= F.lit(least) * (F.size("x") + F.size("y") - same)).select("a", "b")
+def _exact_links(placed: DataFrame, least: float) -> DataFrame:
+    """Links of a similarity of ``least`` or more that connect all components of ``placed`` (node, component, runs) which any connects."""
+    often = frequent_runs(placed)
+    found = stage(placed.mapInArrow(lambda x: _leading(x, often, least), "key bigint, component bigint, node bigint, size bigint, place bigint")
+                  .repartition("key").sortWithinPartitions("key", "component", "node")
+                  .mapInArrow(lambda x: _candidates(x, least), "key bigint, part bigint, component bigint, a bigint, b bigint"), "pairs")
+    sets = placed.select("node", "runs")
+    small = _sides(found.filter("part = 0").select("a", "b").distinct(), placed, "counts")
+    small = _similar(stage(small.select("a", "b", "x", "y").mapInArrow(lambda x: _possible(x, least), "a bigint, b bigint"), "close"), sets, least)
+    large = found.filter("part > 0").select("key", "part", "component", F.col("a").alias("node")).join(sets, "node") \
+        .select("key", "part", "component", "node", "runs").repartition("key", "part").sortWithinPartitions("key", "part") \
+        .mapInArrow(lambda x: _compare_sets(x, least), "a bigint, b bigint")
+    return small.union(large)
 
 
 def near_groups(rows: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
@@ -201,20 +370,26 @@ def near_groups(rows: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame
     spark = rows.sparkSession
     with scratch(spark):
         found = stage(sketches(rows, size), "sketches")
-        nodes = stage(found.select("node", "prints").dropDuplicates(["node"]), "nodes")
+        nodes = stage(found.select("node", "prints", "runs", "counts").dropDuplicates(["node"]), "nodes")
         named = None
-        for chosen, blocks, whole in ROUNDS:
-            placed = nodes.withColumn("component", F.col("node")) if named is None else \
+
+        def placed() -> DataFrame:
+            return nodes.withColumn("component", F.col("node")) if named is None else \
                 nodes.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            links = placed.select("node", "prints", "component") \
+
+        def joined(links: DataFrame) -> DataFrame:
+            if named is not None:
+                links = links.union(named.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            return stage(components(links), "components")
+
+        for chosen, blocks, whole in ROUNDS:
+            links = placed().select("node", "prints", "component") \
                 .mapInArrow(lambda x, c=chosen, n=blocks: _keys(x, c, n), "key bigint, component bigint, node bigint, other int") \
                 .repartition("key").sortWithinPartitions("key", "component", "node") \
                 .mapInArrow(lambda x, w=whole: _compare(x, w), "a bigint, b bigint")
-            linked = _verified(stage(links.distinct(), "pairs"), nodes, found, least)
-            if named is not None:
-                linked = linked.union(named.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            named = stage(components(linked), "components")
-        return stage(found.drop("prints", "runs").join(named, "node", "left").select(
+            named = joined(_verified(stage(links.distinct(), "pairs"), nodes, nodes, least))
+        named = joined(_exact_links(placed().select("node", "component", "runs", "counts"), least))
+        return stage(found.drop("prints", "runs", "counts").join(named, "node", "left").select(
             *[c for c in rows.columns if c != "text"], F.coalesce("component", "node").alias("component")), "groups", lasting=True)
 
 

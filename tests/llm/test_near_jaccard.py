@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 
 from retenta.llm import near_jaccard
 from tests.llm.helpers import frame
@@ -104,3 +105,44 @@ def test_empty_table_and_texts_without_words(spark, monkeypatch):
     groups, _ = links_of(spark, monkeypatch, [(1, None), (2, ""), (3, " \n"), (None, " "), (4, "one"), (5, "ONE"), (6, "two")])
     assert groups[1] == groups[2] == groups[3] == groups[None] and groups[4] == groups[5]
     assert len({groups[1], groups[4], groups[6]}) == 3
+
+
+def test_groups_are_those_of_all_pairs(spark, monkeypatch):
+    """A family around the limit, in which a row's only partner is seldom its nearest one, gives the components of all pairs,
+    also where the larger keys are cut into blocks."""
+    rng = random.Random(21)
+    words = [f"w{rng.randrange(10 ** 6)}" for _ in range(150)]
+    rows = [(i, changed(rng, words, rng.randint(1, 6))) for i in range(150)] + [(150 + i, f"a {i} b {i} c") for i in range(20)]
+    sets = {i: set(near_jaccard.runs(t.encode(), 5).tolist()) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in sets:
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[top(i)] = top(j)
+    want = {frozenset(j for j in sets if top(j) == top(i)) for i in sets}
+    assert 20 < len(want) < 170
+    for first, few, block in ((near_jaccard.ROUNDS, 32, 2048), ((), 32, 20), ((), 200, 2048)):
+        monkeypatch.setattr(near_jaccard, "ROUNDS", first)
+        monkeypatch.setattr(near_jaccard, "SMALL", few)
+        monkeypatch.setattr(near_jaccard, "BLOCK", block)
+        groups, _ = links_of(spark, monkeypatch, rows)
+        assert {frozenset(j for j in sets if groups[j] == groups[i]) for i in sets} == want
+
+
+def test_counts_never_hide_a_link():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 31, n, dtype=np.int64)).astype(np.int32) for n in (0, 3, 400, 90_000)]
+    for x in sets:
+        y = np.concatenate([x[len(x) // 10:], np.arange(len(x) // 10, dtype=np.int32)])
+        for other in (x, np.unique(y), np.unique(x // 2 - 7)):
+            batch = pa.RecordBatch.from_pydict({"a": [1], "b": [2], "x": [near_jaccard._counts(x)], "y": [near_jaccard._counts(other)]})
+            found = sum(b.num_rows for b in near_jaccard._possible([batch], 0.8))
+            same = len(np.intersect1d(x, other))
+            if same >= 0.8 * (len(x) + len(other) - same):
+                assert found == 1
