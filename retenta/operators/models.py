@@ -48,9 +48,13 @@ def fit_logistic(train: DataFrame, columns: Sequence[str], label: str = LABEL, c
 
 def fit_trees(train: DataFrame, columns: Sequence[str], label: str = LABEL, settings: Settings = DEFAULTS,
               seed: int = 42) -> PipelineModel:
-    """Gradient-boosted trees with positives weighted by the class ratio."""
+    """Gradient-boosted trees with positives weighted by the class ratio.
+
+    Every level of every tree is a pass over the rows, so they are dealt evenly over all cores once, however few files they came in.
+    """
     ratio = standardise.class_weights(train, label).select("positive_weight").scalar()
-    weighted = train.withColumn("weight", F.when(F.col(label) == 1, ratio).otherwise(1.0))
+    weighted = train.withColumn("weight", F.when(F.col(label) == 1, ratio).otherwise(1.0)) \
+        .repartition(train.sparkSession.sparkContext.defaultParallelism)
     return Pipeline(stages=[
         VectorAssembler(inputCols=list(columns), outputCol="features"),
         GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", maxIter=settings.trees,

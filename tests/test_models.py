@@ -186,6 +186,21 @@ def test_l1_search_scores_as_a_cross_validator(spark, table):
     assert got == grid[int(np.argmax(found))]
 
 
+def test_trees_use_all_cores(spark, table, monkeypatch):
+    """Rows that came in one file are dealt over all cores before the passes of the training."""
+    seen = []
+
+    class Watched(models.Pipeline):
+        def fit(self, rows):
+            seen.append(rows.rdd.getNumPartitions())
+            return super().fit(rows)
+
+    monkeypatch.setattr(models, "Pipeline", Watched)
+    light = dataclasses.replace(DEFAULTS, trees=2, tree_depth=2)
+    models.fit_trees(table.coalesce(1), ["a", "b", "c"], settings=light)
+    assert seen == [spark.sparkContext.defaultParallelism]
+
+
 def test_full_report(spark):
     vif = spark.createDataFrame([("a", 20.0), ("b", 1.0)], "feature string, vif double")
     l1 = spark.createDataFrame([("a", True), ("b", True)], "feature string, zeroed boolean")
