@@ -27,9 +27,10 @@ MODEL_COLUMNS = (
 
 def _features(spark, d):
     def make():
-        df, contract = imputed_features(spark, d)
+        df, contract = imputed_features(spark, d, ["tenure_months"])
         columns = [c for c in contract if c not in pipeline.LEAKING and c != "tenure_months"]
-        return stage(ordered_split(stage(df.select("order_col", "employee_id", "attrition_flag", *columns)), "order_col"), "features"), columns
+        rows = stage(df.select("order_col", "employee_id", "attrition_flag", "given_tenure_months", *columns), "features")
+        return ordered_split(rows, "order_col"), columns                # the split compares with one number: not worth a second copy
 
     split, columns = once(spark, d, "features", make)
     return split.filter("is_train"), split.filter("NOT is_train"), columns
@@ -88,8 +89,7 @@ def _(spark, d):
     save_classifier(_logistic(spark, d), f"{path}/classifier")
     rows = train.unionByName(test)
     covariates = ["comp_compa_ratio", "org_manager_attrition", "trend_performance"]
-    timed = rows.join(subjects(spark, d, ["employee_id", "tenure_months"]), "employee_id")
-    save_cox(survival.cox_fit(timed, covariates, "tenure_months", "attrition_flag"), spark, f"{path}/cox")
+    save_cox(survival.cox_fit(rows, covariates, "given_tenure_months", "attrition_flag"), spark, f"{path}/cox")
     scored = models.score(rows, load_classifier(f"{path}/classifier"))
     return survival.median_survival(scored, load_cox(spark, f"{path}/cox")).select(
         "employee_id", "p_attrition", "median_survival_months", "survival_is_infinite")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from retenta.operators import features, ingest
@@ -35,12 +37,16 @@ def contract_of(table: DataFrame) -> list[str]:
                                                   "risk_profile")]
 
 
-def imputed_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    """Feature table without nulls: constants, then medians, before the features are derived."""
+def imputed_features(spark: SparkSession, sf_dir: str, given: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """Feature table without nulls: constants, then medians, before the features are derived.
+
+    ``given`` names measures that are also kept as they were before, as ``given_<c>``; they are not part of the contract.
+    """
     from retenta.session import stage
-    base = ingest.impute_median(stage(ingest.impute_constant(subject_base(spark, sf_dir))))
+    base = subject_base(spark, sf_dir).withColumns({f"given_{c}": F.col(c) for c in given})
+    base = ingest.impute_median(stage(ingest.impute_constant(base)))
     return features.feature_table(base, DEPARTMENTS, DEPARTMENT_REFERENCE, CIRCLES, CIRCLE_REFERENCE,
-                                  ("order_col", "employee_id"))
+                                  ("order_col", "employee_id", *[f"given_{c}" for c in given]))
 
 
 PEERS_SQL = """

@@ -230,3 +230,27 @@ def test_leaf_look_up_by_cuts():
 
     got = models._phi(np.ascontiguousarray(x.T).view(Rows), tables)
     assert np.allclose(got.T, want, atol=1e-12) and len(compared) == 9
+
+
+def test_round_trip_reads_the_subjects_once(spark, data, monkeypatch, tmp_path):
+    """The hazard fit takes the given tenure from the staged features; subjects without one take no part in it."""
+    from retenta.plans import catalog, features as plan
+    from retenta.plans.catalog import models as queries
+    from retenta.plans.subjects import subjects
+    for name in ("customer", "lineitem", "events", "nation", "region"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{data}/{name}.parquet")
+    orders = spark.read.parquet(f"{data}/orders.parquet").filter("o_custkey <> 7")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    data = str(tmp_path)
+    seen, fits = [], []
+    plain_fit = queries.survival.cox_fit
+    for module in (plan, queries):
+        monkeypatch.setattr(module, "subjects", lambda s, d, *a: seen.append(a) or subjects(s, d, *a))
+    monkeypatch.setattr(queries.survival, "cox_fit", lambda df, *a: fits.append((df, a[1])) or plain_fit(df, *a))
+    monkeypatch.setattr(catalog, "_FITTED", {})
+    assert catalog.QUERIES["S10_model_round_trip"](spark, data).count() == spark.read.parquet(f"{data}/customer.parquet").count()
+    assert len(seen) == 1
+    (df, duration), = fits
+    got = {r[0]: r[1] for r in df.select("employee_id", duration).collect()}
+    assert got == {r[0]: r[1] for r in subjects(spark, data, ["employee_id", "tenure_months"]).collect()}
+    assert [k for k, v in got.items() if v is None] == ["C7"]
