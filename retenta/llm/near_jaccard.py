@@ -8,7 +8,8 @@ between the components that are left.
   their bits, or from the smaller component. Candidates are compared by the bits, then run by run. What these rounds miss costs time only.
 * Exact: if all sets are put in one order of runs, two sets of a similarity of t or more have a run in common among the first
   ``n - ceil(t * n) + 1`` of each. Each such run is a key. The order puts runs that are frequent in a sample last; any order is right,
-  this one keeps keys small. Rows of one component need no link. A key of at most ``SMALL`` rows gives its pairs, held against sizes
+  this one keeps keys small. Rows of one component need no link. Two sets are looked at where they meet first: each row of a key has
+  the least runs before it in four other orders with it, and a pair that shares one of them is left to that key. A key of at most ``SMALL`` rows gives its pairs, held against sizes
   and places, then against counts of runs by their last byte, which bound what two sets have in common; a larger one with several components is compared run by run inside tasks, in blocks of at most ``BLOCK`` rows, from
   the rows outside its largest component, and gives a spanning forest of the links found.
 """
@@ -39,6 +40,10 @@ FAR = 0.22
 FEW, SMALL = 8, 32
 #: Half the rows of a larger key that are compared at once in the exact round.
 BLOCK = 2048
+#: Odd numbers that put runs of 32 bits in another order, one to one.
+ORDERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
+#: Pairs that a task of the exact round holds, to name each once.
+PAIRS = 1 << 20
 #: Sets whose runs are counted to order them, and runs that are kept as frequent ones.
 SAMPLE, FREQUENT = 20_000, 1 << 18
 
@@ -182,8 +187,10 @@ def _sides(links: DataFrame, table: DataFrame, column: str) -> DataFrame:
 
 
 def _similar(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The links of a similarity of ``least`` or more. Only the sets that some link names are shuffled for the comparison."""
+    ends = stage(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
     same = F.size(F.array_intersect("x", "y"))
-    return _sides(links, sets, "runs").filter(same >= F.lit(least) * (F.size("x") + F.size("y") - same)).select("a", "b")
+    return _sides(links, sets.join(ends, "node", "left_semi"), "runs").filter(same >= F.lit(least) * (F.size("x") + F.size("y") - same)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -215,7 +222,8 @@ def frequent_runs(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _leading(batches: Iterator[pa.RecordBatch], often: tuple[np.ndarray, np.ndarray], least: float) -> Iterator[pa.RecordBatch]:
-    """The leading runs of every set in the common order, with the size of the set and the place of the run."""
+    """The leading runs of every set in the common order, with the size of the set, the place of the run, and the least of the runs
+    before it in each of four other orders, two to a column. Those change seldom along a set and pack well."""
     known, counts = often
     for batch in batches:
         flat, ends = batch.column("runs").flatten().to_numpy().astype(np.int64), batch.column("runs").offsets.to_numpy().astype(np.int64)
@@ -229,10 +237,24 @@ def _leading(batches: Iterator[pa.RecordBatch], often: tuple[np.ndarray, np.ndar
         place = np.arange(len(flat)) - np.repeat(ends[:-1] - ends[0], sizes)
         needed = np.ceil(least * sizes - 1e-9).astype(np.int64)
         first = place < (sizes - needed + 1)[owner]
-        of = pa.array(owner[first])
+        of, owned, key = pa.array(owner[first]), owner[first], flat[order][first]
+        # Later sets have the lower upper half, so that the running minimum starts anew with each.
+        turn = (np.uint64(len(sizes)) - owned.astype(np.uint64)) << np.uint64(32)
+        least_of = [np.roll(np.minimum.accumulate(turn | (key.astype(np.uint64) * np.uint64(m) & np.uint64(0xFFFFFFFF))), 1) for m in ORDERS]
+        low = [x & np.uint64(0xFFFFFFFF) for x in least_of]
+        before = [(low[i] | low[i + 1] << np.uint64(32)).view(np.int64) for i in (0, 2)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(flat[order][first]), batch.column("component").take(of), batch.column("node").take(of),
-             pa.array(sizes[owner[first]]), pa.array(place[first])], names=["key", "component", "node", "size", "place"])
+            [pa.array(key), batch.column("component").take(of), batch.column("node").take(of), pa.array(sizes[owned]),
+             pa.array(place[first]), *map(pa.array, before)], names=["key", "component", "node", "size", "place", "before1", "before2"])
+
+
+def _met(place: np.ndarray, before: tuple[np.ndarray, ...], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether rows ``x`` and ``y`` of one key have a least run before it in common: their sets meet there already."""
+    found = np.zeros(len(x), dtype=bool)
+    for column in before:
+        differ = (column[x] ^ column[y]).view(np.uint64)
+        found |= (differ & np.uint64(0xFFFFFFFF) == 0) | (differ >> np.uint64(32) == 0)
+    return found & (place[x] > 0) & (place[y] > 0)
 
 
 def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -255,15 +277,26 @@ def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, component, node, size, place) sorted by key and component: pairs ``a``, ``b`` of small keys, and the rows ``a`` of
-    larger keys of several components with the block pairs (``key``, ``part``) in which they are compared."""
-    names, none = ["key", "part", "component", "a", "b"], np.zeros((0, 5), dtype=np.int64)
+    """Of rows (key, component, node, size, place, before1, before2) sorted by key and component: pairs ``a``, ``b`` of small keys, and the rows
+    ``a`` of larger keys of several components with the block pairs (``key``, ``part``) in which they are compared.
+
+    A pair is looked at where its sets meet first: a key is passed over if a run before it is seen to be a key of both.
+    """
+    names = ["key", "part", "component", "a", "b"]
+    seen: list[np.ndarray] = []
+
+    def pairs_of(found: list[np.ndarray]) -> np.ndarray:
+        return np.unique(np.concatenate([np.zeros((0, 2), dtype=np.int64), *found]), axis=0)
+
+    def small(pairs: np.ndarray) -> pa.RecordBatch:
+        zero = pa.array(np.zeros(len(pairs), dtype=np.int64))
+        return pa.RecordBatch.from_arrays([zero, zero, zero, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=names)
+
     for rows in _whole_keys(batches):
-        key, tree, node, size, place = rows.T
+        key, tree, node, size, place, *before = rows.T
         cuts = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(rows)]
         lengths = np.diff(cuts)
         mixed = tree[cuts[:-1]] != tree[cuts[1:] - 1]
-        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         at = np.flatnonzero(np.repeat(mixed & (lengths <= SMALL), lengths))
         for lag in range(1, SMALL):
             at = at[at + lag < len(rows)]
@@ -274,11 +307,15 @@ def _candidates(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.
             # What two sets can have in common from their first common run on, against what the similarity needs.
             rest = np.minimum(size[at] - place[at], size[to] - place[to])
             good = (tree[at] != tree[to]) & (rest * (1 + least) + 1e-6 >= least * (size[at] + size[to]))
-            a.append(node[at[good]])
-            b.append(node[to[good]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
-        small = np.column_stack([np.zeros((len(pairs), 3), dtype=np.int64), pairs])
+            good[good] = ~_met(place, tuple(before), at[good], to[good])
+            a, b = node[at[good]], node[to[good]]
+            if len(a):
+                seen.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
+        if sum(map(len, seen)) > PAIRS:
+            seen = [pairs_of(seen)]
+            if len(seen[0]) > PAIRS // 2:
+                yield small(seen[0])
+                seen = []
         parts = []
         for k in np.flatnonzero(mixed & (lengths > SMALL)):
             one = np.column_stack([key[cuts[k]:cuts[k + 1]], np.zeros(lengths[k], dtype=np.int64), tree[cuts[k]:cuts[k + 1]],
@@ -292,8 +329,9 @@ def _candidates(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.
                 if len(parts) >= 16:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(parts).T.copy()], names=names)
                     parts = []
-        out = np.concatenate([none, small, *parts])
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in out.T.copy()], names=names)
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(parts).T.copy()], names=names)
+    yield small(pairs_of(seen))
 
 
 def _forest(trees: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -348,7 +386,8 @@ def _compare_sets(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[p
 def _exact_links(placed: DataFrame, least: float) -> DataFrame:
     """Links of a similarity of ``least`` or more that connect all components of ``placed`` (node, component, runs) which any connects."""
     often = frequent_runs(placed)
-    found = stage(placed.mapInArrow(lambda x: _leading(x, often, least), "key bigint, component bigint, node bigint, size bigint, place bigint")
+    found = stage(placed.mapInArrow(lambda x: _leading(x, often, least), "key bigint, component bigint, node bigint, size bigint, place bigint, "
+                                         "before1 bigint, before2 bigint")
                   .repartition("key").sortWithinPartitions("key", "component", "node")
                   .mapInArrow(lambda x: _candidates(x, least), "key bigint, part bigint, component bigint, a bigint, b bigint"), "pairs")
     sets = placed.select("node", "runs")

@@ -146,3 +146,24 @@ def test_counts_never_hide_a_link():
             same = len(np.intersect1d(x, other))
             if same >= 0.8 * (len(x) + len(other) - same):
                 assert found == 1
+
+
+def test_pages_of_one_template_name_each_pair_once(spark):
+    """Pages that share most of their leading runs and are no copies: a pair is named where two sets meet first, not at each run."""
+    rng = np.random.default_rng(8)
+    template = rng.choice(1 << 31, 320, replace=False)
+    sets = [np.sort(np.r_[template, rng.choice(1 << 31, 80, replace=False)]).astype(np.int32) for _ in range(12)]
+    node = pa.array(range(12), pa.int64())
+    batch = pa.RecordBatch.from_arrays([node, node, pa.array([x.tolist() for x in sets], pa.list_(pa.int32()))], names=["node", "component", "runs"])
+    none = np.zeros(0, dtype=np.int64)
+    rows = pa.Table.from_batches(near_jaccard._leading([batch], (none, none), 0.6)).sort_by([("key", "ascending"), ("component", "ascending")])
+    keys = np.asarray(rows["key"])
+    cuts = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
+    found, tasks = set(), 0
+    for task in range(4):                               # keys are dealt over tasks
+        batches = [b for k in range(task, len(cuts) - 1, 4) for b in rows.slice(cuts[k], cuts[k + 1] - cuts[k]).to_batches()]
+        out = [tuple(x) for b in near_jaccard._candidates(batches, 0.6) for x in zip(b["a"].to_pylist(), b["b"].to_pylist())]
+        assert len(out) == len(set(out))
+        found |= set(out)
+        tasks += len(out)
+    assert len(found) == 66 and tasks < 1.5 * 66
