@@ -29,11 +29,13 @@ def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text",
            limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that one piece holds about ``limit`` bytes of text, or one longer text alone."""
+    """Cut batches so that one piece holds about ``limit`` bytes of text (elements of a list column), or one longer text alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.binary_length(batch.column(text_col)).to_numpy(zero_copy_only=False)
+        column = batch.column(text_col)
+        length = pc.list_value_length if pa.types.is_list(column.type) else pc.binary_length
+        sizes = length(column).to_numpy(zero_copy_only=False)
         group = np.cumsum(sizes) // limit
         cuts = np.flatnonzero(np.diff(group)) + 1
         for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows], strict=True):

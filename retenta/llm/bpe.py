@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from retenta.llm.arrow import keyed_texts, slices
 
 REMEMBERED = 300_000
+#: Bytes of text whose matches are held as Python strings at once.
+PIECE = 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -192,7 +194,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
         encoder, split = _encoder(name), regex.compile(pattern)
-        for batch in slices(batches, limit=2 << 20):
+        for batch in slices(batches, limit=PIECE):
             rows = list(encoder.encode([split.findall(x) for x in batch.column("text").to_pylist()]))
             columns = [batch.column("doc_id"), pa.array(rows, pa.list_(pa.int32()))]
             if decoded:

@@ -46,6 +46,8 @@ ORDERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 PAIRS = 1 << 20
 #: Sets whose runs are counted to order them, and runs that are kept as frequent ones.
 SAMPLE, FREQUENT = 20_000, 1 << 18
+#: Runs that are put in order at once: some 20 numbers of 64 bits are held for each.
+ORDERED = 1 << 18
 
 
 def runs(text: bytes, size: int) -> np.ndarray:
@@ -225,7 +227,7 @@ def _leading(batches: Iterator[pa.RecordBatch], often: tuple[np.ndarray, np.ndar
     """The leading runs of every set in the common order, with the size of the set, the place of the run, and the least of the runs
     before it in each of four other orders, two to a column. Those change seldom along a set and pack well."""
     known, counts = often
-    for batch in batches:
+    for batch in slices(batches, "runs", ORDERED):
         flat, ends = batch.column("runs").flatten().to_numpy().astype(np.int64), batch.column("runs").offsets.to_numpy().astype(np.int64)
         sizes = np.diff(ends)
         owner = np.repeat(np.arange(len(sizes)), sizes)

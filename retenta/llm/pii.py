@@ -19,6 +19,8 @@ from retenta.llm.arrow import keyed_texts, slices, split_words
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 SPAN_TYPE = "array<struct<kind:string,start:int,end:int,base:boolean>>"
+#: Bytes of text that are looked at together: the scores of a word take some twenty times its bytes.
+PIECE = 2 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -327,7 +329,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     field = trained()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=PIECE):
             spans = [[{"kind": KINDS[k], "start": s, "end": e, "base": b} for s, k, e, b in x] for x in spans_of(batch, field)]
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind)], names=["doc_id", "spans"])
@@ -341,25 +343,25 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Columns, their order and the number of rows stay; a null text stays null.
     """
     field, at = trained(), docs.columns.index(text_col)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(_lengths(batches, at), text_col=batch_text):
-            batch = batch.select(batch.schema.names[:-1])
-            texts = batch.column(at).to_pylist()
-            for i, spans in enumerate(spans_of(pa.RecordBatch.from_arrays([batch.column(at)], names=["text"]), field)):
-                done, parts = 0, []
-                for start, kind, end, _ in spans:
-                    if start >= done:               # of overlapping spans the first stands for all
-                        parts += [texts[i][done:start], f"[{KINDS[kind]}]"]
-                    done = max(done, end)
-                if spans:
-                    texts[i] = "".join(parts) + texts[i][done:]
-            columns = [c if i != at else pa.array(texts, pa.string()) for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    batch_text = "\x00text"
-    return docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string")).mapInArrow(work, docs.withColumn(
-        text_col, F.col(f"`{text_col}`").cast("string")).schema)
+    docs = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
+    return docs.mapInArrow(lambda x: _redacted(x, field, at), docs.schema)
+
+
+def _redacted(batches: Iterator[pa.RecordBatch], field: Field, at: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, with the spans of the texts in column ``at`` replaced."""
+    for batch in slices(_lengths(batches, at), "\x00text", PIECE):
+        batch = batch.select(batch.schema.names[:-1])
+        texts = batch.column(at).to_pylist()
+        for i, spans in enumerate(spans_of(pa.RecordBatch.from_arrays([batch.column(at)], names=["text"]), field)):
+            done, parts = 0, []
+            for start, kind, end, _ in spans:
+                if start >= done:               # of overlapping spans the first stands for all
+                    parts += [texts[i][done:start], f"[{KINDS[kind]}]"]
+                done = max(done, end)
+            if spans:
+                texts[i] = "".join(parts) + texts[i][done:]
+        columns = [c if i != at else pa.array(texts, pa.string()) for i, c in enumerate(batch.columns)]
+        yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
 
 def _lengths(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import corpus_pipeline
 import numpy as np
@@ -167,3 +168,27 @@ def test_pages_of_one_template_name_each_pair_once(spark):
         found |= set(out)
         tasks += len(out)
     assert len(found) == 66 and tasks < 1.5 * 66
+
+
+def test_leading_runs_of_a_large_batch_take_bounded_memory():
+    rng = np.random.default_rng(4)
+    flat, ends = rng.integers(0, 1 << 30, 4_000_000, dtype=np.int32), np.arange(0, 4_000_001, 400, dtype=np.int32)
+    ids = pa.array(np.arange(len(ends) - 1))
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "component", "runs"])
+    often = np.unique(flat[:1000]).astype(np.int64), np.arange(3, 3 + len(np.unique(flat[:1000])))
+    names = ["key", "node", "size", "place", "before1", "before2"]
+    want = [list(next(near_jaccard._leading(iter([batch.slice(i, 1)]), often, 0.8)).select(names).to_pylist()) for i in (0, 777, 9_999)]
+    found = {0: [], 777: [], 9_999: []}
+    tracemalloc.start()
+    for piece in near_jaccard._leading(iter([batch]), often, 0.8):
+        node = piece.column("node").to_numpy()
+        for i in found:
+            found[i] += piece.filter(pa.array(node == i)).select(names).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * flat.nbytes
+    for (i, rows), expected in zip(found.items(), want, strict=True):
+        assert len(rows) == len(expected) == 81
+        for got, right in zip(rows, expected, strict=True):
+            # the least run before the first place is never read
+            assert got == right if got["place"] else (got["key"], got["size"]) == (right["key"], right["size"])

@@ -1,5 +1,6 @@
 import itertools
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -90,3 +91,18 @@ def test_edges_and_redaction(spark, data):
     texts = {r.doc_id: r.text for r in real.collect()}
     for r in pii.find(real).collect():
         assert [(x.start, pii.KINDS.index(x.kind), x.end) for x in r.spans if x.base] == plain_base(texts[r.doc_id])
+
+
+def test_a_batch_is_redacted_in_pieces_of_bounded_memory():
+    line = "write to ana@example.org or call +1 (555) 010-9999 about the meeting in room nine on monday at noon . "
+    texts = [line * 30 if i % 50 else None for i in range(2_400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    field, done, bytes_ = pii.trained(), [], batch.nbytes
+    tracemalloc.start()
+    for piece in pii._redacted(iter([batch]), field, 1):
+        done += [hash(x) for x in piece.column("text").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert bytes_ > 7e6 and peak < 10 * bytes_
+    want = line.replace("ana@example.org", "[email]").replace("+1 (555) 010-9999", "[phone]") * 30
+    assert done == [hash(want if t else "") if t else hash(None) for t in texts]
