@@ -166,6 +166,20 @@ def test_l1_fits_share_their_passes(spark, table, monkeypatch):
     assert [out[c]["coefficient"] for c in cols] == pytest.approx(list(fit.coefficients), abs=1e-5)
 
 
+def test_l1_moves_end_at_the_minimum():
+    """Of columns that nearly or wholly add up to one another, too: the slope of the quadratic lies inside the penalty after one move."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 6))
+    x = np.column_stack([np.ones(400), x, x[:, 0] + x[:, 1] + 1e-4 * rng.normal(size=400), x[:, 2] + x[:, 3], x[:, 4], np.zeros(400)])
+    curve = x.T @ x / 400
+    strength = np.array([1e-1, 1e-3, 1e-7, 1e-7])
+    slopes = np.array([x.T @ rng.normal(size=400) / 400 for _ in strength])
+    betas = np.vstack([np.zeros((3, x.shape[1])), rng.normal(size=x.shape[1])])
+    ends = betas + collinearity._newton_move(betas, slopes, np.array([curve] * 4), strength)
+    gaps = collinearity._outside(ends, slopes + (ends - betas) @ curve, strength)
+    assert gaps.max() < 1e-9 and (ends[:3, -1] == 0).all() and (ends[0, 1:] == 0).any()
+
+
 def test_l1_search_scores_as_a_cross_validator(spark, table):
     """The best C is that of Spark's cross-validation over the same folds."""
     from pyspark.ml.classification import LogisticRegression
