@@ -147,35 +147,42 @@ _ROWS, _GAP, _HALVINGS = 2048, 1e-9, 30
 def _pass(data: DataFrame, p: int, betas: np.ndarray, held: np.ndarray, size: int, sums) -> np.ndarray:
     """``sums(x, y, w, margin, taken)`` added up over all rows, one line of ``size`` numbers per model.
 
-    ``betas`` has one model per line, its intercept first. A row is ``taken`` by the models that hold out another fold than its own.
-    Each task reduces its batches; what is shuffled is one line per task and model, and only the totals reach the driver.
+    ``betas`` has one model per line, its intercept first; ``x`` has one column per line, after a line of ones, so that products of
+    columns run along memory, and ``margin`` and ``taken`` have one model per line. A row is ``taken`` by the models that hold out
+    another fold than its own. Each task reduces its batches; what is shuffled is one line per task and model, and only the totals
+    reach the driver.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(betas), size))
         for batch in batches:
-            table = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            table = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float, copy=False)
             if np.isnan(table).any():
                 raise ValueError("a column, the label or its weight is null or not a number")
-            for lo in range(0, len(table), _ROWS):
-                rows = table[lo:lo + _ROWS]
-                x = np.column_stack([np.ones(len(rows)), rows[:, :p]])
-                total += sums(x, rows[:, p, None], rows[:, p + 1, None], x @ betas.T, rows[:, p + 2, None] != held)
+            for lo in range(0, table.shape[1], _ROWS):
+                rows = table[:, lo:lo + _ROWS]
+                x = np.vstack([np.ones(rows.shape[1]), rows[:p]])
+                total += sums(x, rows[p], rows[p + 1], betas @ x, rows[p + 2] != held[:, None])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["at", "value"])
 
-    found = np.zeros(len(betas) * size)
-    for r in data.mapInArrow(work, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
-        found[r["at"]] = r["value"]
-    return found.reshape(len(betas), size)
+    found = data.mapInArrow(work, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+    out = np.zeros(len(betas) * size)
+    out[found.column("at").to_numpy()] = found.column("value").to_numpy()
+    return out.reshape(len(betas), size)
 
 
 def _slopes(data: DataFrame, p: int, betas: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weighted mean loss of every model, its first and its second derivatives, in one pass."""
     upper = np.triu_indices(p + 1)
+    ends = np.cumsum([0, *range(p + 1, 0, -1)])
 
     def sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, margin: np.ndarray, taken: np.ndarray) -> np.ndarray:
-        w, q = w * taken, 1 / (1 + np.exp(-np.clip(margin, -700, 700)))
-        return np.column_stack([w.sum(0), (w * (np.logaddexp(0, margin) - y * margin)).sum(0), (w * (q - y)).T @ x,
-                                (w * q * (1 - q)).T @ (x[:, upper[0]] * x[:, upper[1]])])
+        low = np.exp(-np.abs(margin))
+        loss = np.maximum(margin, 0.0) + np.log1p(low) - y * margin
+        q, w = np.where(margin >= 0, 1.0, low) / (1.0 + low), w * taken
+        pairs = np.empty((ends[-1], x.shape[1]))
+        for i in range(p + 1):
+            np.multiply(x[i], x[i:], out=pairs[ends[i]:ends[i + 1]])
+        return np.column_stack([w.sum(1), (w * loss).sum(1), (w * (q - y)) @ x.T, (w * q * (1 - q)) @ pairs.T])
 
     found = _pass(data, p, betas, held, 2 + p + 1 + len(upper[0]), sums)
     found = found[:, 1:] / found[:, :1]
@@ -295,7 +302,7 @@ def l1_selection(df: DataFrame, columns: Sequence[str], label: str, order_col: s
     betas, _, _ = _l1_fits(data, p, np.tile([1 / (c * n * (folds - 1) / folds) for c in grid], folds), held, max_iter)
 
     def right(x: np.ndarray, y: np.ndarray, w: np.ndarray, margin: np.ndarray, taken: np.ndarray) -> np.ndarray:
-        return np.column_stack([(~taken).sum(0), (~taken & ((margin > 0) == (y == 1))).sum(0)])
+        return np.column_stack([(~taken).sum(1), (~taken & ((margin > 0) == (y == 1))).sum(1)])
 
     counts = _pass(data, p, betas, held, 2, right).reshape(folds, strengths, 2)
     chosen = int(np.argmax((counts[:, :, 1] / np.maximum(counts[:, :, 0], 1)).mean(0)))

@@ -180,6 +180,28 @@ def test_l1_moves_end_at_the_minimum():
     assert gaps.max() < 1e-9 and (ends[:3, -1] == 0).all() and (ends[0, 1:] == 0).any()
 
 
+def test_l1_pass_totals(spark, monkeypatch):
+    """Loss, slopes and curvatures are those of the definition, for far margins too, and reach the driver as one table."""
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(300, 3)), (rng.random(300) < 0.4).astype(float)
+    w, fold = rng.uniform(0.5, 2.0, 300), np.arange(300) % 2.0
+    data = spark.createDataFrame(np.column_stack([x, y, w, fold]).tolist(), "x0 double, x1 double, x2 double, y double, w double, fold double")
+    betas, held = np.array([[0.1, 1.0, -2.0, 0.5], [0.0, 900.0, 0.0, 0.0]]), np.array([0, -1])
+
+    def refused(frame):
+        raise AssertionError("totals were collected row by row")
+
+    monkeypatch.setattr(type(data), "collect", refused)
+    loss, slopes, curves = collinearity._slopes(data, 3, betas, held)
+    ones = np.column_stack([np.ones(300), x])
+    for k, (beta, out) in enumerate(zip(betas, held)):
+        margin, weight = ones @ beta, w * (fold != out)
+        q, weight = 1 / (1 + np.exp(-margin.clip(-700, 700))), weight / weight.sum()
+        assert loss[k] == pytest.approx(weight @ (np.logaddexp(0, margin) - y * margin), rel=1e-12)
+        assert np.allclose(slopes[k], ones.T @ (weight * (q - y)), rtol=1e-10, atol=1e-13)
+        assert np.allclose(curves[k], ones.T @ (ones * (weight * q * (1 - q))[:, None]), rtol=1e-10, atol=1e-13)
+
+
 def test_l1_search_scores_as_a_cross_validator(spark, table):
     """The best C is that of Spark's cross-validation over the same folds."""
     from pyspark.ml.classification import LogisticRegression
