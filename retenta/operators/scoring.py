@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -155,14 +156,23 @@ def critical_share(df: DataFrame) -> DataFrame:
     return df.agg(F.try_divide(_count_tier("CRITICAL").cast("double"), F.count("*")).alias("critical_share"))
 
 
-def department_report(df: DataFrame, department: str | None = None) -> DataFrame:
-    """Band grid of every department (or of one, matched without regard to case), with department totals."""
+class DepartmentReport(NamedTuple):
+    grid: DataFrame
+    totals: DataFrame
+    critical: DataFrame
+
+
+def department_report(df: DataFrame, department: str | None = None) -> DepartmentReport:
+    """Band grid, totals and critical subjects of every department (or of one, matched without regard to case).
+
+    A department without subjects has no row in any part; ``require_rows`` on the totals tells a caller so.
+    """
     if department is not None:
         df = df.filter(same_text("department", department))
     grid = df.groupBy("department", "band").agg(
         F.avg("p_attrition").alias("avg_p_attrition"), _count_tier(*URGENT).alias("high_risk_count"),
         F.count("employee_id").alias("total_employees"), F.sum("ev").alias("total_ev"))
-    return grid
+    return DepartmentReport(grid, department_overview(df), critical_subjects(df))
 
 
 def department_overview(df: DataFrame) -> DataFrame:

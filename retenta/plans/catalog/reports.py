@@ -123,20 +123,20 @@ _GRID = """SELECT department, band, round(avg(p_attrition), 6) AS avg_p_attritio
 
 @query("A24_department_report", _sql(_GRID.format("")))
 def _(spark, d):
-    return rounded(scoring.department_report(rule_scored(spark, d)))
+    return rounded(scoring.department_report(rule_scored(spark, d)).grid)
 
 
 @query("A24_department_overview", _sql("""SELECT department, count(*) AS total_employees,
   round_even(avg(p_attrition), 3) AS avg_p_attrition, count(CASE WHEN risk_tier = 'CRITICAL' THEN 1 END) AS critical_count
   FROM scored GROUP BY 1"""))
 def _(spark, d):
-    return scoring.department_overview(rule_scored(spark, d))
+    return scoring.department_report(rule_scored(spark, d)).totals
 
 
 @query("A24_critical_subjects", _sql("""SELECT department, employee_id, band, p_attrition, ev FROM scored
   WHERE risk_tier = 'CRITICAL'"""))
 def _(spark, d):
-    return scoring.critical_subjects(rule_scored(spark, d))
+    return scoring.department_report(rule_scored(spark, d)).critical
 
 
 @query("W1_point_lookup", _sql("SELECT employee_id, risk_tier, ev FROM scored WHERE employee_id = 'C42'"))
@@ -162,7 +162,7 @@ def _(spark, d):
 
 @query("W4_case_insensitive", _sql(_GRID.format("WHERE lower(department) = 'machinery'")))
 def _(spark, d):
-    return rounded(scoring.department_report(rule_scored(spark, d), "Machinery"))
+    return rounded(scoring.department_report(rule_scored(spark, d), "Machinery").grid)
 
 
 @query("W5_tier_and_route", _sql("""

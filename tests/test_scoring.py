@@ -67,6 +67,25 @@ def test_tiers_sum_to_rows_and_upload(spark):
     assert scoring.tier_and_route(df, [], ["X"]).count() == 2
 
 
+def test_department_report_is_whole(spark):
+    """Grid, totals and critical subjects of each department, or of the one that is asked for in any case."""
+    df = spark.createDataFrame(
+        [("a", "Sales", 3, "CRITICAL", .9, 300000.), ("b", "Sales", 3, "LOW", .1, 5.), ("c", "Sales", 4, "HIGH", .6, 200000.),
+         ("d", "IT", 3, "CRITICAL", .8, 250000.)],
+        "employee_id string, department string, band int, risk_tier string, p_attrition double, ev double")
+    one = scoring.department_report(df, "sALES")
+    assert sorted(tuple(r) for r in one.grid.collect()) == [("Sales", 3, .5, 1, 2, 300005.), ("Sales", 4, .6, 1, 1, 200000.)]
+    assert [r.asDict() for r in one.totals.collect()] == [
+        {"department": "Sales", "total_employees": 3, "avg_p_attrition": .533, "critical_count": 1}]
+    assert [tuple(r) for r in one.critical.select("department", "employee_id", "band", "p_attrition", "ev").collect()] == [
+        ("Sales", "a", 3, .9, 300000.)]
+    every = scoring.department_report(df)
+    assert sorted(r["department"] for r in every.totals.collect()) == ["IT", "Sales"]
+    assert every.grid.count() == 3 and every.critical.count() == 2
+    with pytest.raises(LookupError):
+        scoring.require_rows(scoring.department_report(df, "Legal").totals, "no such department")
+
+
 def drivers(spark, text, error=None):
     return spark.createDataFrame([("E1", text, error)], "employee_id string, top_shap_drivers string, error string")
 
