@@ -197,16 +197,21 @@ def _outside(betas: np.ndarray, slopes: np.ndarray, strength: np.ndarray) -> np.
     return np.where(betas != 0, np.abs(slopes + limit * np.sign(betas)), np.maximum(0.0, np.abs(slopes) - limit))
 
 
-def _descent(curve: np.ndarray, pull: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Move to the minimum of a quadratic with that curvature that falls along ``pull``, and True; or, where it falls along a direction
-    without curvature (a column that others add up to), that direction and False."""
-    size = np.sqrt(np.maximum(np.diag(curve), 1e-300))
+def _descent(curve: np.ndarray, pull: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Move to the minimum of a quadratic with that curvature that falls along ``pull``; and the direction without curvature (columns
+    that add up to one another) along which it falls, if any."""
+    size = np.sqrt(np.where(np.diag(curve) > 1e-14, np.diag(curve), 1.0))
     bend, ways = np.linalg.eigh(curve / np.outer(size, size))
-    along, firm = ways.T @ (pull / size), bend > 1e-12 * bend[-1]
-    flat = ways[:, ~firm] @ along[~firm] / size
-    if np.abs(flat * size * size).max(initial=0.0) > _GAP:
-        return flat, False
-    return ways[:, firm] @ (along[firm] / bend[firm]) / size, True
+    along, firm = ways.T @ (pull / size), bend > 1e-14 * bend[-1]
+    level = ways[:, ~firm] @ along[~firm]
+    falls = np.abs(level * size).max(initial=0.0) > _GAP
+    return ways[:, firm] @ (along[firm] / bend[firm]) / size, level / size if falls else None
+
+
+def _reach(at: np.ndarray, sign: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """How many times the move takes each coefficient with a sign to zero; infinite where it leads away from it."""
+    closing = move * sign < 0
+    return np.where(closing, -at / np.where(closing, move, 1.0), np.inf)
 
 
 def _quadratic_minimum(start: np.ndarray, slope: np.ndarray, curve: np.ndarray, strength: float) -> np.ndarray:
@@ -214,32 +219,36 @@ def _quadratic_minimum(start: np.ndarray, slope: np.ndarray, curve: np.ndarray,
 
     Feature-sign search: the coefficients with a sign go to their common minimum and stop where the first one reaches zero, which
     then drops out; when none does, the coefficient at zero whose slope is farthest outside the penalty joins. The value falls with
-    every turn, and collinear columns cost no more turns than others.
+    every turn, and collinear columns cost no more turns than others. The bound on the turns is met only where columns are dependent
+    to within rounding; the point reached then is still lower than the start.
     """
-    cost = np.full(len(start), strength)
+    cost, barred = np.full(len(start), strength), np.zeros(len(start), dtype=bool)
     cost[0] = 0.0
-    at, sign, active, solved = start.copy(), np.sign(start), start != 0, False
-    active[0] = True
+    at, sign, active, whole_steps = start.copy(), np.sign(start), start != 0, 0
+    active[0], sign[0] = True, 0.0
     for _ in range(20 * len(start)):
         now, joined = slope + curve @ (at - start), -1
-        if solved:
-            outside = np.where(active, -np.inf, np.abs(now) - cost)
+        left = np.abs(now + cost * sign)[active].max()
+        if whole_steps > 2 or whole_steps and left <= _GAP / 100:       # further whole steps would only clear rounding
+            outside = np.where(active | barred, -np.inf, np.abs(now) - cost)
             joined = int(np.argmax(outside))
             if outside[joined] <= _GAP / 100:
                 break
-            active[joined], sign[joined] = True, -np.sign(now[joined])
+            active[joined], sign[joined], whole_steps = True, -np.sign(now[joined]), 0
         on = np.flatnonzero(active)
-        move, whole = _descent(curve[np.ix_(on, on)], -(now + cost * sign)[on])
-        closing = (move * sign[on] < 0) & (on > 0)
-        reach = np.where(closing, -at[on] / np.where(closing, move, 1.0), np.inf)
-        step = reach.min() if reach.min() < 1.0 or not whole else 1.0
-        step = step if np.isfinite(step) else 1.0               # nothing stops it: downhill all the same
-        if joined >= 0 and not step:                            # what is outside is rounding
-            break
+        move, level = _descent(curve[np.ix_(on, on)], -(now + cost * sign)[on])
+        reach, step = _reach(at[on], sign[on], move), 1.0
+        if level is not None and np.isfinite(far := _reach(at[on], sign[on], level)).any():
+            move, reach, step = level, far, np.inf
+        step = min(step, reach.min())
         hit = on[reach <= step]
         at[on] += step * move
         at[hit], sign[hit], active[hit] = 0.0, 0.0, False
-        solved = not len(hit)
+        if joined in hit:                                               # it turned back at once: what was outside is rounding
+            barred[joined] = True
+        elif joined >= 0 or len(hit):
+            barred[:] = False
+        whole_steps = 0 if len(hit) else whole_steps + 1
     return at
 
 
